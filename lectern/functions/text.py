@@ -60,6 +60,12 @@ MIME_BY_EXTENSION = {
 }
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row. Inside a lambda, an outer expression would otherwise be
+    evaluated again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(col: Column) -> Column:
     """Remove white space of any kind at both ends."""
     return F.regexp_replace(col, f"^{SPACE}+|{SPACE}+$", "")
@@ -70,6 +76,14 @@ def squeeze(col: Column) -> Column:
     return F.trim(F.regexp_replace(col, f"{SPACE}+", " "))
 
 
+def rewrite(col: Column, pattern: str, render) -> Column:
+    """Replace every match of ``pattern`` with ``render(match)``, a column expression over the matched text."""
+    mark = "\u0001"
+    gaps = F.split(F.regexp_replace(col, pattern, mark), mark)
+    hits = F.concat(F.transform(F.regexp_extract_all(col, F.lit(pattern), 0), render), F.array(F.lit("")))
+    return F.array_join(F.zip_with(gaps, hits, lambda g, h: F.concat(g, F.coalesce(h, F.lit("")))), "")
+
+
 def bounded_words(col: Column) -> Column:
     """White-space separated words, without empty ones."""
     return F.filter(F.split(col, f"{SPACE}+"), lambda w: w != "")
@@ -140,9 +154,8 @@ def clean_lines(col: Column) -> Column:
 
 def new_lines(base: Column, extra: Column) -> Column:
     """Lines of ``extra`` that ``base`` does not already have, then the junk-line rule."""
-    known = stripped_lines(base)
-    fresh = F.filter(stripped_lines(extra),
-                     lambda x: (x != "") & ~F.array_contains(known, x) & reads_like_words(x))
+    fresh = let(stripped_lines(base), lambda known: F.filter(
+        stripped_lines(extra), lambda x: (x != "") & reads_like_words(x) & ~F.array_contains(known, x)))
     return F.array_join(fresh, "\n")
 
 

@@ -33,13 +33,11 @@ def rrf(dense: DataFrame, lexical: DataFrame, k: int = RRF_K) -> DataFrame:
 
     Each list adds 1/(k + rank). A missing rank stays NULL; ties go to the higher cosine, then the lower chunk id.
     """
-    d = dense.select("question_id", "chunk_id", "score", F.col("rank").alias("dense_rank"),
-                     F.lit(None).cast("int").alias("lex_rank"), F.lit(None).cast("boolean").alias("all_terms"))
-    x = lexical.select("question_id", "chunk_id", "score", F.lit(None).cast("int").alias("dense_rank"),
-                       F.col("rank").alias("lex_rank"), "all_terms")
-    g = d.unionByName(x).groupBy("question_id", "chunk_id").agg(
-        F.max("score").alias("score"), F.max("dense_rank").alias("dense_rank"), F.max("lex_rank").alias("lex_rank"),
-        F.bool_or("all_terms").alias("all_terms"))
+    d = dense.select("question_id", "chunk_id", F.col("score").alias("_d"), F.col("rank").alias("dense_rank"))
+    x = lexical.select("question_id", "chunk_id", F.col("score").alias("_x"), F.col("rank").alias("lex_rank"),
+                       "all_terms")
+    g = d.join(x, ["question_id", "chunk_id"], "full_outer").select(
+        "question_id", "chunk_id", F.coalesce("_d", "_x").alias("score"), "dense_rank", "lex_rank", "all_terms")
     part = [F.coalesce(1 / (F.lit(k) + F.col(c)), F.lit(0.0)) for c in ("dense_rank", "lex_rank")]
     g = g.withColumn("rrf", F.round(part[0] + part[1], 12))
     w = Window.partitionBy("question_id").orderBy(F.desc("rrf"), F.desc("score"), "chunk_id")
@@ -117,8 +115,8 @@ def overlap_logits(hits: DataFrame, questions: DataFrame, index: DataFrame, n_ch
     terms = questions.select("question_id", F.explode("terms").alias("term"))
     df = (index.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term")
           .agg(F.count("*").alias("df")))
-    weighted = (terms.join(df, "term", "left").crossJoin(F.broadcast(n_chunks.limit(1)))
-                .withColumn("idf", F.log(1 + F.col("n") / (1 + F.coalesce("df", F.lit(0))))))
+    weighted = terms.join(df, "term", "left").withColumn(
+        "idf", F.log(1 + n_chunks.select("n").scalar() / (1 + F.coalesce("df", F.lit(0)))))
     total = weighted.groupBy("question_id").agg(F.sum("idf").alias("_total"))
     pairs = hits.select("question_id", "chunk_id")
     matched = (pairs.join(weighted.select("question_id", "term", "idf"), "question_id")

@@ -59,10 +59,13 @@ def block_join(questions: DataFrame, chunks: DataFrame, kernel, schema: T.Struct
         return (df.join(sizes, "part")
                 .withColumn(my_block, F.pmod(F.xxhash64("id"), F.col(mine)))
                 .withColumn(other_block, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1)))
-                .drop("_nc", "_nq"))
+                .withColumn("_key", F.concat_ws("/", F.col("part").cast("string"), "_cb", "_qb"))
+                .drop("_nc", "_nq", "_cb", "_qb", "part"))
 
-    q = spread(questions, "_nq", "_nc", "_qb", "_cb").groupBy("part", "_cb", "_qb")
-    c = spread(chunks, "_nc", "_nq", "_cb", "_qb").groupBy("part", "_cb", "_qb")
+    # one key column: the join's partitioning by part must not count as the grouping, or a part's blocks would all
+    # land in one task
+    q = spread(questions, "_nq", "_nc", "_qb", "_cb").groupBy("_key")
+    c = spread(chunks, "_nc", "_nq", "_cb", "_qb").groupBy("_key")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:

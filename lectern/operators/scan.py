@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _same(names: list[str]) -> Column:
+    """Null-safe equality of the named columns of sides ``r`` and ``o``."""
+    return reduce(lambda a, b: a & b, [F.col(f"r.{n}").eqNullSafe(F.col(f"o.{n}")) for n in names])
+
+
 def running_total(df: DataFrame, keys: list[str], order: str, value: Column, out: str, block: int = 4096) -> DataFrame:
     """Add ``out`` = sum of ``value`` over the group's rows up to and including this one, by an integer ``order``.
 
@@ -17,11 +24,23 @@ def running_total(df: DataFrame, keys: list[str], order: str, value: Column, out
     per_block = rows.groupBy(*keys, "_block").agg(F.sum("_value").alias("_sum"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_block.select(*keys, "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
-    cond = [F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys] + [F.col("r._block") == F.col("o._block")]
-    on = cond[0]
-    for c in cond[1:]:
-        on = on & c
-    joined = rows.alias("r").join(offsets.alias("o"), on).select("r.*", "o._offset")
+    joined = rows.alias("r").join(offsets.alias("o"), _same([*keys, "_block"])).select("r.*", "o._offset")
     inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return (joined.withColumn(out, F.col("_offset") + F.sum("_value").over(inside))
             .drop("_value", "_block", "_offset"))
+
+
+def previous_value(df: DataFrame, keys: list[str], order: str, value: str, out: str, block: int = 4096) -> DataFrame:
+    """Add ``out`` = ``value`` of the group's previous row by an integer ``order`` (``lag``), block by block.
+
+    Inside a block it is a plain lag; a block's first row looks up the last row of the nearest earlier block.
+    """
+    rows = df.withColumn("_block", F.floor(F.col(order) / block))
+    last = rows.groupBy(*keys, "_block").agg(F.max_by(F.struct(value), F.col(order)).alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("_block")
+    carried = last.select(*keys, "_block", F.lag("_last").over(before).alias("_carry"))
+    joined = rows.alias("r").join(carried.alias("o"), _same([*keys, "_block"])).select("r.*", "o._carry")
+    inside = Window.partitionBy(*keys, "_block").orderBy(order)
+    first = F.row_number().over(inside) == 1
+    return (joined.withColumn(out, F.when(first, F.col("_carry")[value]).otherwise(F.lag(value).over(inside)))
+            .drop("_block", "_carry"))

@@ -24,14 +24,6 @@ def unescape(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: s if s is None or "&" not in s else html_lib.unescape(s))
 
 
-def _rewrite(col: Column, pattern: str, render) -> Column:
-    """Replace every match of ``pattern`` with ``render(match)``, a column expression over the matched text."""
-    mark = "\u0001"
-    gaps = F.split(F.regexp_replace(col, pattern, mark), mark)
-    hits = F.concat(F.transform(F.regexp_extract_all(col, F.lit(pattern), 0), render), F.array(F.lit("")))
-    return F.array_join(F.zip_with(gaps, hits, lambda g, h: F.concat(g, F.coalesce(h, F.lit("")))), "")
-
-
 def _attribute(tag: Column, name: str) -> Column:
     double = F.regexp_extract(tag, rf'(?is)\b{name}\s*=\s*"([^"]*)"', 1)
     single = F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*'([^']*)'", 1)
@@ -82,8 +74,8 @@ def markdown_of(body: Column, file_attr: str = "data-bbfile", image_folder: Colu
             link = F.when(X.file_extension(name).isin(IMAGE_EXTENSIONS), saved).otherwise(link)
         return F.when(name == "", "").otherwise(link)
 
-    md = _rewrite(body, r"(?is)<math\b.*?</math>", _formula)
-    md = _rewrite(md, rf"(?is)<a\b[^>]*\b{file_attr}\s*=[^>]*>.*?</a>", file_link)
+    md = X.rewrite(body, r"(?is)<math\b.*?</math>", _formula)
+    md = X.rewrite(md, rf"(?is)<a\b[^>]*\b{file_attr}\s*=[^>]*>.*?</a>", file_link)
     md = F.regexp_replace(md, r"(?is)<img\b[^>]*>", "")
     md = F.regexp_replace(md, r"[\r\n\t ]+", " ")
     for level in range(1, 7):
