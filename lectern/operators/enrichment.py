@@ -92,7 +92,7 @@ Summariser = Callable[[list[str]], list[str]]
 
 
 def leading_sentences(text: Column, n: int = 3) -> Column:
-    """Native summary: the ``n`` sentences whose words repeat most within the text, in their original order."""
+    """Native summary: the ``n`` sentences with the most distinct words, in their original order."""
 
     def best(sentences: Column) -> Column:
         scored = F.transform(sentences, lambda s, i: F.struct(
