@@ -244,7 +244,7 @@ WITH l AS (SELECT doc_id * 1000000 + generate_subscripts(string_split(text, chr(
 SELECT line_id, module, start, start + length(alias) AS "end" FROM (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY length(alias) DESC, start, module) AS r FROM h) WHERE r = 1""")
 def i15(t):
     """Lines of the documents against a list of function words; the alias of a missing module is ignored."""
-    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).select(
+    lines = t.texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).select(
         (F.col("doc_id") * 1_000_000 + F.col("pos") + 1).alias("line_id"), "text")
     modules = t.spark.createDataFrame([(m,) for m in MODULES], "module string")
     aliases = t.spark.createDataFrame([*TAGGED, ("and", "Gone")], "alias string, module string")
@@ -253,7 +253,7 @@ def i15(t):
 
 @query("i16_parse_lines")
 def i16(t):
-    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    lines = t.texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     return P.parse_lines(lines, datetime(2026, 9, 29, 13, 0)).select(
         "doc_id", "pos", "kind", F.md5("title").alias("title_md5"), F.col("starts_at").cast("string").alias("starts_at"), "all_day")
 

@@ -108,7 +108,7 @@ WITH a AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w
 SELECT doc_id, count(*) AS n_shared FROM g WHERE g IN (SELECT g FROM h) GROUP BY 1
 """)
 def f4s(t):
-    return E.shared_ngrams(t.documents.select("doc_id", "text"), t.benchmark, "doc_id")
+    return E.shared_ngrams(t.texts.select("doc_id", "text"), t.benchmark, "doc_id")
 
 
 @query("f5_accept_questions", f"""WITH {PAIR_SQL},

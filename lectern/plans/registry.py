@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.parallel import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -23,6 +25,11 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
 
+    @property
+    def texts(self) -> DataFrame:
+        """documents, spread over the cores when the file has too few splits for heavy text work."""
+        return spread(self.documents, "doc_id")
+
 
 def query(name: str, sql: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under ``name``, with its equivalent SQL if there is one."""

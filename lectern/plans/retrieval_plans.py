@@ -55,7 +55,7 @@ fr AS (SELECT fu.*, sc.score, row_number() OVER (PARTITION BY question_id ORDER
 
 @query("c1_embed")
 def c1(t):
-    v = M.embed(t.documents.select("doc_id", "text"))
+    v = M.embed(t.texts.select("doc_id", "text"))
     return v.select("doc_id", F.size("vec").alias("dim"), F.round(V.norm(F.col("vec")), 6).alias("norm"))
 
 

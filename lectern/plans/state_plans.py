@@ -216,7 +216,7 @@ def j11o(t):
 # --- enrichment -------------------------------------------------------------------------------------------------------
 
 def doc_chunks(t):
-    return K.chunk_pages(t.documents.select("doc_id", F.lit(1).alias("page"), "text"))
+    return K.chunk_pages(t.texts.select("doc_id", F.lit(1).alias("page"), "text"))
 
 
 @query("k1_token_groups")

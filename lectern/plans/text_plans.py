@@ -31,7 +31,7 @@ def by_words(col):
 SELECT doc_id, md5({TIDY.format('text')}) AS text_md5, length({TIDY.format('text')}) AS chars FROM documents
 """)
 def b1(t):
-    d = t.documents.select("doc_id", X.normalize(F.col("text")).alias("n"))
+    d = t.texts.select("doc_id", X.normalize(F.col("text")).alias("n"))
     return d.select("doc_id", F.md5("n").alias("text_md5"), F.length("n").alias("chars"))
 
 
@@ -57,7 +57,7 @@ FROM documents
 """)
 def b3(t):
     mime = F.when(F.col("lang") == "en", X.MIME_BY_EXTENSION["pdf"]).otherwise("text/plain")
-    return C.text_status(t.documents.select("doc_id", "text", mime.alias("mime")))
+    return C.text_status(t.texts.select("doc_id", "text", mime.alias("mime")))
 
 
 @query("b4_clean_lines", f"""
@@ -68,7 +68,7 @@ SELECT doc_id, len(kept) AS kept_lines, md5(array_to_string(kept, chr(10))) AS t
 def b4(t):
     kept = X.clean_lines(F.col("text"))
     n = F.when(F.col("k") == "", 0).otherwise(F.size(F.split("k", "\n")))
-    return (t.documents.select("doc_id", kept.alias("k"))
+    return (t.texts.select("doc_id", kept.alias("k"))
             .select("doc_id", n.alias("kept_lines"), F.md5("k").alias("text_md5")))
 
 
@@ -92,7 +92,7 @@ WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS block,
 SELECT doc_id, pos, md5(block) AS block_md5 FROM c WHERE n = 1
 """)
 def b6(t):
-    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "block"))
+    lines = t.texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "block"))
     return C.drop_repeated(lines).select("doc_id", "pos", F.md5("block").alias("block_md5"))
 
 
@@ -125,9 +125,9 @@ FROM s WHERE unit <> '' AND greatest(1, length(unit) // 3) <= 500 GROUP BY 1, 2
 """)
 def b8(t):
     """Paragraph and sentence units; the windows of over-long sentences are covered by b8_word_windows."""
-    u = C.units(t.documents.select("doc_id", "text"), 500, keys=("doc_id",))
+    u = C.units(t.texts.select("doc_id", "text"), 500, keys=("doc_id",))
     # a word window is never a whole sentence of the text, so it drops out here
-    whole = (t.documents.select("doc_id", F.explode(F.filter(F.flatten(F.transform(
+    whole = (t.texts.select("doc_id", F.explode(F.filter(F.flatten(F.transform(
         F.split("text", "\n\n"), lambda p: F.concat(F.array(p), F.split(p, X.SENTENCE_GAP)))),
         lambda s: X.n_tokens(X.strip(s)) <= 500)).alias("s"))
         .select("doc_id", F.md5(X.strip(F.col("s"))).alias("unit_md5")).distinct())
@@ -142,7 +142,7 @@ SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(text, '\\s+
 """)
 def b8w(t):
     """No unit is over budget, and the units of a document in order give back all of its words."""
-    u = C.units(t.documents.select("doc_id", "text"), 40, keys=("doc_id",), count=by_words)
+    u = C.units(t.texts.select("doc_id", "text"), 40, keys=("doc_id",), count=by_words)
     parts = F.sort_array(F.collect_list(F.struct("ord", "text")))
     g = u.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("all"),
                                 F.max("n_tokens").alias("m"))
@@ -152,7 +152,7 @@ def b8w(t):
 
 @query("b9_chunk_pages")
 def b9(t):
-    return (C.chunk_pages(t.documents.select("doc_id", F.lit(1).alias("page"), "text"))
+    return (C.chunk_pages(t.texts.select("doc_id", F.lit(1).alias("page"), "text"))
             .select("doc_id", "page", "ord", F.md5("text").alias("text_md5"), "n_tokens"))
 
 
@@ -162,7 +162,7 @@ SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(text, '\\s+
 """)
 def b9i(t):
     """Chunks without overlap keep every word in order and stay within the budget."""
-    c = C.chunk_pages(t.documents.select("doc_id", F.lit(1).alias("page"), "text"), overlap=0, count=by_words)
+    c = C.chunk_pages(t.texts.select("doc_id", F.lit(1).alias("page"), "text"), overlap=0, count=by_words)
     parts = F.sort_array(F.collect_list(F.struct("ord", "text")))
     g = c.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("all"),
                                 F.max("n_tokens").alias("m"))
@@ -175,7 +175,7 @@ SELECT doc_id, CAST(greatest(1, length(text) // 3) AS BIGINT) AS by_chars,
        CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS BIGINT) AS by_words FROM documents
 """)
 def b10(t):
-    return t.documents.select("doc_id", X.n_tokens(F.col("text")).cast("bigint").alias("by_chars"),
+    return t.texts.select("doc_id", X.n_tokens(F.col("text")).cast("bigint").alias("by_chars"),
                               X.n_tokens(F.col("text"), "words").cast("bigint").alias("by_words"))
 
 
@@ -185,7 +185,7 @@ FROM documents WHERE greatest(1, length(text) // 3) <= 500
 """)
 def b11(t):
     """Documents that are one chunk: metadata of the document and of the page end up on that chunk."""
-    d = t.documents
+    d = t.texts
     docs = d.select("doc_id", F.concat_ws("/", "source", F.concat("doc_id", F.lit(".txt"))).alias("path"),
                     F.col("source").alias("course"), F.lit(None).cast("timestamp_ntz").alias("mtime"))
     pages = d.select("doc_id", F.lit(1).alias("page"), F.col("lang").alias("label"),
@@ -204,7 +204,7 @@ WITH w AS (SELECT doc_id, lang, lower(text) AS low, text,
 SELECT doc_id, lang, CASE WHEN letters > 0 AND arabic / letters > 0.3 THEN 'ar' WHEN fr > en THEN 'fr' ELSE 'en' END AS guess FROM c
 """)
 def b12(t):
-    return t.documents.select("doc_id", "lang", X.detect_lang(F.col("text")).alias("guess"))
+    return t.texts.select("doc_id", "lang", X.detect_lang(F.col("text")).alias("guess"))
 
 
 @query("b13_keywords", rf"""
@@ -224,7 +224,7 @@ WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS s FROM
 SELECT doc_id, CASE WHEN length(s) <= 240 THEN s ELSE regexp_replace(left(s, 240), ' [^ ]*$', '') || '…' END AS snippet FROM f
 """)
 def b14(t):
-    return t.documents.select("doc_id", X.snippet(F.col("text")).alias("snippet"))
+    return t.texts.select("doc_id", X.snippet(F.col("text")).alias("snippet"))
 
 
 @query("b15_excerpt", r"""
@@ -237,7 +237,7 @@ SELECT doc_id, CASE WHEN length(s) <= 240 THEN s ELSE regexp_replace(left(s, 240
        md5(s) AS body_md5 FROM s
 """)
 def b15(t):
-    return t.documents.select("doc_id", X.excerpt(F.col("text")).alias("excerpt"),
+    return t.texts.select("doc_id", X.excerpt(F.col("text")).alias("excerpt"),
                               F.md5(X.excerpt(F.col("text"), 10_000_000)).alias("body_md5"))
 
 
@@ -247,7 +247,7 @@ SELECT doc_id, md5(regexp_replace(regexp_replace('# ' || source || chr(10) || ch
 """)
 def b15w(t):
     note = F.concat(F.lit("# "), "source", F.lit("\n\n*"), "lang", F.lit(" › "), "source", F.lit("*\n"), "text")
-    return t.documents.select("doc_id", F.md5(X.without_leading_title(note)).alias("body_md5"))
+    return t.texts.select("doc_id", F.md5(X.without_leading_title(note)).alias("body_md5"))
 
 
 @query("b16_normalise_math", r"""
