@@ -54,8 +54,9 @@ def unit_array(col: Column, budget: int, count: Callable[[Column], Column] = X.n
 def units(pages: DataFrame, budget: int = 500, keys: tuple[str, ...] = ("doc_id", "page"), text: str = "text",
           count: Callable[[Column], Column] = X.n_tokens) -> DataFrame:
     """One row per unit: keys, ``ord`` from 0, ``text``, ``n_tokens``."""
-    rows = pages.select(*keys, F.posexplode(unit_array(F.col(text), budget, count)).alias("ord", "text"))
-    return rows.withColumn("n_tokens", count(F.col("text")))
+    # outer + filter: a plain explode makes Spark test the array's size first, which computes the array twice
+    rows = pages.select(*keys, F.posexplode_outer(unit_array(F.col(text), budget, count)).alias("ord", "text"))
+    return rows.filter("ord IS NOT NULL").withColumn("n_tokens", count(F.col("text")))
 
 
 def pack_ranges(max_tokens: int, overlap: int):
@@ -98,7 +99,7 @@ def chunk_pages(pages: DataFrame, max_tokens: int = 500, overlap: int = 80,
     """
     with_units = pages.select(*keys, unit_array(F.col(text), max_tokens, count).alias("_units"))
     counted = with_units.withColumn("_ranges", pack_ranges(max_tokens, overlap)(F.transform("_units", lambda u: count(u))))
-    rows = counted.select(*keys, "_units", F.posexplode("_ranges").alias("ord", "_r"))
+    rows = counted.select(*keys, "_units", F.posexplode_outer("_ranges").alias("ord", "_r")).filter("ord IS NOT NULL")
     joined = F.array_join(F.slice("_units", F.col("_r.first") + 1, F.col("_r.last") - F.col("_r.first") + 1), "\n")
     return rows.select(*keys, "ord", joined.alias("text")).withColumn("n_tokens", count(F.col("text")))
 

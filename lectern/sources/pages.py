@@ -142,7 +142,8 @@ def embedded_files(pages: DataFrame, own_host: Column | None = None, html: str =
     """
     marker = "" if file_attr is None else rf"(?=[^>]*\b{file_attr}\s*=)"
     anchors = F.regexp_extract_all(F.col(html), F.lit(rf"(?is)<a\b{marker}[^>]*>.*?</a>"), 0)
-    rows = pages.select(*[c for c in pages.columns if c != html], F.posexplode(anchors).alias("pos", "_a"))
+    rows = pages.select(*[c for c in pages.columns if c != html], F.posexplode_outer(anchors).alias("pos", "_a")).filter(
+        "pos IS NOT NULL")
     link = _absolute(_attribute(F.col("_a"), "href"), F.col(url))
     last = F.element_at(F.split(F.regexp_replace(link, r"[?#].*$", ""), "/"), -1)
     name = last if file_attr is None else _file_name(F.col("_a"), file_attr)
