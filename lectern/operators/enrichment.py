@@ -123,7 +123,8 @@ def _summarise_column(df: DataFrame, summariser: Summariser | None) -> DataFrame
                 failed.append(reply is None)
             yield pdf.assign(text=out, failed=failed)
 
-    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("failed", T.BooleanType())]))
+    fields = [T.StructField(f.name, f.dataType, True) for f in df.schema.fields]  # a failed call leaves a NULL text
+    return df.mapInPandas(run, T.StructType([*fields, T.StructField("failed", T.BooleanType())]))
 
 
 def summarise(chunks: DataFrame, summariser: Summariser | None = None, budget: int = 2500,

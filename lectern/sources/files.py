@@ -49,7 +49,7 @@ def _relative(uri: Column, root: str) -> Column:
 
 def scan_inbox(spark: SparkSession, root: str) -> DataFrame:
     """Every supported file under ``root``: path, course, title, mime, mtime, content. ``content`` is only read
-    from disk if the caller selects it."""
+    from disk if the caller selects it. Spark's file sources never list files of zero bytes."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
              .option("pathGlobFilter", _any_case_glob(X.MIME_BY_EXTENSION)).load(root))
     rows = files.select(_relative(F.col("path"), root).alias("path"),
@@ -65,8 +65,8 @@ def note_title(text: Column, path: Column) -> Column:
 
 def read_notes(spark: SparkSession, root: str) -> DataFrame:
     """Text notes as one-page documents: path, course, title, mime, text (normalised)."""
-    raw = (spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-           .option("pathGlobFilter", _any_case_glob(["md", "txt"])).text(root)
+    raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", _any_case_glob(["md", "txt"]))
+           .text(root, wholetext=True)
            .select(F.col("value"), F.col("_metadata.file_path").alias("uri")))
     uri = F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B")))
     rows = path_rules(raw.select(_relative(uri, root).alias("path"), X.normalize(F.col("value")).alias("text")))
