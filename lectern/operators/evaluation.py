@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .scan import previous_value
+from .scan import global_rank, previous_value, running_total
 
 MIN_TOKENS = 60
 MIN_PER_GROUP = 5
@@ -29,33 +29,40 @@ def page_pool(chunks: DataFrame, asked: DataFrame, min_tokens: int = MIN_TOKENS)
 def quotas(sizes: DataFrame, n: int, floor: int = MIN_PER_GROUP) -> DataFrame:
     """Questions per group: a round-robin floor, the rest in proportion to the room left, largest remainders first.
 
-    ``sizes`` is one row per group (``course, size``), so the windows here run over a summary, never over rows of data.
+    ``sizes`` is one row per group: ``course, size``. Groups are ranked once by size; everything else is a few sums
+    over all groups and running totals in blocks, so many groups are as fine as few.
+
+    The groups of at least r rows are the first ones in size order. Round r of the floor therefore hands out a known
+    stretch of places, and a group's share of the floor follows from its rank alone.
     """
-    by_size = [F.desc("size"), F.coalesce(F.col("course").cast("string"), F.lit("None"))]
-    everything = Window.partitionBy(F.lit(0))
-    s = sizes.withColumn("_n", F.least(F.lit(n).cast("bigint"), F.sum("size").over(everything)))
-    s = s.withColumn("_ord", F.row_number().over(everything.orderBy(*by_size)))
-    slots = s.select("course", "_ord", "_n", F.explode(F.sequence(F.lit(1), F.lit(floor))).alias("_round"), "size")
-    slots = slots.filter("_round <= size").withColumn(
-        "_slot", F.row_number().over(everything.orderBy("_round", "_ord"))).filter("_slot <= _n")
-    given = slots.groupBy("_ord").agg(F.count("*").alias("_q0"))
-    s = s.join(given, "_ord", "left").withColumn("_q0", F.coalesce("_q0", F.lit(0)))
-
-    left = F.col("_n") - F.sum("_q0").over(everything)
-    s = s.withColumn("_left", left).withColumn("_cap", F.col("size") - F.col("_q0"))
-    s = s.withColumn("_share", F.when(F.col("_left") > 0, F.col("_left") * F.col("_cap")
-                                      / F.sum("_cap").over(everything)).otherwise(0.0))
-    s = s.withColumn("_q1", F.col("_q0") + F.least("_cap", F.floor("_share")))
-    short = F.col("_n") - F.sum("_q1").over(everything)
-    room = (F.col("_q1") < F.col("size")).cast("int")
-    s = s.withColumn("_short", short).withColumn(
-        "_turn", F.sum(room).over(everything.orderBy(F.desc(F.col("_share") - F.floor("_share")), "_ord")))
-    s = s.withColumn("_q2", F.col("_q1") + F.when((room == 1) & (F.col("_turn") <= F.col("_short")), 1).otherwise(0))
-    s = s.withColumn("_short", F.col("_n") - F.sum("_q2").over(everything)).withColumn("_cap", F.col("size") - F.col("_q2"))
-    ahead = F.coalesce(F.sum("_cap").over(everything.orderBy("_ord").rowsBetween(Window.unboundedPreceding, -1)),
-                       F.lit(0))
-    fill = F.greatest(F.lit(0), F.least(F.col("_cap"), F.col("_short") - ahead))
-    return s.select("course", "size", (F.col("_q2") + fill).cast("bigint").alias("quota"))
+    name = F.coalesce(F.col("course").cast("string"), F.lit("None"))
+    s = global_rank(sizes.select("course", F.col("size").cast("bigint").alias("size")), [F.desc("size"), name], "_ord")
+    total, *at_least = s.agg(F.sum("size"), *[F.count_if(F.col("size") >= r) for r in range(1, floor + 1)]).first()
+    n = min(n, total or 0)
+    before, given = 0, F.lit(0).cast("bigint")
+    for r, groups in enumerate(at_least, start=1):
+        given = given + ((F.col("size") >= r) & (F.col("_ord") <= n - before)).cast("bigint")
+        before += groups
+    s = s.withColumn("_q", given)
+
+    used, room = s.agg(F.sum("_q"), F.sum(F.col("size") - F.col("_q"))).first()
+    left = n - (used or 0)
+    cap = F.col("size") - F.col("_q")
+    share = F.lit(left) * cap / F.lit(room) if left > 0 else F.lit(0.0)
+    s = s.withColumn("_share", share).withColumn("_q", F.col("_q") + F.least(cap, F.floor("_share")))
+    short = n - (s.agg(F.sum("_q")).first()[0] or 0)
+    if short > 0:
+        open_ = s.filter(F.col("_q") < F.col("size")).select("_ord", (F.col("_share") - F.floor("_share")).alias("_rest"))
+        turns = global_rank(open_, [F.desc("_rest"), F.asc("_ord")], "_turn").filter(F.col("_turn") <= short)
+        s = s.join(turns.select("_ord", F.lit(1).alias("_extra")), "_ord", "left").withColumn(
+            "_q", F.col("_q") + F.coalesce("_extra", F.lit(0)))
+        short = n - s.agg(F.sum("_q")).first()[0]
+    if short > 0:
+        s = running_total(s.withColumn("_all", F.lit(1)), ["_all"], "_ord", F.col("size") - F.col("_q"), "_upto")
+        ahead = F.col("_upto") - (F.col("size") - F.col("_q"))
+        s = s.withColumn("_q", F.col("_q") + F.greatest(F.lit(0), F.least(
+            F.col("size") - F.col("_q"), F.lit(short) - ahead)))
+    return s.select("course", "size", F.col("_q").cast("bigint").alias("quota"))
 
 
 def stratified_sample(pool: DataFrame, per_group: DataFrame, n: int, key: Column, seed: int = 1) -> DataFrame:

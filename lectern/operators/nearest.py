@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .parallel import broadcast_if_small
+
 BLOCK = 2048
 MAX_CELLS = 2048
 
@@ -46,14 +48,18 @@ def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(cols)
 
 
-def block_join(questions: DataFrame, chunks: DataFrame, kernel, schema: T.StructType, block: int = BLOCK) -> DataFrame:
+def block_join(questions: DataFrame, chunks: DataFrame, kernel, schema: T.StructType, block: int = BLOCK,
+               few_parts: bool = False) -> DataFrame:
     """Run ``kernel(question table, chunk table)`` on every pair of blocks that share a ``part``.
 
     Both inputs have a ``part`` column and an ``id``. The number of blocks of a part follows its size on each side.
+    ``few_parts`` says that parts are cells (at most MAX_CELLS); otherwise the table of part sizes is counted before
+    it is broadcast. Either way the vectors move once, to their block.
     """
     n_c = chunks.groupBy("part").agg(F.ceil(F.count("*") / block).alias("_nc"))
     n_q = questions.groupBy("part").agg(F.ceil(F.count("*") / block).alias("_nq"))
     sizes = n_c.join(n_q, "part")
+    sizes = F.broadcast(sizes) if few_parts else broadcast_if_small(sizes)
 
     def spread(df: DataFrame, mine: str, other: str, my_block: str, other_block: str) -> DataFrame:
         return (df.join(sizes, "part")
@@ -183,7 +189,7 @@ def dense_topk(questions: DataFrame, chunks: DataFrame, k: int, scope: str | Non
     q, c = _sides(questions, chunks, F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
     n_cells = min(MAX_CELLS, math.ceil(chunks.count() / cell_size))
     if n_cells <= 1:
-        return _ranked(block_join(q, c, kernel, HITS, block), k)
+        return _ranked(block_join(q, c, kernel, HITS, block, few_parts=True), k)
 
     q, c = q.drop("part"), c.drop("part")
     cells = _sampled_cells(c, n_cells)
@@ -191,7 +197,7 @@ def dense_topk(questions: DataFrame, chunks: DataFrame, k: int, scope: str | Non
     cells.measure(assigned)
     parts = assigned.drop("_cos")
     need = 4 * k + 1
-    first = block_join(cells.visits(q, lambda b, a: cells.first_probe(a, need)), parts, kernel, HITS, block)
+    first = block_join(cells.visits(q, lambda b, a: cells.first_probe(a, need)), parts, kernel, HITS, block, True)
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
     kth = (first.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == k)
            .select(F.col("question_id").alias("id"), F.col("score").alias("_kth")))
@@ -203,7 +209,7 @@ def dense_topk(questions: DataFrame, chunks: DataFrame, k: int, scope: str | Non
         return (bound >= kth_score[:, None]) & (cells.sizes > 0) & ~cells.first_probe(angles, need)
 
     bounded = q.join(kth, "id", "left").withColumn("_kth", F.coalesce("_kth", F.lit(-2.0)))
-    second = block_join(cells.visits(bounded, still_open), parts, kernel, HITS, block)
+    second = block_join(cells.visits(bounded, still_open), parts, kernel, HITS, block, True)
     return _ranked(first.unionByName(second), k)
 
 
@@ -221,7 +227,7 @@ def ann_topk(questions: DataFrame, chunks: DataFrame, k: int, n_probe: int = 8,
     n = chunks.count()
     n_cells = min(MAX_CELLS, n_cells or max(1, round(math.sqrt(n))))
     fraction = min(1.0, 256 * n_cells / max(n, 1))
-    sample = c.filter(F.abs(F.xxhash64("id")) % 1_000_000 < int(fraction * 1_000_000) + 1)
+    sample = c.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(fraction * 1_000_000) + 1)  # training only
     vectors = sample.select(array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("features"))
     model = KMeans(k=n_cells, seed=seed, maxIter=5, distanceMeasure="cosine").fit(vectors)
     cells = Cells(np.array(model.clusterCenters()))
@@ -232,7 +238,8 @@ def ann_topk(questions: DataFrame, chunks: DataFrame, k: int, n_probe: int = 8,
         limit = np.partition(angles, keep - 1, axis=1)[:, keep - 1]
         return angles <= limit[:, None]
 
-    return _ranked(block_join(cells.visits(q, nearest), parts, _topk_kernel(k, digits, exclude_self), HITS, block), k)
+    kernel = _topk_kernel(k, digits, exclude_self)
+    return _ranked(block_join(cells.visits(q, nearest), parts, kernel, HITS, block, True), k)
 
 
 def doc_boost(hits: DataFrame, questions: DataFrame, doc_vecs: DataFrame, boost: float, k: int,

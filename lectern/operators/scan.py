@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 def _same(names: list[str]) -> Column:
     """Null-safe equality of the named columns of sides ``r`` and ``o``."""
@@ -44,3 +46,22 @@ def previous_value(df: DataFrame, keys: list[str], order: str, value: str, out:
     first = F.row_number().over(inside) == 1
     return (joined.withColumn(out, F.when(first, F.col("_carry")[value]).otherwise(F.lag(value).over(inside)))
             .drop("_block", "_carry"))
+
+
+def global_rank(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Add ``out`` = 1-based position of each row in a total order, without sorting everything in one task.
+
+    Rows are range-partitioned and sorted; a row's position is its place in its partition plus the sizes of the
+    partitions before it. The sorted rows are checkpointed, so both steps see the same partitions.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    place = F.monotonically_increasing_id()
+    rows = df.orderBy(*order).withColumn("_m", place).checkpoint()
+    rows = rows.withColumn("_part", F.shiftright("_m", 33)).withColumn(
+        "_row", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_size"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    # one row per partition of the sort
+    return (rows.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_before") + F.col("_row") + 1)
+            .drop("_m", "_part", "_row", "_before"))
