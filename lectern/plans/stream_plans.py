@@ -20,7 +20,8 @@ class Live:
 
 
 def stamped(t):
-    return Live(t).events.withColumn("ts", F.col("ts").cast("timestamp"))
+    """Event times are UTC, whatever the session's zone."""
+    return Live(t).events.withColumn("ts", F.concat(F.col("ts").cast("string"), F.lit("+00:00")).cast("timestamp"))
 
 
 FILE_SQL = """fe AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'created' WHEN 'view' THEN 'modified' WHEN 'signup' THEN 'moved' WHEN 'error' THEN 'deleted' ELSE 'opened' END AS kind,
@@ -55,7 +56,8 @@ SELECT user_id, last_kind, strftime(last_ts, '%Y-%m-%d %H:%M:%S') AS last_ts, n
 def s2(t):
     """Two quiet hours settle a user's burst of events."""
     out = S.run_available(S.settled(stamped(t), "user_id", "2 hours", "1 hour", "event_type"), "settled")
-    return out.select("user_id", "last_kind", F.date_format("last_ts", "yyyy-MM-dd HH:mm:ss").alias("last_ts"), "n")
+    return out.select("user_id", "last_kind", F.date_format(
+        F.to_utc_timestamp("last_ts", F.current_timezone()), "yyyy-MM-dd HH:mm:ss").alias("last_ts"), "n")
 
 
 @query("s4_live_counts", f"""WITH {SYNC_SQL}

@@ -68,7 +68,8 @@ def live_daily(log: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Questions and approximate median latency per UTC day, emitted once the day can no longer change."""
     g = log.withWatermark("ts", lateness).groupBy(F.window("ts", "1 day").alias("w")).agg(
         F.count("*").alias("questions"), F.percentile_approx("latency_ms", 0.5).alias("median_ms"))
-    return g.select(F.to_date("w.start").alias("day"), "questions", "median_ms")
+    utc = F.to_utc_timestamp("w.start", F.current_timezone())
+    return g.select(F.to_date(utc).alias("day"), "questions", "median_ms")
 
 
 def replay_dedup(items: DataFrame, key: str, lateness: str = "1 day") -> DataFrame:
@@ -130,17 +131,20 @@ def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
         batch.withColumn("_batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(
             f"{base}/out/part-{number}")
 
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # every shuffle partition is a state store; beyond twice the cores they only add overhead
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+              "spark.sql.shuffle.partitions": str(min(partitions, 2 * spark.sparkContext.defaultParallelism))}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         query = (df.writeStream.outputMode(mode).foreachBatch(write).trigger(availableNow=True)
                  .option("checkpointLocation", f"{base}/checkpoint").start())
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/out")
 
 
