@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat, exact, mixing
+from . import chat, exact, mixing, packing, tokens
 from .common import ORACLES, QUERIES, query, read
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -70,3 +71,13 @@ def op10_mix_sources(spark, sf_dir):
     mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
                         F.col("_target").alias("target"), (F.col("_size") * F.col("_repeats")).alias("taken"))
+
+
+@query("op3_token_counts")
+def op3_token_counts(spark, sf_dir):
+    return tokens.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op9_pack_sequences")
+def op9_pack_sequences(spark, sf_dir):
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
