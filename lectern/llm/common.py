@@ -71,3 +71,25 @@ def random64(n: int, seed: int) -> np.ndarray:
     """``n`` fixed pseudo-random 64-bit integers."""
     with np.errstate(over="ignore"):
         return mix64((np.arange(n, dtype=np.uint64) + np.uint64(seed + 1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The runs of rows with equal first ``keys`` columns (null-free) of a sorted stream, one run in memory at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_pylist() for i in range(keys)]
+        own = list(zip(*columns))
+        start = 0
+        for i, key in enumerate(own):
+            if key != last:
+                if i > start:
+                    held.append(batch.slice(start, i - start))
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, last, start = [], key, i
+        held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat, exact, mixing, packing, tokens
+from . import chat, exact, minhash, mixing, packing, tokens
 from .common import ORACLES, QUERIES, query, read
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -81,3 +81,8 @@ def op3_token_counts(spark, sf_dir):
 @query("op9_pack_sequences")
 def op9_pack_sequences(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op2_near_duplicates")
+def op2_near_duplicates(spark, sf_dir):
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
