@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat, exact, minhash, mixing, packing, tokens
+from . import chat, exact, minhash, mixing, packing, pii, tokens, toxicity
 from .common import ORACLES, QUERIES, query, read
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -86,3 +86,14 @@ def op9_pack_sequences(spark, sf_dir):
 @query("op2_near_duplicates")
 def op2_near_duplicates(spark, sf_dir):
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+@query("op1_personal_data")
+def op1_personal_data(spark, sf_dir):
+    return pii.find_personal_data(read(spark, sf_dir, "documents"))
