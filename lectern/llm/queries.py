@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat, exact, minhash, mixing, packing, pii, tokens, toxicity
+from . import chat, exact, html, minhash, mixing, packing, pii, tokens, toxicity, vectors
 from .common import ORACLES, QUERIES, query, read
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -97,3 +97,13 @@ def op8_toxicity(spark, sf_dir):
 @query("op1_personal_data")
 def op1_personal_data(spark, sf_dir):
     return pii.find_personal_data(read(spark, sf_dir, "documents"))
+
+
+@query("op7_html_text")
+def op7_html_text(spark, sf_dir):
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
+@query("op5_near_vectors")
+def op5_near_vectors(spark, sf_dir):
+    return vectors.near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
