@@ -1,24 +1,60 @@
-"""Corpus cleaning as a chain of stages, each written as Parquet and read again by the next one."""
+"""Corpus preparation as a chain of stages, each written as Parquet and read again by the next one."""
 
 from __future__ import annotations
 
 import os
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from lectern.llm import exact, minhash, mixing, packing, toxicity
+from lectern.session import ensure_checkpoint_dir
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones among them, does not call toxic."""
+    return toxicity.clean(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the one of largest id."""
+    return exact.distinct_texts(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return minhash.distinct_documents(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix draws them."""
+    return mixing.repeated(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and place."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Signatures, a fitted classifier and tokenizers are not SQL; tests/llm compares the stages with plain versions.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents. The tables in between go to a new folder beside the shared checkpoints."""
-    from lectern.session import ensure_checkpoint_dir
-
     ensure_checkpoint_dir(spark)
     folder = os.path.join(spark.sparkContext.getCheckpointDir(), f"corpus-{uuid.uuid4().hex}")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
+    for i, (_, stage) in enumerate(STAGES):
         if i:
             docs.write.parquet(path := f"{folder}/{i}-{STAGES[i - 1][0]}")
             docs = spark.read.parquet(path)

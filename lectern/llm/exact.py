@@ -115,3 +115,12 @@ def exact_groups(docs: DataFrame, widths: tuple[int, ...] = (8, 16, 32, 64)) ->
         F.col("recipe").alias("_recipe"), F.xxhash64("recipe").alias("_group_hash"), "keep_id", "group_size")
     return rows.join(groups, (F.col("_hash") == F.col("_group_hash")) & (F.col("recipe") == F.col("_recipe"))).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``exact_groups`` keeps, with all their columns, each once."""
+    groups = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    text = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = docs.withColumn("_sha", F.sha2(text, 256))
+    kept = rows.join(groups, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)

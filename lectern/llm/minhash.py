@@ -220,3 +220,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of the one document that ``near_duplicates`` keeps of each group."""
+    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")

@@ -162,6 +162,12 @@ def cover(texts: list[set[str]], clean: dict[str, int], weights: list[float]) ->
     return lexicon
 
 
+def _score(text: str, hits: _Hits, model: Model) -> float:
+    found = set(restored_words(text, hits.__getitem__))
+    found.discard("")
+    return 1 - math.prod(1 - model.lexicon[f] for f in found) if found else model.base
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` for every row, from its whole restored text.
 
@@ -172,14 +178,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        hits, weight = _Hits(model), model.lexicon
+        hits = _Hits(model)
         for batch in batches:
-            scores = []
-            for text in texts_of(batch.column(2)):
-                found = set(restored_words(text, hits.__getitem__))
-                found.discard("")
-                scores.append(1 - math.prod(1 - weight[f] for f in found) if found else model.base)
-            scores = np.array(scores, float)
+            scores = np.array([_score(t, hits, model) for t in texts_of(batch.column(2))], float)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))],
                 ["doc_id", "held_out", "score", "predicted"])
@@ -199,3 +200,16 @@ def restore(docs: DataFrame, letters: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.string())], ["doc_id", "restored"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, restored string")
+
+
+def clean(docs: DataFrame, model: Model, most: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is below ``most``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits, model = _Hits(shared.value), shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([_score(t, hits, model) < most for t in texts_of(batch.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
