@@ -150,6 +150,9 @@ def verified_links(members: DataFrame, which: str) -> DataFrame:
             union = Union(table.column("label").to_pylist())
             sets = [np.frombuffer(x, np.uint64) for x in table.column("members").to_pylist()]
             size = np.array([len(s) for s in sets])
+            # shingles of the group as small numbers: a row's own are marked, then looked up for many others at once
+            _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+            sets, mine = np.split(ids, np.cumsum(size)[:-1]), np.zeros(ids.max() + 1, bool)
             marks = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
             least, out = int(ESTIMATE * SLOTS), []
             for i in range(len(node) - 1):
@@ -157,12 +160,18 @@ def verified_links(members: DataFrame, which: str) -> DataFrame:
                 other = other[4 * np.minimum(size[other], size[i]) >= 3 * np.maximum(size[other], size[i])]
                 same = np.count_nonzero(marks[other] == marks[i], axis=1)
                 order = np.argsort(-same, kind="stable")
-                for j in other[order[same[order] >= least]]:
-                    if union.root[j] != union.root[i]:
-                        common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                        if 100 * common >= 75 * (size[i] + size[j] - common):
+                other = other[order[same[order] >= least]]
+                mine[sets[i]] = True
+                while len(other):
+                    now, other = other[:64], other[64:]
+                    starts = np.concatenate([[0], np.cumsum(size[now])[:-1]])
+                    common = np.add.reduceat(mine[np.concatenate([sets[j] for j in now])], starts, dtype=np.int64)
+                    for j in now[100 * common >= 75 * (size[i] + size[now] - common)]:
+                        if union.root[j] != union.root[i]:
                             union.join(i, j)
                             out.append((node[i], node[j]))
+                    other = other[union.root[other] != union.root[i]]
+                mine[sets[i]] = False
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()),
                                                   pa.array([x for _, x in out], pa.binary())], ["a", "b"])
