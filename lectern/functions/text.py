@@ -90,9 +90,15 @@ def bounded_words(col: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    """Unicode compatibility composition, the one text step Spark has no built-in for."""
-    return texts.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKC", s))
+def _compose(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda s: s if s is None else unicodedata.normalize("NFKC", s))
+
+
+def nfkc(col: Column | str) -> Column:
+    """Unicode compatibility composition, the one text step Spark has no built-in for. Only texts with a character
+    beyond ASCII travel to Python."""
+    col = F.col(col) if isinstance(col, str) else col
+    return F.coalesce(_compose(F.when(col.rlike(r"[^\x00-\x7F]"), col)), col)
 
 
 def tidy_layout(col: Column) -> Column:
@@ -239,9 +245,10 @@ def strip_reasoning(col: Column) -> Column:
     return F.when(col.contains("</think>"), tail).otherwise(col)
 
 
-def first_sentence(col: Column, size: int = 200) -> Column:
+def first_sentence(col: Column, size: int | None = 200) -> Column:
+    """The first sentence, cut to ``size`` characters where one is given (a preview)."""
     first = F.element_at(F.split(strip(col), r"(?<=[.!?])[\s\x1c-\x1f\x85\p{Z}]", 2), 1)
-    return F.substring(first, 1, size)
+    return first if size is None else F.substring(first, 1, size)
 
 
 def icontains(col: Column, needle: Column | str) -> Column:
@@ -313,12 +320,14 @@ def safe_segment(col: Column, limit: int = 80) -> Column:
 
 
 def _accent_map() -> tuple[str, str]:
-    """Latin letters with accents, and the base letter each one decomposes to."""
+    """All letters of the basic plane that decompose to one letter and marks, and that letter, in lower case."""
     pairs = {}
-    for code in range(0xC0, 0x250):
-        base = unicodedata.normalize("NFD", chr(code))[0].lower()
-        if base != chr(code) and len(base) == 1:
-            pairs[chr(code)] = base
+    for code in (*range(0xC0, 0xAC00), *range(0xD7A4, 0xD800), *range(0xF900, 0x10000)):
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        if (marks and all(map(unicodedata.combining, marks)) or code < 0x250) and base.isalpha():
+            base = base.lower()
+            if base != chr(code) and len(base) == 1 and ord(base) < 0x10000:
+                pairs[chr(code)] = base
     return "".join(pairs), "".join(pairs.values())
 
 

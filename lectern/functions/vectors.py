@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision."""
@@ -18,6 +20,4 @@ def norm(a: Column) -> Column:
 
 def l2_normalize(a: Column) -> Column:
     """Unit length; the zero vector stays zero."""
-    n = norm(a)
-    return F.when(n == 0, F.transform(a, lambda x: x.cast("double"))).otherwise(
-        F.transform(a, lambda x: x.cast("double") / n))
+    return let(norm(a), lambda n: F.transform(a, lambda x: F.when(n == 0, x.cast("double")).otherwise(x.cast("double") / n)))

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,35 +58,38 @@ def units(pages: DataFrame, budget: int = 500, keys: tuple[str, ...] = ("doc_id"
     return rows.filter("ord IS NOT NULL").withColumn("n_tokens", count(F.col("text")))
 
 
-def pack_ranges(max_tokens: int, overlap: int):
-    """Arrow function: token counts of consecutive units -> (first, last) unit of every chunk.
+def pack_ranges(counts: Column, max_tokens: int, overlap: int) -> Column:
+    """Token counts of consecutive units -> (first, last) unit of every chunk, as one fold over the counts.
 
     A chunk closes when the next unit would overflow it. The next chunk reopens with the trailing units that fit
     in ``overlap`` and still leave room for that unit.
     """
-
-    def pack(tokens) -> list[dict]:
-        out: list[dict] = []
-        first, used = 0, 0
-        for i, n in enumerate(tokens):
-            if i > first and used + n > max_tokens:
-                out.append({"first": first, "last": i - 1})
-                floor, kept, first_kept = first, 0, i
-                while (first_kept > floor and kept + tokens[first_kept - 1] <= overlap
-                       and kept + tokens[first_kept - 1] + n <= max_tokens):
-                    first_kept -= 1
-                    kept += tokens[first_kept]
-                first, used = first_kept, kept
-            used += n
-        if len(tokens):
-            out.append({"first": first, "last": len(tokens) - 1})
-        return out
-
-    @F.pandas_udf(RANGES)
-    def ranges(counts: pd.Series) -> pd.Series:
-        return counts.map(lambda c: [] if c is None else pack([int(n) for n in c]))
-
-    return ranges
+    size = F.size(counts)
+
+    def fold(counts: Column) -> Column:
+        empty = F.struct(F.lit(0).alias("first"), F.lit(0).cast("bigint").alias("used"),
+                         F.array().cast(RANGES).alias("out"))
+
+        def step(s: Column, i: Column) -> Column:
+            n = F.element_at(counts, i + 1)
+            full = (i > s["first"]) & (s["used"] + n > max_tokens)
+            # tail sums from the end of the closing chunk: how many of its last units come along
+            tail = F.aggregate(
+                F.reverse(F.slice(counts, s["first"] + 1, F.greatest(i - s["first"], F.lit(0)))),
+                F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("kept"), F.lit(True).alias("open")),
+                lambda t, x: F.when(t["open"] & (t["kept"] + x <= overlap) & (t["kept"] + x + n <= max_tokens),
+                                    F.struct((t["n"] + 1).alias("n"), (t["kept"] + x).alias("kept"), F.lit(True).alias("open")))
+                .otherwise(F.struct(t["n"].alias("n"), t["kept"].alias("kept"), F.lit(False).alias("open"))))
+            return F.when(full, X.let(tail, lambda t: F.struct(
+                (i - t["n"]).alias("first"), (t["kept"] + n).alias("used"),
+                F.concat(s["out"], F.array(F.struct(s["first"].alias("first"), (i - 1).alias("last")))).alias("out")))
+            ).otherwise(F.struct(s["first"].alias("first"), (s["used"] + n).alias("used"), s["out"].alias("out")))
+
+        steps = F.when(F.size(counts) > 0, F.sequence(F.lit(0), F.size(counts) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(steps, empty, step, lambda s: F.when(F.size(counts) > 0, F.concat(
+            s["out"], F.array(F.struct(s["first"].alias("first"), (F.size(counts) - 1).alias("last"))))).otherwise(s["out"]))
+
+    return F.when(size >= 0, X.let(F.transform(counts, lambda c: c.cast("bigint")), fold))
 
 
 def chunk_pages(pages: DataFrame, max_tokens: int = 500, overlap: int = 80,
@@ -98,7 +100,7 @@ def chunk_pages(pages: DataFrame, max_tokens: int = 500, overlap: int = 80,
     Row-local from end to end (no shuffle): a page is one row, so it can never leak into another one.
     """
     with_units = pages.select(*keys, unit_array(F.col(text), max_tokens, count).alias("_units"))
-    counted = with_units.withColumn("_ranges", pack_ranges(max_tokens, overlap)(F.transform("_units", lambda u: count(u))))
+    counted = with_units.withColumn("_ranges", pack_ranges(F.transform("_units", lambda u: count(u)), max_tokens, overlap))
     rows = counted.select(*keys, "_units", F.posexplode_outer("_ranges").alias("ord", "_r")).filter("ord IS NOT NULL")
     joined = F.array_join(F.slice("_units", F.col("_r.first") + 1, F.col("_r.last") - F.col("_r.first") + 1), "\n")
     return rows.select(*keys, "ord", joined.alias("text")).withColumn("n_tokens", count(F.col("text")))
@@ -146,23 +148,17 @@ def sections(lines: DataFrame, keys: list[str], order: str = "ord", text: str =
     return g.withColumn("text", X.tidy_layout(F.col("_body"))).filter("text <> ''").drop("_body")
 
 
-def group_ids(budget: int):
-    """Arrow function: token counts in order -> group number of each item; an oversize item stands alone."""
-
-    def assign(tokens) -> list[int]:
-        out, group, used, members = [], 0, 0, 0
-        for n in tokens:
-            if members and used + n > budget:
-                group, used, members = group + 1, 0, 0
-            out.append(group)
-            used, members = used + n, members + 1
-        return out
+def group_ids(counts: Column, budget: int) -> Column:
+    """Token counts in order -> group number of each item, as one fold; an oversize item stands alone."""
+    start = F.struct(F.lit(0).alias("group"), F.lit(0).cast("bigint").alias("used"), F.array().cast("array<int>").alias("out"))
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def ids(counts: pd.Series) -> pd.Series:
-        return counts.map(lambda c: assign([int(n) for n in c]))
+    def step(s: Column, n: Column) -> Column:
+        full = (F.size(s["out"]) > 0) & (s["used"] + n > budget)
+        group = F.when(full, s["group"] + 1).otherwise(s["group"])
+        return F.struct(group.alias("group"), F.when(full, n).otherwise(s["used"] + n).alias("used"),
+                        F.concat(s["out"], F.array(group)).alias("out"))
 
-    return ids
+    return F.aggregate(F.transform(counts, lambda c: c.cast("bigint")), start, step, lambda s: s["out"])
 
 
 def token_groups(chunks: DataFrame, budget: int = 2500, key: str = "doc_id") -> DataFrame:
@@ -172,6 +168,6 @@ def token_groups(chunks: DataFrame, budget: int = 2500, key: str = "doc_id") ->
     size of that text; the chunk texts themselves never move.
     """
     g = chunks.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ord", "n_tokens"))).alias("_c"))
-    g = g.withColumn("_g", group_ids(budget)(F.transform("_c", lambda x: x["n_tokens"])))
+    g = g.withColumn("_g", group_ids(F.transform("_c", lambda x: x["n_tokens"]), budget))
     pairs = F.arrays_zip(F.transform("_c", lambda x: x["ord"]).alias("ord"), F.col("_g").alias("group_no"))
     return g.select(key, F.inline(pairs).alias("ord", "group_no"))

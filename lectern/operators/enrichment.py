@@ -110,18 +110,18 @@ def _summarise_column(df: DataFrame, summariser: Summariser | None) -> DataFrame
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out, failed = [], []
-            for text in pdf["text"]:
-                reply = None
-                for _ in range(2):  # one retry
+            texts = pdf["text"].tolist()
+            try:
+                out = list(summariser(texts))
+            except Exception:  # noqa: BLE001 -- the retry below finds out which ones fail
+                out = [None] * len(texts)
+            for i, text in enumerate(texts):
+                if out[i] is None:
                     try:
-                        reply = summariser([text])[0]
-                        break
+                        out[i] = summariser([text])[0]
                     except Exception:  # noqa: BLE001 -- a failing document becomes an error row
-                        continue
-                out.append(reply)
-                failed.append(reply is None)
-            yield pdf.assign(text=out, failed=failed)
+                        out[i] = None
+            yield pdf.assign(text=out, failed=[x is None for x in out])
 
     fields = [T.StructField(f.name, f.dataType, True) for f in df.schema.fields]  # a failed call leaves a NULL text
     return df.mapInPandas(run, T.StructType([*fields, T.StructField("failed", T.BooleanType())]))

@@ -107,7 +107,7 @@ def shared_ngrams(a: DataFrame, b: DataFrame, a_id: str, text: str = "text", n:
     per row of ``a`` instead of once per pair.
     """
     def shingles(df: DataFrame, *keep: str) -> DataFrame:
-        grams = df.select(*keep, F.explode_outer(ngrams(_tokens(F.col(text)), n)).alias("g"))
+        grams = df.select(*keep, F.explode_outer(F.array_distinct(ngrams(_tokens(F.col(text)), n))).alias("g"))
         return grams.filter("g IS NOT NULL").select(*keep, F.md5("g").alias("h"))
 
     found = shingles(a, a_id).join(shingles(b).distinct(), "h", "left_semi")

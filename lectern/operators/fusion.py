@@ -64,19 +64,23 @@ def _gate(hits: DataFrame, top_k: int, min_score: float) -> DataFrame:
 def retrieve(questions: DataFrame, chunks: DataFrame, mode: str = "dense", k: int | None = None,
              index: DataFrame | None = None, scope: str | None = None, rerank_with=None,
              candidate_k: int = CANDIDATES, top_k: int = TOP_K, min_score: float = MIN_SCORE, rrf_k: int = RRF_K,
-             exclude_self: bool = False) -> DataFrame:
+             exclude_self: bool = False, dense: DataFrame | None = None) -> DataFrame:
     """Ranked candidates per question with a ``used`` flag (the ones an answer would be built from).
 
     Plain dense: the first ``k`` (default ``top_k``) hits, each used when it reaches ``min_score``. Hybrid, or any mode
     with ``rerank_with(hits) -> hits``: the first ``top_k`` are used if the question is answerable at all.
     ``questions`` needs ``question_id, vec`` (and ``terms`` for hybrid), ``chunks`` needs ``chunk_id, vec``.
+    ``dense`` are hits of a vector search made before, deep enough for this mode; several modes can share it.
     """
     if mode == "dense":
         depth = k or top_k
         want = max(depth, candidate_k) if rerank_with is not None else depth
-        hits = dense_topk(questions, chunks, want, scope, exclude_self=exclude_self)
+        hits = (dense_topk(questions, chunks, want, scope, exclude_self=exclude_self) if dense is None
+                else dense.filter(F.col("rank") <= want))
     elif mode == "hybrid":
-        dense = dense_topk(questions, chunks, candidate_k, scope, exclude_self=exclude_self)
+        if dense is None:
+            dense = dense_topk(questions, chunks, candidate_k, scope, exclude_self=exclude_self)
+        dense = dense.filter(F.col("rank") <= candidate_k)
         lexical = lexical_topk(questions, index, candidate_k + int(exclude_self), scope)
         if exclude_self:
             w = Window.partitionBy("question_id").orderBy("rank")
@@ -133,22 +137,21 @@ Scorer = Callable[[str, list[str]], list[float]]
 def scored_by(pairs: DataFrame, scorer: Scorer, question: str = "question", text: str = "text") -> DataFrame:
     """Pair scores of a user model: question_id, chunk_id, logit (NaN where the model failed).
 
-    ``scorer(question, texts)`` is called once per question and Arrow batch, in executors.
+    ``scorer(question, texts)`` is called once per question with all of its texts (a bounded candidate list, best first
+    only if ``pairs`` has it so), in executors.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk_id", kind="stable")
+        try:
+            logit = np.asarray(scorer(pdf[question].iloc[0], pdf[text].tolist()), dtype=float)
+        except Exception:  # noqa: BLE001 -- that question falls back to the plain order
             logit = np.full(len(pdf), np.nan)
-            for q, at in pdf.groupby(question, sort=False).indices.items():
-                try:
-                    logit[at] = np.asarray(scorer(q, pdf[text].iloc[at].tolist()), dtype=float)
-                except Exception:  # noqa: BLE001 -- that question falls back to the plain order
-                    logit[at] = np.nan
-            yield pdf[["question_id", "chunk_id"]].assign(logit=logit)
+        return pdf[["question_id", "chunk_id"]].assign(logit=logit)
 
     schema = T.StructType([pairs.schema["question_id"], pairs.schema["chunk_id"],
                            T.StructField("logit", T.DoubleType())])
-    return pairs.select("question_id", "chunk_id", question, text).mapInPandas(run, schema)
+    return pairs.select("question_id", "chunk_id", question, text).groupBy("question_id").applyInPandas(run, schema)
 
 
 DEFAULT_TEMPLATE = ("Use only the numbered sources and cite them like [1] or [2][3]. Say so if they do not hold the "

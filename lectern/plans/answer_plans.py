@@ -88,7 +88,7 @@ def e4(t):
 
 @query("e5_history", f"""WITH {LOG_SQL}
 SELECT id, question, answer, latency_ms FROM log WHERE course = 'm3' AND (contains(lower(question), 'by 1') OR contains(lower(answer), 'by 1'))
-  AND id < 9000 ORDER BY id DESC LIMIT 200""")
+  AND id < 9000 ORDER BY id DESC LIMIT 500""")
 def e5(t):
     return H.history(query_log(t), "m3", "BY 1", 9000, 500).select("id", "question", "answer", "latency_ms")
 
@@ -132,10 +132,10 @@ def e8(t):
     return h.withColumn("day", F.col("day").cast("string"))
 
 
-@query("e8_day_groups", f"""WITH {LOG_SQL}, p AS (SELECT * FROM log ORDER BY id DESC LIMIT 200)
+@query("e8_day_groups", f"""WITH {LOG_SQL}, p AS (SELECT * FROM log)
 SELECT strftime(ts + INTERVAL 1 HOUR, '%Y-%m-%d') AS day, string_agg(CAST(id AS VARCHAR), ',' ORDER BY ts DESC, id DESC) AS ids FROM p GROUP BY 1""")
 def e8g(t):
-    g = H.day_groups(H.history(query_log(t), limit=200), "Africa/Tunis")
+    g = H.day_groups(H.history(query_log(t), limit=None), "Africa/Tunis")
     return g.select(F.col("day").cast("string").alias("day"), F.array_join("ids", ",").alias("ids"))
 
 

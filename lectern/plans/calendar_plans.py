@@ -93,7 +93,7 @@ def i5d(t):
 
 
 DAYS_SQL = """dy AS (SELECT *, CAST(starts_at + INTERVAL 1 HOUR AS DATE) AS a, CAST(CASE WHEN ends_at > starts_at THEN ends_at + INTERVAL 1 HOUR - INTERVAL 1 MICROSECOND ELSE starts_at + INTERVAL 1 HOUR END AS DATE) AS z FROM {0} WHERE starts_at IS NOT NULL),
-ex AS (SELECT *, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(least(z, a + 365) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM dy)"""
+ex AS (SELECT *, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(z AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM dy)"""
 
 
 @query("i6_expand_days", f"""WITH {ITEMS_SQL}, {DAYS_SQL.format('it')}
@@ -122,12 +122,11 @@ def i8(t):
 
 
 @query("i9_windowed_fetch", f"""WITH {ITEMS_SQL}, w AS (SELECT TIMESTAMP '{NOW}' - INTERVAL 30 DAY + to_days(CAST(84 * g AS INTEGER)) AS w_start, least(TIMESTAMP '{NOW}' - INTERVAL 30 DAY + to_days(CAST(84 * (g + 1) AS INTEGER)), TIMESTAMP '{NOW}' + INTERVAL 180 DAY) AS w_end FROM range(3) r(g))
-SELECT strftime(w_start, '%Y-%m-%d %H:%M') AS w_start, strftime(w_end, '%Y-%m-%d %H:%M') AS w_end, count(*) AS due FROM w JOIN it ON starts_at >= w_start AND starts_at < w_end WHERE NOT all_day AND ends_at IS NULL GROUP BY 1, 2""")
+SELECT strftime(w_start, '%Y-%m-%d %H:%M') AS w_start, strftime(w_end, '%Y-%m-%d %H:%M') AS w_end, count(*) AS due FROM w JOIN (SELECT starts_at, coalesce(ends_at, CASE WHEN all_day THEN starts_at + INTERVAL 1 DAY ELSE starts_at END) AS e FROM it) x ON e >= w_start AND starts_at < w_end WHERE e >= starts_at GROUP BY 1, 2""")
 def i9(t):
-    """How many point-in-time items each fetch window brings."""
+    """How many items each fetch window brings."""
     w = C.tile_windows(t.spark, NOW)
-    points = items(t).filter("NOT all_day AND ends_at IS NULL")
-    j = C.overlap_join(points, w)
+    j = C.overlap_join(items(t), w)
     fmt = "yyyy-MM-dd HH:mm"
     return j.groupBy(F.date_format("w_start", fmt).alias("w_start"), F.date_format("w_end", fmt).alias("w_end")).agg(
         F.count("*").alias("due"))

@@ -14,6 +14,7 @@ from ..operators import fusion as R
 from ..operators import lexical as L
 from ..operators import nearest as N
 from .inputs import MARKED_SQL, marked_answers
+from ..session import ensure_checkpoint_dir
 from .registry import query
 from .retrieval_plans import CORPUS_SQL, PAIRS_SQL, RERANK_SQL, SUMMARY_SQL, corpus, label_summaries, vectors
 from .text_plans import EN_SQL, FR_SQL
@@ -21,7 +22,7 @@ from .text_plans import EN_SQL, FR_SQL
 LANG_SQL = f"""CASE WHEN len(list_filter(regexp_extract_all(lower({{0}}), '[a-zà-ÿ]+'), lambda x: x IN ({FR_SQL})))
   + CASE WHEN regexp_matches(lower({{0}}), '{X.FRENCH_ACCENTS}') THEN 2 ELSE 0 END
   > len(list_filter(regexp_extract_all(lower({{0}}), '[a-zà-ÿ]+'), lambda x: x IN ({EN_SQL}))) THEN 'fr' ELSE 'en' END"""
-FIRST_SENTENCE_SQL = r"left(split_part(regexp_replace(regexp_replace({0}, '^\s+', ''), '([.!?])\s', '\1' || chr(1)), chr(1), 1), 200)"
+FIRST_SENTENCE_SQL = r"split_part(regexp_replace(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '([.!?])\s', '\1' || chr(1)), chr(1), 1)"
 
 
 @query("f1_page_pool", """
@@ -79,7 +80,7 @@ def question_pairs(t):
     a = t.conversations.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"),
                                                            F.col("text").alias("reply"))
     passage = F.when(F.length("text") > 300, F.col("text")).otherwise(F.col("reply"))
-    return u.join(a, ["conv_id", "turn"]).select("conv_id", "turn", X.first_sentence(F.col("text")).alias("question"),
+    return u.join(a, ["conv_id", "turn"]).select("conv_id", "turn", X.first_sentence(F.col("text"), None).alias("question"),
                                                  passage.alias("passage"))
 
 
@@ -138,7 +139,7 @@ def f6(t):
     one = F.lit(1).cast("bigint")
     cites = F.array(F.struct(F.lit(1).alias("n"), F.concat_ws("/", "source", "doc_id").alias("path"), one.alias("page")),
                     F.struct(F.lit(2).alias("n"), F.lit("toxic").alias("path"), (one + 1).alias("page")))
-    log = d.select(F.col("doc_id").alias("id"), X.first_sentence(F.col("text")).alias("question"),
+    log = d.select(F.col("doc_id").alias("id"), X.first_sentence(F.col("text"), None).alias("question"),
                    F.col("source").alias("course"), cites.alias("citations"),
                    F.create_map(F.lit("1"), F.col("quality") == 1, F.lit("2"), F.col("toxic") == 1).alias("relevant"))
     return E.truth_set(made, log).drop("question")
@@ -177,14 +178,16 @@ def f8(t):
 
 
 def evaluation_items(t) -> DataFrame:
-    """One row per (question, mode): the three retrieval modes over the corpus, 20 deep."""
+    """One row per (question, mode): the three retrieval modes over the corpus, 20 deep. They share one vector search."""
+    ensure_checkpoint_dir(t.spark)
     q, c = corpus(t)
     index = L.postings(c)
+    dense = N.dense_topk(q, c, 20, exclude_self=True).checkpoint()
     n = c.agg(F.count("*").alias("n"))
     modes = {
-        "dense": R.retrieve(q, c, "dense", k=20, exclude_self=True),
-        "hybrid": R.retrieve(q, c, "hybrid", index=index, exclude_self=True),
-        "dense+rerank": R.retrieve(q, c, "dense", k=20, exclude_self=True,
+        "dense": R.retrieve(q, c, "dense", k=20, dense=dense),
+        "hybrid": R.retrieve(q, c, "hybrid", index=index, exclude_self=True, dense=dense),
+        "dense+rerank": R.retrieve(q, c, "dense", k=20, dense=dense,
                                    rerank_with=lambda h: R.rerank(h, R.overlap_logits(h, q, index, n))),
     }
     info = q.select("question_id", F.col("label").alias("course"), X.detect_lang(F.col("question")).alias("lang"),

@@ -21,12 +21,14 @@ def vectors(t):
 
 
 def corpus(t):
-    """Questions: benchmark passages with a vector. Chunks: documents with a vector. Ids line up with vec_id."""
+    """Questions: all benchmark passages. Chunks: all documents. Each takes the vector whose vec_id is its id modulo
+    the number of vectors, so that none is left out where there are fewer vectors."""
     e = t.embeddings.select("vec_id", F.col("embedding").alias("vec"), "label")
-    q = (t.benchmark.join(e, F.col("item_id") == F.col("vec_id"))
+    n = F.lit(e.count())
+    q = (t.benchmark.join(e, F.pmod("item_id", n) == F.col("vec_id"))
          .select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), "vec", "label",
                  X.keywords(X.nfkc("text")).alias("terms")))
-    c = (t.documents.join(e, F.col("doc_id") == F.col("vec_id"))
+    c = (t.documents.join(e, F.pmod("doc_id", n) == F.col("vec_id"))
          .select(F.col("doc_id").alias("chunk_id"), "doc_id", "text", "vec", "label", "source", "lang"))
     return q, c
 
@@ -36,8 +38,8 @@ v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings),
 """
 CORPUS_SQL = rf"""
 v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings),
-q AS (SELECT item_id AS question_id, text AS question, vec, label FROM benchmark JOIN v ON vec_id = item_id),
-c AS (SELECT doc_id AS chunk_id, text, vec, label, source, lang FROM documents JOIN v ON vec_id = doc_id),
+q AS (SELECT item_id AS question_id, text AS question, vec, label FROM benchmark JOIN v ON vec_id = item_id % (SELECT count(*) FROM v)),
+c AS (SELECT doc_id AS chunk_id, text, vec, label, source, lang FROM documents JOIN v ON vec_id = doc_id % (SELECT count(*) FROM v)),
 sc AS (SELECT question_id, chunk_id, round(list_dot_product(q.vec, c.vec), 6) AS score FROM q, c WHERE question_id <> chunk_id),
 dn AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS dense_rank FROM sc QUALIFY dense_rank <= 20),
 qt AS (SELECT DISTINCT question_id, term FROM (SELECT question_id, unnest(regexp_extract_all(lower(question), '[\p{{L}}\p{{N}}]+')) AS term FROM q)
@@ -145,7 +147,7 @@ def c6(t):
     d = t.documents.join(t.labels, "doc_id", "left")
     docs = d.select("doc_id", F.md5("text").alias("sha256"), F.md5("text").alias("enriched_sha"),
                     F.when(F.col("quality") == 1, "ok").alias("enrich_status"),
-                    X.first_sentence(F.col("text")).alias("summary"),
+                    F.col("text").alias("summary"),
                     F.when(F.col("toxic") == 1, F.array(F.lit(1.0))).alias("summary_vec"))
     out = M.embed_missing(docs)
     return out.select("doc_id", "enrich_status", F.size("summary_vec").alias("dim"))

@@ -181,17 +181,17 @@ def b10(t):
 
 @query("b11_chunk_meta", """
 SELECT doc_id, 1 AS page, source || '/' || doc_id || '.txt' AS source, source AS course, lang AS label, lang = 'en' AS ocr
-FROM documents WHERE greatest(1, length(text) // 3) <= 500
+FROM documents WHERE regexp_matches(text, '\\S')
 """)
 def b11(t):
-    """Documents that are one chunk: metadata of the document and of the page end up on that chunk."""
+    """Metadata of the document and of the page end up on every chunk of it (each kind of row once)."""
     d = t.texts
     docs = d.select("doc_id", F.concat_ws("/", "source", F.concat("doc_id", F.lit(".txt"))).alias("path"),
                     F.col("source").alias("course"), F.lit(None).cast("timestamp_ntz").alias("mtime"))
     pages = d.select("doc_id", F.lit(1).alias("page"), F.col("lang").alias("label"),
                      F.when(F.col("lang") == "en", True).alias("ocr"), "text")
-    chunks = C.chunk_pages(pages.filter(X.n_tokens(F.col("text")) <= 500))
-    return C.chunk_meta(chunks, pages, docs).select("doc_id", "page", "source", "course", "label", "ocr")
+    chunks = C.chunk_pages(pages)
+    return C.chunk_meta(chunks, pages, docs).select("doc_id", "page", "source", "course", "label", "ocr").distinct()
 
 
 @query("b12_detect_lang", rf"""

@@ -39,8 +39,10 @@ def delete_keys(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFram
 
 def restore_missing(existing: DataFrame, backup: DataFrame, pk: str, parent: DataFrame | None = None,
                     parent_key: str | None = None, child_key: str | None = None) -> DataFrame:
-    """Backup rows to insert: primary key not present yet, and (if given) parent present. Nothing is overwritten."""
-    rows = backup.dropDuplicates([pk]).join(existing.select(pk), pk, "left_anti")
+    """Backup rows to insert: primary key not present yet, and (if given) parent present. Nothing is overwritten; of
+    several backup rows of one key the least by its JSON text is taken."""
+    one = backup.groupBy(pk).agg(F.min_by(F.struct(*backup.columns), F.to_json(F.struct(*backup.columns))).alias("_r"))
+    rows = one.select("_r.*").join(existing.select(pk), pk, "left_anti")
     if parent is not None:
         p = parent.select(F.col(parent_key).alias("_parent")).distinct()
         child = F.col(child_key or parent_key)

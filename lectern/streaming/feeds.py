@@ -153,6 +153,13 @@ DOC_SCHEMA = ("path string, course string, title string, mime string, sha256 str
 CHUNK_SCHEMA = "path string, page int, ord int, text string, n_tokens int"
 
 
+def _latest(batch: DataFrame) -> DataFrame:
+    """One row per path: the last modified where ``modified`` is there, then the greatest text."""
+    order = [c for c in ("modified", "text") if c in batch.columns]
+    one = batch.groupBy("path").agg(F.max_by(F.struct(*batch.columns), F.struct(*order)).alias("_r"))
+    return one.select("_r.*").drop("modified")
+
+
 def ingest_batch(batch: DataFrame, base: str, version: int = catalog.PARSER_VERSION, max_tokens: int = 500,
                  overlap: int = 80, embedder: Callable | None = None) -> None:
     """Ingest a table of notes (path, course, title, mime, text) into the snapshots below ``base``.
@@ -164,7 +171,7 @@ def ingest_batch(batch: DataFrame, base: str, version: int = catalog.PARSER_VERS
     docs = snapshots.read_snapshot(spark, f"{base}/documents")
     chunks = snapshots.read_snapshot(spark, f"{base}/chunks")
     docs = spark.createDataFrame([], DOC_SCHEMA) if docs is None else docs
-    planned = catalog.plan_ingest(batch.dropDuplicates(["path"]).withColumn("sha256", F.sha2("text", 256)), docs,
+    planned = catalog.plan_ingest(_latest(batch).withColumn("sha256", F.sha2("text", 256)), docs,
                                   spark.createDataFrame([], "path string"), version)
     due = planned.filter("result = 'ingest'").withColumn("page", F.lit(1))
     status = chunking.text_status(due.select(F.col("path").alias("doc_id"), "text", "mime")).select(
@@ -188,10 +195,10 @@ def run_ingest(spark: SparkSession, landing: str, base: str, checkpoint: str, fi
     """Watch a landing folder of notes and keep the snapshots below ``base`` up to date. Returns the query."""
     raw = (spark.readStream.format("text").schema("value string").option("wholetext", "true")
            .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(landing)
-           .select("value", F.col("_metadata.file_path").alias("uri")))
+           .select("value", F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_modification_time").alias("modified")))
     uri = F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B")))
     path = F.substring_index(uri, landing.rstrip("/") + "/", -1)
-    notes = files_source.path_rules(raw.select(path.alias("path"), X.normalize(F.col("value")).alias("text")))
+    notes = files_source.path_rules(raw.select(path.alias("path"), X.normalize(F.col("value")).alias("text"), "modified"))
     notes = notes.filter("supported").withColumn("title", files_source.note_title(F.col("text"), F.col("path")))
     writer = (notes.writeStream.option("checkpointLocation", checkpoint)
               .foreachBatch(lambda b, _: ingest_batch(b, base, embedder=embedder)))

@@ -198,3 +198,30 @@ def test_log_summary(spark):
     assert (everything.questions, everything.max_ms) == (5, 60000)
     edge = spark.createDataFrame([("2026-09-27 23:30:00", 5)], "t string, latency_ms int").withColumn("ts", F.col("t").cast("timestamp_ntz"))
     assert [str(U.log_by_day(edge, 0, now, tz).first().day) for tz in ("UTC", "Africa/Tunis")] == ["2026-09-27", "2026-09-28"]
+
+
+def test_one_model_for_all_texts(spark):
+    df = spark.createDataFrame([(1, "alpha beta"), (2, "gamma"), (3, "alpha gamma delta"), (4, None)], "id int, text string")
+    model = M.fit_embedder(df)
+    whole = {r.id: r.vec for r in M.embed(df, model=model).collect()}
+    alone = {r.id: r.vec for i in (1, 2, 4) for r in M.embed(df.filter(f"id = {i}"), model=model).collect()}
+    assert all(alone[i] == whole[i] for i in alone)
+    assert abs(sum(x * x for x in whole[1]) - 1) < 1e-9 and not any(whole[4])
+    single = M.embed(df.filter("id = 2")).first()
+    assert abs(sum(x * x for x in single.vec) - 1) < 1e-9  # a term that every document holds still counts
+
+
+def test_backfill_uses_the_stored_model(spark):
+    rows = [(1, "s", "s", "ok", "alpha beta", [1.0]), (2, "s", "s", "ok", "gamma beta", None), (3, "s", "x", "ok", "old", None)]
+    docs = spark.createDataFrame(rows, "doc_id int, sha256 string, enriched_sha string, enrich_status string, summary string, summary_vec array<double>")
+    model = M.fit_embedder(docs, "summary")
+    got = {r.doc_id: r.summary_vec for r in M.embed_missing(docs, model=model).collect()}
+    want = M.embed(docs, "summary", model=model).filter("doc_id = 2").first()
+    assert got[2] == want.vec and got[1] == [1.0] and got[3] is None
+    assert {r.doc_id: r.summary_vec for r in M.embed_missing(docs).collect()}[2] == got[2]
+
+
+def test_scorer_sees_a_question_whole(spark):
+    pairs = spark.range(3000).selectExpr("id % 3 AS question_id", "id AS chunk_id", "concat('q', id % 3) AS question", "'t' AS text").repartition(7)
+    got = R.scored_by(pairs, lambda q, texts: [float(len(texts))] * len(texts))
+    assert {r.logit for r in got.collect()} == {1000.0}
