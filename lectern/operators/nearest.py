@@ -26,6 +26,8 @@ from .parallel import broadcast_if_small
 
 BLOCK = 2048
 MAX_CELLS = 2048
+#: A question block has so many times the rows of a chunk block.
+WIDE = 8
 
 
 def _matrix(column) -> np.ndarray:
@@ -49,15 +51,16 @@ def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def block_join(questions: DataFrame, chunks: DataFrame, kernel, schema: T.StructType, block: int = BLOCK,
-               few_parts: bool = False) -> DataFrame:
+               few_parts: bool = False, question_blocks: int = 1) -> DataFrame:
     """Run ``kernel(question table, chunk table)`` on every pair of blocks that share a ``part``.
 
     Both inputs have a ``part`` column and an ``id``. The number of blocks of a part follows its size on each side.
     ``few_parts`` says that parts are cells (at most MAX_CELLS); otherwise the table of part sizes is counted before
-    it is broadcast. Either way the vectors move once, to their block.
+    it is broadcast. A chunk is copied once per question block of its part and the other way round; question blocks
+    hold ``question_blocks`` times ``block`` rows, so that the larger table, the chunks, is seldom copied.
     """
     n_c = chunks.groupBy("part").agg(F.ceil(F.count("*") / block).alias("_nc"))
-    n_q = questions.groupBy("part").agg(F.ceil(F.count("*") / block).alias("_nq"))
+    n_q = questions.groupBy("part").agg(F.ceil(F.count("*") / (question_blocks * block)).alias("_nq"))
     sizes = n_c.join(n_q, "part")
     sizes = F.broadcast(sizes) if few_parts else broadcast_if_small(sizes)
 
@@ -84,8 +87,13 @@ def block_join(questions: DataFrame, chunks: DataFrame, kernel, schema: T.Struct
 
 
 def _topk_kernel(k: int, digits: int, exclude_self: bool):
+    """Best k of a block pair; the matrix product goes by slices of questions, so its memory stays that of a block."""
+
     def kernel(q: pa.Table, c: pa.Table) -> pa.Table:
         c = c.sort_by("id")
+        return pa.concat_tables([part(q.slice(at, BLOCK), c) for at in range(0, q.num_rows, BLOCK)])
+
+    def part(q: pa.Table, c: pa.Table) -> pa.Table:
         scores = np.round(_matrix(q["vec"]) @ _matrix(c["vec"]).T, digits)
         qid, cid = q["id"].to_numpy(), c["id"].to_numpy()
         if exclude_self:
@@ -184,12 +192,12 @@ def dense_topk(questions: DataFrame, chunks: DataFrame, k: int, scope: str | Non
     kernel = _topk_kernel(k, digits, exclude_self)
     if scope is not None:
         q, c = _sides(questions, chunks, F.col(scope), F.col(scope))
-        return _ranked(block_join(q, c, kernel, HITS, block), k)
+        return _ranked(block_join(q, c, kernel, HITS, block, question_blocks=WIDE), k)
 
     q, c = _sides(questions, chunks, F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
     n_cells = min(MAX_CELLS, math.ceil(chunks.count() / cell_size))
     if n_cells <= 1:
-        return _ranked(block_join(q, c, kernel, HITS, block, few_parts=True), k)
+        return _ranked(block_join(q, c, kernel, HITS, block, few_parts=True, question_blocks=WIDE), k)
 
     q, c = q.drop("part"), c.drop("part")
     cells = _sampled_cells(c, n_cells)
@@ -197,7 +205,7 @@ def dense_topk(questions: DataFrame, chunks: DataFrame, k: int, scope: str | Non
     cells.measure(assigned)
     parts = assigned.drop("_cos")
     need = 4 * k + 1
-    first = block_join(cells.visits(q, lambda b, a: cells.first_probe(a, need)), parts, kernel, HITS, block, True)
+    first = block_join(cells.visits(q, lambda b, a: cells.first_probe(a, need)), parts, kernel, HITS, block, True, WIDE)
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
     kth = (first.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == k)
            .select(F.col("question_id").alias("id"), F.col("score").alias("_kth")))
@@ -209,7 +217,7 @@ def dense_topk(questions: DataFrame, chunks: DataFrame, k: int, scope: str | Non
         return (bound >= kth_score[:, None]) & (cells.sizes > 0) & ~cells.first_probe(angles, need)
 
     bounded = q.join(kth, "id", "left").withColumn("_kth", F.coalesce("_kth", F.lit(-2.0)))
-    second = block_join(cells.visits(bounded, still_open), parts, kernel, HITS, block, True)
+    second = block_join(cells.visits(bounded, still_open), parts, kernel, HITS, block, True, WIDE)
     return _ranked(first.unionByName(second), k)
 
 
@@ -239,7 +247,7 @@ def ann_topk(questions: DataFrame, chunks: DataFrame, k: int, n_probe: int = 8,
         return angles <= limit[:, None]
 
     kernel = _topk_kernel(k, digits, exclude_self)
-    return _ranked(block_join(cells.visits(q, nearest), parts, kernel, HITS, block, True), k)
+    return _ranked(block_join(cells.visits(q, nearest), parts, kernel, HITS, block, True, WIDE), k)
 
 
 def doc_boost(hits: DataFrame, questions: DataFrame, doc_vecs: DataFrame, boost: float, k: int,
