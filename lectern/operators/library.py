@@ -32,8 +32,8 @@ def library_rollup(docs: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def library_problems(docs: DataFrame) -> DataFrame:
-    """Unreadable documents and documents whose current summary failed, with the list each belongs to."""
-    kind = F.when(F.col("status") != "ok", "unreadable").when(
+    """Excluded and unreadable documents, and those whose current summary failed, with the list each belongs to."""
+    kind = F.when(F.col("status") == "excluded", "excluded").when(F.col("status") != "ok", "unreadable").when(
         F.col("enriched_sha").eqNullSafe(F.col("sha256")) & (F.col("enrich_status") == "error"), "summary")
     return (docs.withColumn("list", kind).filter("list IS NOT NULL")
             .orderBy("list", F.asc_nulls_last("course"), "title"))
