@@ -19,7 +19,7 @@ from .shingles import SLOTS, bands, shingle_sets, sketch, super_minhash
 #: Signatures estimate a similarity with a standard deviation of about 0.03 at 0.75; pairs estimated below are left out.
 ESTIMATE = 0.6
 #: Members, and bytes of shingle sets, that one task holds of a group; larger groups are compared in blocks.
-BLOCK_ROWS, BLOCK_BYTES = 2048, 16 << 20
+BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
 
 _SKETCHES = "doc_id long, n_shingles long, node binary, bands array<long>, sketch binary"
 
@@ -82,6 +82,17 @@ def _blocks(n_blocks: str = "_n") -> Column:
     return F.transform(both, lambda k: F.struct(F.least(k, F.col("_own")).alias("i"), F.greatest(k, F.col("_own")).alias("j")))
 
 
+def _partners(table: pa.Table) -> Iterator[tuple[int, int]]:
+    """For a group sorted by block: each row and the first row it is compared with. Rows of two different blocks meet
+    across them only; a block alone compares all of its rows."""
+    own = table.column("_own").to_numpy()
+    first = int(np.searchsorted(own, own[0], "right")) if own[0] != own[-1] else None
+    if first is None and table.column("i")[0].as_py() != table.column("j")[0].as_py():
+        return  # the other block is empty
+    for i in range(len(own) - 1 if first is None else first):
+        yield i, i + 1 if first is None else first
+
+
 def candidate_edges(members: DataFrame) -> DataFrame:
     """A maximum spanning forest of the pairs of each band bucket estimated at ``ESTIMATE`` or more, as (a, b).
 
@@ -93,7 +104,7 @@ def candidate_edges(members: DataFrame) -> DataFrame:
     split = (members.join(sizes, F.col("band") == F.col("_band"))
              .withColumn("_own", F.pmod(F.hash("node"), F.col("_n")))
              .withColumn("_pair", F.explode(_blocks()))
-             .select("band", "_pair.i", "_pair.j", "node", "n_shingles", "sketch"))
+             .select("band", "_pair.i", "_pair.j", "_own", "node", "n_shingles", "sketch"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, 3):
@@ -101,13 +112,13 @@ def candidate_edges(members: DataFrame) -> DataFrame:
             size = table.column("n_shingles").to_numpy()
             marks = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
             least, weight, far = int(ESTIMATE * SLOTS), [], []
-            for i in range(len(node) - 1):
-                same = np.count_nonzero(marks[i + 1:] == marks[i], axis=1)
-                fits = (4 * np.minimum(size[i + 1:], size[i]) >= 3 * np.maximum(size[i + 1:], size[i])) & (same >= least)
+            for i, start in _partners(table):
+                same = np.count_nonzero(marks[start:] == marks[i], axis=1)
+                fits = (4 * np.minimum(size[start:], size[i]) >= 3 * np.maximum(size[start:], size[i])) & (same >= least)
                 found = np.flatnonzero(fits)
                 if len(found):
-                    weight.append(same[found])
-                    far.append(np.stack([np.full(len(found), i), found + i + 1]))
+                    weight.append(same[found].astype(np.uint8))
+                    far.append(np.stack([np.full(len(found), i, np.int32), (found + start).astype(np.int32)]))
             if not weight:
                 continue
             weight, far = np.concatenate(weight), np.concatenate(far, axis=1)
@@ -120,7 +131,7 @@ def candidate_edges(members: DataFrame) -> DataFrame:
                 return x
 
             out = []
-            for k in np.argsort(-weight, kind="stable"):
+            for k in np.argsort(SLOTS - weight, kind="stable"):
                 a, b = root(int(far[0, k])), root(int(far[1, k]))
                 if a != b:
                     parent[a] = b
@@ -130,8 +141,8 @@ def candidate_edges(members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()),
                                               pa.array([x for _, x in out], pa.binary())], ["a", "b"])
 
-    return (split.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
-            .mapInArrow(run, "a binary, b binary").distinct())
+    return (split.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "_own", "node")
+            .mapInArrow(run, "a binary, b binary"))
 
 
 def verified_links(members: DataFrame, which: str) -> DataFrame:
@@ -142,7 +153,7 @@ def verified_links(members: DataFrame, which: str) -> DataFrame:
     """
     chosen = {"own": "i = j", "first": "i = 0 AND j > 0", "all": "true"}[which]
     split = (members.withColumn("_pair", F.explode(_blocks()))
-             .select("blob", "_pair.i", "_pair.j", "label", "node", "sketch", "members").filter(chosen))
+             .select("blob", "_pair.i", "_pair.j", "_own", "label", "node", "sketch", "members").filter(chosen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, 3):
@@ -155,8 +166,8 @@ def verified_links(members: DataFrame, which: str) -> DataFrame:
             sets, mine = np.split(ids, np.cumsum(size)[:-1]), np.zeros(ids.max() + 1, bool)
             marks = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
             least, out = int(ESTIMATE * SLOTS), []
-            for i in range(len(node) - 1):
-                other = np.flatnonzero(union.root[i + 1:] != union.root[i]) + i + 1
+            for i, start in _partners(table):
+                other = np.flatnonzero(union.root[start:] != union.root[i]) + start
                 other = other[4 * np.minimum(size[other], size[i]) >= 3 * np.maximum(size[other], size[i])]
                 same = np.count_nonzero(marks[other] == marks[i], axis=1)
                 order = np.argsort(-same, kind="stable")
@@ -176,7 +187,7 @@ def verified_links(members: DataFrame, which: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()),
                                                   pa.array([x for _, x in out], pa.binary())], ["a", "b"])
 
-    return (split.repartition("blob", "i", "j").sortWithinPartitions("blob", "i", "j", "node")
+    return (split.repartition("blob", "i", "j").sortWithinPartitions("blob", "i", "j", "_own", "node")
             .mapInArrow(run, "a binary, b binary"))
 
 
