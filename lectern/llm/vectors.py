@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
         for batch in batches:
             lists = batch.column(1)
             values = np.asarray(lists.flatten().cast(pa.float64()).fill_null(np.nan))
-            sizes = np.array([len(x) if x is not None else 0 for x in lists])
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             ends = np.cumsum(sizes)
             keys, units = [], []
             for label, size, end in zip(batch.column(2).to_pylist(), sizes, ends):
