@@ -218,8 +218,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sized = wanted.join(full_sets(texts), "node")
     n_blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.length("members")) / BLOCK_BYTES))
     sized = sized.checkpoint()
-    counts = sized.groupBy("blob").agg(n_blocks.cast("int").alias("_n")).withColumnRenamed("blob", "_blob")
-    sized = sized.join(counts, F.col("blob") == F.col("_blob")).withColumn("_own", F.pmod(F.hash("node"), F.col("_n")))
+    counts = sized.groupBy("blob").agg(n_blocks.cast("int").alias("_n")).select(
+        F.col("blob").alias("_blob"), F.xxhash64("blob").alias("_hash"), "_n")
+    # two keys make Spark exchange both sides, so that it can split the rows of a very large blob
+    sized = sized.join(counts, (F.col("blob") == F.col("_blob")) & (F.xxhash64("blob") == F.col("_hash"))).withColumn(
+        "_own", F.pmod(F.hash("node"), F.col("_n")))
     sized = sized.select("blob", "node", "sketch", "members", "_own", "_n")
     links = verified_links(sized.withColumn("label", F.col("node")), "own").checkpoint()
     labels = components(links)
