@@ -452,7 +452,7 @@ def test_toxicity(spark, labelled):
     docs = frame(spark, texts)
     model = toxicity.fit(docs, labels)
     assert model.lexicon["worthless$"] >= 0.5 and max(v for k, v in model.lexicon.items() if k.startswith("^vexq")) >= 0.5
-    more = [*texts, None, "", "you w0rthless n u m s k u l l", "vexquzz"]
+    more = [*texts, None, "", "you w0rthless n u m s k u l l", "vexquazz"]
     rows = {r["doc_id"]: r for r in toxicity.score(frame(spark, more), model).collect()}
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and r["predicted"] == (r["score"] >= 0.5) for i, r in rows.items())
     held = [i for i in range(600) if rows[i]["held_out"]]
@@ -494,6 +494,8 @@ def test_mix(spark):
     for own in by.values():
         assert sum(r["_size"] for r in own) == own[0]["_source_size"] and own[0]["_target"] <= 3 * own[0]["_source_size"]
         assert abs(sum(r["_size"] * r["_repeats"] for r in own) - own[0]["_target"]) <= 10 * 80  # rows of one id go together
-    drawn = Counter(r["doc_id"] for r in mixing.repeated(docs).collect())
-    assert drawn == {i: sum(r["_repeats"] for r in rows if r["doc_id"] == i) for i in set(ids)} - Counter() or sum(drawn.values()) == sum(r["_repeats"] for r in rows)
+    want = Counter()
+    for r in rows:
+        want[r["doc_id"]] += r["_repeats"]
+    assert Counter(r["doc_id"] for r in mixing.repeated(docs).collect()) == +want
     assert mixing.mix(docs.limit(0)).collect() == []
