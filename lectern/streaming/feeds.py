@@ -148,6 +148,15 @@ def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/out")
 
 
+def with_open(emitted: DataFrame, whole: DataFrame, keys: list[str]) -> DataFrame:
+    """What a stream over bounded input emitted, plus what its watermark had not closed at the end.
+
+    ``whole`` is the same job over the same input as a table: its rows whose keys were not emitted are the open ones.
+    """
+    rest = whole.join(emitted.select(*keys), keys, "left_anti")
+    return emitted.select(*whole.columns).unionByName(rest)
+
+
 DOC_SCHEMA = ("path string, course string, title string, mime string, sha256 string, status string, "
               "parser_version int, first_seen timestamp, ingested_at timestamp")
 CHUNK_SCHEMA = "path string, page int, ord int, text string, n_tokens int"
