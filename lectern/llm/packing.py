@@ -199,9 +199,9 @@ def _places(packed: list[Bins]) -> pd.DataFrame:
 
 def ranked(cut: DataFrame, bucket_rows: int = 10_000) -> DataFrame:
     """``cut`` with ``_rank``, from 0 among the pieces of one length, by hash buckets so that no length fits one task."""
-    n = cut.groupBy("length").count()
-    buckets = cut.join(n.select(F.col("length").alias("_l"), F.ceil(F.col("count") / bucket_rows).alias("_n")),
-                       F.col("length") == F.col("_l")).withColumn(
+    n = cut.groupBy("length").count().select(F.col("length").alias("_l"), F.ceil(F.col("count") / bucket_rows).alias("_n"))
+    # one row per length, at most as many as a sequence has tokens
+    buckets = cut.join(F.broadcast(n), F.col("length") == F.col("_l")).withColumn(
         "_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_n"))).drop("_l", "_n")
     before = Window.partitionBy("_length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = buckets.groupBy("length", "_bucket").count().select(
