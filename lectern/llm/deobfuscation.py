@@ -28,7 +28,7 @@ OTHER = len(LETTERS) + 1
 SIZE = OTHER + 1
 _TABLE = np.array([CODE.get(chr(i), OTHER if chr(i).isalpha() else 0) for i in range(0x250)] + [OTHER], np.int64)
 _STEP = 1 << 20
-HELD = 400_000
+HELD = 200_000
 
 _CLEAN = re.compile(r"[^\W\d_]+")
 _TRIPLE = re.compile(r"(.)\1\1")

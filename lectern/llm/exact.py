@@ -48,18 +48,19 @@ def _cut(start: int, end: int, candidates: list[int]) -> list[int]:
     return ends
 
 
-def _chunked(column: pa.Array) -> Iterator[tuple[bytes, list[bytes]]]:
-    """Each text, A-Z lower-cased, as bytes and as its chunks."""
+def _chunked(column: pa.Array) -> Iterator[list[tuple[bytes, list[bytes]]]]:
+    """For runs of rows, each text, A-Z lower-cased, as bytes and as its chunks."""
     raw, offsets = bytes_of(column)
     for a, b in slices(offsets, _STEP):
         data = LOWER[raw[offsets[a]:offsets[b]]]
         own = offsets[a:b + 1] - offsets[a]
         ends = _candidates(data)
-        at, whole = np.searchsorted(ends, own, "right"), data.tobytes()
+        at, whole, run = np.searchsorted(ends, own, "right"), data.tobytes(), []
         for i in range(b - a):
             s, e = int(own[i]), int(own[i + 1])
             cuts = _cut(s, e, ends[at[i]:at[i + 1]].tolist())
-            yield whole[s:e], [whole[x:y] for x, y in zip([s, *cuts], cuts)]
+            run.append((whole[s:e], [whole[x:y] for x, y in zip([s, *cuts], cuts)]))
+        yield run
 
 
 def _chunk_id(chunk: bytes, width: int) -> bytes:
@@ -72,9 +73,9 @@ def recipes(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sha, recipe = [], []
-            for text, chunks in _chunked(batch.column(1)):
-                sha.append(hashlib.sha256(text).hexdigest())
-                recipe.append(b"".join(_chunk_id(c, width) for c in chunks))
+            for texts in _chunked(batch.column(1)):
+                sha += [hashlib.sha256(text).hexdigest() for text, _ in texts]
+                recipe += [b"".join(_chunk_id(c, width) for c in chunks) for _, chunks in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sha, pa.string()), pa.array(recipe, pa.binary())],
                                              ["doc_id", "text_sha256", "recipe"])
 
@@ -87,9 +88,10 @@ def collisions(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = {c for _, chunks in _chunked(batch.column(0)) for c in chunks}
-            yield pa.RecordBatch.from_arrays([pa.array([_chunk_id(c, width) for c in seen], pa.binary()),
-                                              pa.array(list(seen), pa.binary())], ["chunk_id", "chunk"])
+            for texts in _chunked(batch.column(0)):  # some MB at a time
+                seen = {c for _, chunks in texts for c in chunks}
+                yield pa.RecordBatch.from_arrays([pa.array([_chunk_id(c, width) for c in seen], pa.binary()),
+                                                  pa.array(list(seen), pa.binary())], ["chunk_id", "chunk"])
 
     chunks = docs.select("text").mapInArrow(run, "chunk_id binary, chunk binary")
     return chunks.distinct().groupBy("chunk_id").count().filter("count > 1")
