@@ -20,7 +20,7 @@ from ..session import ensure_checkpoint_dir
 from .common import texts_of
 
 #: Rows of the broadcast table of frequent units, and units a task or worker holds besides.
-FREQUENT, HELD = 65_536, 600_000
+FREQUENT, HELD = 65_536, 200_000
 _LOOSE = re.compile(r" (?!\S)")
 _SPLIT = re.compile(r" (?=\S)")
 #: Signs that stand behind a word without ever joining it in a pre-token.
