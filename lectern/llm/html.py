@@ -38,6 +38,8 @@ MARKED = {
     **dict.fromkeys("form login signin search share sharing social".split(), "form"),
     "hidden": "markup",
 }
+#: Elements of single lines, which are no region by themselves.
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd caption figcaption summary legend option".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 #: An article that begins inside one of these means that their end tag is missing.
@@ -184,13 +186,38 @@ def two_clusters(values: np.ndarray) -> np.ndarray:
     return values >= at
 
 
+def _region(found: list[tuple[str, Line]], names: list[str], content: np.ndarray, plain: np.ndarray) -> set[int]:
+    """Numbers of the containers whose lines are the region; the page itself is -1.
+
+    Inside an article that is the whole innermost article, and its sibling articles of running text count too.
+    """
+    paths = [(-1, *x.path) for _, x in found]
+    weight: dict[int, float] = {}
+    for (text, _), path, c in zip(found, paths, content):
+        if c:
+            for n in path:
+                weight[n] = weight.get(n, 0) + len(text)
+    whole = max(weight.values(), default=0)
+    best = max((n for n, s in weight.items() if s >= 0.9 * whole and (n < 0 or names[n] not in LEAVES)), default=-1)
+    around = next((path[:path.index(best) + 1] for path in paths if best in path))
+    best = max((n for n in around if n >= 0 and names[n] == "article"), default=best)
+    chosen, sizes = {best}, {}
+    for path, p, (text, _) in zip(paths, plain, found):
+        for outer, n in zip(path, path[1:]):
+            if names[n] == "article":
+                at = sizes.setdefault(n, [outer, 0, 0])
+                at[1], at[2] = at[1] + p, at[2] + len(text)
+    beside = {outer for n, (outer, _, _) in sizes.items() if n == best}
+    return chosen | {n for n, (outer, p, s) in sizes.items() if outer in beside and p > 0.5 * s}
+
+
 def main_text(page: str) -> str:
     """The article of one page: lines joined by line ends, white space inside a line as one space.
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments are left out by their elements and
-    names. Of the rest, the lines whose smoothed text-to-tag ratio lies in the upper cluster show where the content is;
-    its region is the article elements that hold such lines, or else the smallest container that holds nearly all
-    of their text. All lines of the region are kept, short ones too.
+    names. Of the rest, the lines whose smoothed text-to-tag ratio lies in the upper cluster show where the content is,
+    on every page and inside or outside of article elements; its region is the smallest container (in an article, the
+    innermost whole article) that holds nearly all of their text. All lines of the region are kept, short ones too, and so is a title (h1) before it with what follows.
     """
     parser = _parsed(page)
     found = []
@@ -204,24 +231,14 @@ def main_text(page: str) -> str:
     linked = np.array([min(x.linked, len(t)) for t, x in found], float)
     ratio = (size - linked) / np.array([x.tags for _, x in found])
     content = two_clusters(smoothed(ratio)) & (linked < 0.5 * size)
-    articles = [next((n for n in x.path if parser.names[n] == "article"), None) for _, x in found]
-    chosen = {a for a, c in zip(articles, content) if a is not None and c}
-    if not chosen and any(a is not None for a in articles):
-        weight: dict[int, float] = {}
-        for a, s in zip(articles, size):
-            if a is not None:
-                weight[a] = weight.get(a, 0) + s
-        chosen = {max(weight, key=lambda a: weight[a])}
-    if chosen:
-        return "\n".join(t for (t, _), a in zip(found, articles) if a in chosen)
-    weight = {}
-    for (_, line), s, c in zip(found, size, content):
-        if c:
-            for n in line.path:
-                weight[n] = weight.get(n, 0) + s
-    whole = max(weight.values(), default=0)
-    best = max((n for n, s in weight.items() if s >= 0.9 * whole and parser.names[n] != "p"), default=None)
-    return "\n".join(t for (t, x), s, k in zip(found, size, linked) if (best is None or best in x.path) and k < 0.8 * s)
+    chosen = _region(found, parser.names, content, size - linked)
+    kept = np.array([not chosen.isdisjoint((-1, *x.path)) for _, x in found]) & (linked < 0.8 * size)
+    titles = [any(parser.names[n] == "h1" for n in x.path) for _, x in found]
+    if kept.any() and not any(t and k for t, k in zip(titles, kept)):
+        first = int(kept.argmax())
+        start = max((i for i in range(first) if titles[i]), default=first)
+        kept[start:first] = linked[start:first] < 0.5 * size[start:first]
+    return "\n".join(t for (t, _), k in zip(found, kept) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:

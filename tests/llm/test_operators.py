@@ -409,6 +409,19 @@ def test_main_text():
     assert html.main_text("<article>" + "<p>w</p>" * 5000 + "</article>").count("w") == 5000
 
 
+LONG = "A long sentence of the main text that goes on and on, as sentences of articles do, until it ends. " * 3
+
+
+def test_articles_are_one_signal_among_containers():
+    cards = "".join(f"<article><h3>Card {i}</h3><p>Read it</p></article>" for i in range(3))
+    got = html.main_text(f"<body><div><p>{LONG}</p><p>{LONG}</p><p>Short end.</p></div><div>{cards}</div></body>")
+    assert got.split("\n") == [LONG.strip(), LONG.strip(), "Short end."]
+    got = html.main_text(f"<body><article><p>{LONG}</p><p>{LONG}</p></article><article><p>A short one.</p><p>Two.</p></article></body>")
+    assert got.split("\n") == [LONG.strip(), LONG.strip(), "A short one.", "Two."]
+    got = html.main_text(f"<body><div><h1>Title</h1><p>Lead</p></div><article><p>{LONG}</p><p>{LONG}</p></article></body>")
+    assert got.split("\n") == ["Title", "Lead", LONG.strip(), LONG.strip()]
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", "<p>é a\n b", "x"), (1, None, None, "x"), (None, "u", "", None)],
                                "page_id long, url string, html string, text string")
