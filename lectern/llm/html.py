@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -175,7 +176,10 @@ def smoothed(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
 
 
 def two_clusters(values: np.ndarray) -> np.ndarray:
-    """Which values belong to the upper of two clusters (threshold midway between their means, iterated)."""
+    """Which values belong to the upper of two clusters (threshold midway between their means, iterated).
+
+    Means less than a factor of two apart are one cluster: lines of one kind are not split by chance.
+    """
     at = values.mean()
     for _ in range(50):
         low, high = values[values < at], values[values >= at]
@@ -183,24 +187,25 @@ def two_clusters(values: np.ndarray) -> np.ndarray:
         if abs(new - at) < 1e-9:
             break
         at = new
-    return values >= at
+    upper = values >= at
+    return upper if upper.all() or values[~upper].mean() < 0.5 * values[upper].mean() else np.ones(len(values), bool)
 
 
 def _region(found: list[tuple[str, Line]], names: list[str], content: np.ndarray, plain: np.ndarray) -> set[int]:
-    """Numbers of the containers whose lines are the region; the page itself is -1.
+    """Numbers of the containers whose lines are the region: the smallest one that holds all content; the page is -1.
 
     Inside an article that is the whole innermost article, and its sibling articles of running text count too.
     """
     paths = [(-1, *x.path) for _, x in found]
-    weight: dict[int, float] = {}
-    for (text, _), path, c in zip(found, paths, content):
+    around = None
+    for path, c in zip(paths, content):
         if c:
-            for n in path:
-                weight[n] = weight.get(n, 0) + len(text)
-    whole = max(weight.values(), default=0)
-    best = max((n for n, s in weight.items() if s >= 0.9 * whole and (n < 0 or names[n] not in LEAVES)), default=-1)
-    around = next((path[:path.index(best) + 1] for path in paths if best in path))
-    best = max((n for n in around if n >= 0 and names[n] == "article"), default=best)
+            same = path if around is None else around
+            around = tuple(a for a, _ in takewhile(lambda x: x[0] == x[1], zip(same, path)))
+    around = around or (-1,)
+    while len(around) > 1 and names[around[-1]] in LEAVES:
+        around = around[:-1]
+    best = max((n for n in around if n >= 0 and names[n] == "article"), default=around[-1])
     chosen, sizes = {best}, {}
     for path, p, (text, _) in zip(paths, plain, found):
         for outer, n in zip(path, path[1:]):
@@ -217,7 +222,9 @@ def main_text(page: str) -> str:
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments are left out by their elements and
     names. Of the rest, the lines whose smoothed text-to-tag ratio lies in the upper cluster show where the content is,
     on every page and inside or outside of article elements; its region is the smallest container (in an article, the
-    innermost whole article) that holds nearly all of their text. All lines of the region are kept, short ones too, and so is a title (h1) before it with what follows.
+    innermost whole article) that holds all of these lines. All lines of the region are kept, short ones and link lines
+    too, and so is a title (h1) before it with what follows. Where only the page itself holds them, link lines before
+    the first and behind the last content line are left out.
     """
     parser = _parsed(page)
     found = []
@@ -232,7 +239,12 @@ def main_text(page: str) -> str:
     ratio = (size - linked) / np.array([x.tags for _, x in found])
     content = two_clusters(smoothed(ratio)) & (linked < 0.5 * size)
     chosen = _region(found, parser.names, content, size - linked)
-    kept = np.array([not chosen.isdisjoint((-1, *x.path)) for _, x in found]) & (linked < 0.8 * size)
+    kept = np.array([not chosen.isdisjoint((-1, *x.path)) for _, x in found])
+    if content.any() and all(n < 0 or parser.names[n] in ("html", "body") for n in chosen):
+        at = np.flatnonzero(content)
+        outside = np.ones(len(found), bool)
+        outside[at[0]:at[-1] + 1] = False
+        kept &= ~outside | (linked < 0.8 * size)
     titles = [any(parser.names[n] == "h1" for n in x.path) for _, x in found]
     if kept.any() and not any(t and k for t, k in zip(titles, kept)):
         first = int(kept.argmax())

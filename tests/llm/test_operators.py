@@ -422,6 +422,17 @@ def test_articles_are_one_signal_among_containers():
     assert got.split("\n") == ["Title", "Lead", LONG.strip(), LONG.strip()]
 
 
+def test_region_holds_all_content_lines():
+    rest = "".join(f"<p>{LONG} {i}</p>" for i in range(40))
+    got = html.main_text(f"<div><div><p>{LONG}</p></div><div class=body>{rest}</div></div>").split("\n")
+    assert len(got) == 41 and got[0] == LONG.strip()
+    links = "".join(f"<li><a href=x>Reference number {i}</a></li>" for i in range(3))
+    got = html.main_text(f"<article><p>{LONG}</p><p><a href=x>A linked paragraph.</a></p><p>{LONG}</p><ul>{links}</ul></article>").split("\n")
+    assert got[1] == "A linked paragraph." and got[3:] == [f"Reference number {i}" for i in range(3)]
+    got = html.main_text(f"<body><div><a href=/>Home</a></div><p>{LONG}</p><p><a href=x>Linked.</a></p><p>{LONG}</p><div><a href=/>Top</a></div></body>")
+    assert got.split("\n") == [LONG.strip(), "Linked.", LONG.strip()]
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", "<p>é a\n b", "x"), (1, None, None, "x"), (None, "u", "", None)],
                                "page_id long, url string, html string, text string")
