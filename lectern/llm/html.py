@@ -24,9 +24,12 @@ BLOCKS = frozenset(
     "tfoot th thead tr ul".split())
 #: Elements whose text is never part of an article.
 DROPPED = {"nav": "menu", "menu": "menu", "aside": "side", "footer": "footer", "form": "form", "dialog": "notice",
-           **dict.fromkeys("head script style noscript template iframe object svg math button select textarea canvas "
+           **dict.fromkeys("head script style noscript template iframe object svg annotation annotation-xml button select textarea canvas "
                            "audio video".split(), "markup")}
-#: Words in class, id or role that mark such parts, with the reason.
+#: Elements of formulas; their text belongs to the line and their tags don't count.
+MATH = frozenset("math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle msub msup msubsup munder mover "
+                 "munderover mmultiscripts mprescripts mpadded mphantom merror menclose mfenced mtable mtr mtd maction".split())
+#: Words of which a class, id or role has to consist to mark such parts, with the reason; they weigh, they don't drop.
 MARKED = {
     **dict.fromkeys("nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager toc toolbar".split(), "menu"),
     **dict.fromkeys("sidebar aside rail widget widgets complementary related recommended recommendations".split(), "side"),
@@ -39,6 +42,10 @@ MARKED = {
     **dict.fromkeys("form login signin search share sharing social".split(), "form"),
     "hidden": "markup",
 }
+#: Words that such names may hold besides, as in 'sidebar-left'.
+NEUTRAL = frozenset("left right top bottom box wrapper container block bar list item site".split())
+#: Weight of the smoothed ratio of lines in marked parts; so many times the other content makes them stretch the region.
+DISCOUNT, OUTWEIGHS = 0.6, 5
 #: Elements of single lines, which are no region by themselves.
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd caption figcaption summary legend option".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -64,6 +71,7 @@ class Lines(HTMLParser):
         self.line = Line()
         self.stack: list[tuple[str, str | None, int]] = []  # tag, why its text is dropped, number of the element
         self.names: list[str] = []  # tag of each container by number
+        self.marks: dict[int, str] = {}  # reason of each container whose names mark it
         self.links = 0
 
     @property
@@ -76,30 +84,48 @@ class Lines(HTMLParser):
             self.lines.append(self.line)
         self.line = Line()
 
+    @property
+    def _inside(self) -> bool:
+        return any(t in ("article", "main") for t, _, _ in self.stack)
+
     def _reason(self, tag: str, attrs: list) -> str | None:
         if tag in DROPPED:
             return DROPPED[tag]
-        inside = any(t in ("article", "main") for t, _, _ in self.stack)
         if tag == "header":
-            return "heading" if inside else "header"
-        if tag in ("html", "body", "main", "h1", "h2", "h3", "h4", "h5", "h6"):
-            names = ("hidden",)
-        else:
-            names = ("class", "id", "role", "hidden", "aria-hidden", "style")
+            return "heading" if self._inside else "header"
         for name, value in attrs:
             value = value or ""
-            if name not in names:
+            if name == "hidden":
+                return "markup"
+            if tag in ("html", "body", "main", "h1", "h2", "h3", "h4", "h5", "h6"):
                 continue
-            if name == "hidden" or name == "aria-hidden" and value == "true":
+            if name == "aria-hidden" and value == "true":
                 return "markup"
             if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return "markup"
-            if name in ("class", "id", "role"):
-                for word in _WORDS.findall(value):
-                    if word.lower() in MARKED:
-                        return MARKED[word.lower()]
-                if not inside and "header" in map(str.lower, _WORDS.findall(value)):
-                    return "header"
+        return None
+
+    def _mark(self, tag: str, attrs: list) -> str | None:
+        """Why the names of an element speak against its text: one of them consists of marked words."""
+        if tag in ("html", "body", "main", "h1", "h2", "h3", "h4", "h5", "h6"):
+            return None
+        for name, value in attrs:
+            for token in (value or "").split() if name in ("class", "id", "role") else ():
+                words = [w.lower() for w in _WORDS.findall(token)]
+                why = next((MARKED[w] for w in words if w in MARKED), None)
+                if not why and "header" in words and not self._inside:
+                    why = "header"
+                if why and all(w in MARKED or w in NEUTRAL or w == "header" for w in words):
+                    return why
+        return None
+
+    def marked(self, path: tuple[int, ...]) -> int | None:
+        """The innermost marked element of a line. An article inside one means that its end tag is missing."""
+        article = False
+        for n in reversed(path):
+            if n in self.marks:
+                return None if article and self.marks[n] in _LEAKS else n
+            article = article or self.names[n] in ("article", "main")
         return None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -110,7 +136,7 @@ class Lines(HTMLParser):
             return
         why = self._reason(tag, attrs) if tag in BLOCKS or tag in DROPPED or attrs else None
         if tag not in BLOCKS and tag not in DROPPED and not why:
-            self.line.tags += 1
+            self.line.tags += tag not in MATH
             self.links += tag == "a"
             return
         if tag in BLOCKS:
@@ -126,6 +152,8 @@ class Lines(HTMLParser):
         outer = self.why
         if outer == "heading" and tag in ("h1", "h2", "h3", "h4", "h5", "h6") and not why:
             outer = None
+        if tag in BLOCKS and not why and (mark := self._mark(tag, attrs)):
+            self.marks[len(self.names)] = mark
         self.names.append(tag)
         self.stack.append((tag, outer or why, len(self.names) - 1))
 
@@ -219,12 +247,13 @@ def _region(found: list[tuple[str, Line]], names: list[str], content: np.ndarray
 def main_text(page: str) -> str:
     """The article of one page: lines joined by line ends, white space inside a line as one space.
 
-    Menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments are left out by their elements and
-    names. Of the rest, the lines whose smoothed text-to-tag ratio lies in the upper cluster show where the content is,
+    Menus, headers, footers, sidebars, forms and scripts are left out by their elements. Of the rest, the lines whose smoothed text-to-tag ratio lies in the upper cluster show where the content is,
     on every page and inside or outside of article elements; its region is the smallest container (in an article, the
     innermost whole article) that holds all of these lines. All lines of the region are kept, short ones and link lines
     too, and so is a title (h1) before it with what follows. Where only the page itself holds them, link lines before
-    the first and behind the last content line are left out.
+    the first and behind the last content line are left out. Names of elements (``MARKED``) discount the ratio of their
+    lines, and marked parts stretch the region only when their content outweighs all other by far; inside it a marked
+    part without any content line is left out.
     """
     parser = _parsed(page)
     found = []
@@ -237,11 +266,18 @@ def main_text(page: str) -> str:
     size = np.array([len(t) for t, _ in found], float)
     linked = np.array([min(x.linked, len(t)) for t, x in found], float)
     ratio = (size - linked) / np.array([x.tags for _, x in found])
-    content = two_clusters(smoothed(ratio)) & (linked < 0.5 * size)
-    chosen = _region(found, parser.names, content, size - linked)
-    kept = np.array([not chosen.isdisjoint((-1, *x.path)) for _, x in found])
-    if content.any() and all(n < 0 or parser.names[n] in ("html", "body") for n in chosen):
-        at = np.flatnonzero(content)
+    marks = [parser.marked(x.path) for _, x in found]
+    discount = np.array([1 if m is None else DISCOUNT for m in marks])
+    content = two_clusters(smoothed(ratio) * discount) & (linked < 0.5 * size)
+    bare = content & (discount == 1)
+    if size[content & ~bare].sum() > OUTWEIGHS * size[bare].sum():
+        bare = content
+    chosen = _region(found, parser.names, bare, size - linked)
+    whole = {m for m, c in zip(marks, content) if c}
+    plain = np.array([m is None or m in whole for m in marks])
+    kept = np.array([not chosen.isdisjoint((-1, *x.path)) for _, x in found]) & plain
+    if bare.any() and all(n < 0 or parser.names[n] in ("html", "body") for n in chosen):
+        at = np.flatnonzero(bare)
         outside = np.ones(len(found), bool)
         outside[at[0]:at[-1] + 1] = False
         kept &= ~outside | (linked < 0.8 * size)
@@ -249,7 +285,7 @@ def main_text(page: str) -> str:
     if kept.any() and not any(t and k for t, k in zip(titles, kept)):
         first = int(kept.argmax())
         start = max((i for i in range(first) if titles[i]), default=first)
-        kept[start:first] = linked[start:first] < 0.5 * size[start:first]
+        kept[start:first] = plain[start:first] & (linked[start:first] < 0.5 * size[start:first])
     return "\n".join(t for (t, _), k in zip(found, kept) if k)
 
 

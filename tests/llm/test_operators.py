@@ -433,6 +433,19 @@ def test_region_holds_all_content_lines():
     assert got.split("\n") == [LONG.strip(), "Linked.", LONG.strip()]
 
 
+def test_names_weigh_and_do_not_drop():
+    for attrs in ('section id="discussion"', 'div class="related-work"', 'p class="share-price"', 'div class="search-result"'):
+        tag = attrs.split()[0]
+        got = html.main_text(f"<article><p>{LONG}</p><{attrs}>{LONG}</{tag}><p>{LONG}</p></article>").split("\n")
+        assert got == [LONG.strip()] * 3, attrs
+    assert html.main_text(f'<article class="long-form"><p>{LONG}</p><p>{LONG}</p></article>').split("\n") == [LONG.strip()] * 2
+    assert html.main_text(f'<div class="form"><p>{LONG}</p><p>End.</p></div>').split("\n") == [LONG.strip(), "End."]
+    got = html.main_text(f'<article><p>{LONG}</p><p class="share">Share this</p><div class="ad left">Buy it now</div><p>{LONG}</p></article>')
+    assert got.split("\n") == [LONG.strip()] * 2
+    got = html.main_text(f"<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold. {LONG}</p></article>")
+    assert got == f"Let x=1 hold. {LONG}".strip()
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", "<p>é a\n b", "x"), (1, None, None, "x"), (None, "u", "", None)],
                                "page_id long, url string, html string, text string")
