@@ -20,6 +20,10 @@ LOOKS_LIKE = {
 #: Log probabilities of the channel: a look-alike sign; a sign put between letters, and one that looks like a letter;
 #: a letter written once more, and a sign.
 SWAPPED, INSERTED, INSERTED_ALIKE, REPEATED, REPEATED_SIGN = -1.0, -1.0, -9.0, -1.2, -0.3
+#: A gap inside a word that is wider than others of its run.
+INSERTED_WIDE = -9.0
+#: Readings of a run written letter by letter count down to this much below the likeliest one; units of a word in them.
+MARGIN, LONGEST = 4.0, 32
 
 #: The model's letters: a to z, then the lower-case letters of Latin-1; all others are one class. 0 is a word's edge.
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xDF, 0x100))).replace("÷", "")
@@ -31,10 +35,13 @@ _STEP = 1 << 20
 HELD = 200_000
 
 _CLEAN = re.compile(r"[^\W\d_]+")
-_TRIPLE = re.compile(r"(.)\1\1")
+_DOUBLE = re.compile(r"(.)\1")
+_PRICE = re.compile(r"[$£€¥+|(<{]?[\W\d]?[\d.,:]+[%$£€¥+|]?")
 _HEAD, _TAIL = re.compile(r"^[^\w@$|+(<{£€¥!]+|^([^\w])\1{2,}"), re.compile(r"[^\w@$|+]+$|([^\w])\1{2,}[^\w]*$")
-_SPACED = re.compile(r"\s\S\s\S(?:\s|$)|^\S\s\S\s\S(?:\s|$)")
-_RUN = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
+_RUN = re.compile(r"(?<!\S)\S(?:\s++\S(?!\S)){2,}")
+#: Units so short that the space between two of them may be a sign put into a word.
+_SHORT = re.compile(r"(?<!\S)\S{1,3}(?:\s++\S{1,3}(?!\S))+")
+_NEXT = re.compile(r"\s+|\S+")
 
 
 def _codes(text: str) -> np.ndarray:
@@ -81,46 +88,161 @@ class Restorer:
 
     def __init__(self, model: np.ndarray):
         self.model = model
+        self.flat = model.ravel().tolist()  # numbers of a list are read several times faster than those of an array
+        self.signs: dict[str, tuple] = {}
+
+    def _sign(self, c: str) -> tuple:
+        """Of a sign: what it may stand for, whether it may be left out where it is new, and the cost then and if repeated."""
+        if c not in self.signs:
+            if len(self.signs) >= HELD:
+                self.signs.clear()
+            letter = c.isalpha()
+            options = [(c, 0.0)] if letter else [(x, SWAPPED) for x in LOOKS_LIKE.get(c, "")]
+            alike = bool(options) and c != "*"
+            self.signs[c] = ([(x, cost, CODE.get(x, OTHER)) for x, cost in options], not letter,
+                             INSERTED_ALIKE if alike else INSERTED,
+                             REPEATED if letter else 4 * REPEATED if alike else REPEATED_SIGN)
+        return self.signs[c]
 
     def unit(self, unit: str) -> str:
-        """The word a unit stands for, in lower case without signs at its ends; clean words are only lower-cased."""
+        """The word a unit stands for, in lower case without signs at its ends; plain words are only lower-cased.
+
+        A word of signs alone is read as letters if it has three look-alikes of two kinds and isn't a number or price.
+        """
         word = _TAIL.sub("", _HEAD.sub("", unit.lower()))
         if _CLEAN.fullmatch(word):
-            return self.viterbi(word) if _TRIPLE.search(word) else word
+            return self.viterbi(word) if _DOUBLE.search(word) else word
         if not any(map(str.isalpha, word)):
-            return word
+            alike = [c for c in word if c in LOOKS_LIKE]
+            if len(alike) < 3 or len(set(alike)) < 2 or all(map(str.isdigit, alike)) or _PRICE.fullmatch(word):
+                return word
         return self.viterbi(word)
 
     def viterbi(self, seen: str) -> str:
-        """The likeliest letters behind ``seen``. A state is the last two letters; steps are those of the lattice."""
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        log = self.model
+        """The likeliest letters behind ``seen``. A state is the last two letters; steps are those of the lattice.
+
+        A space is a sign put into a word or an edge of words, which stays a space; a tab is one as well, but wider.
+        """
+        best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         for i, c in enumerate(seen):
-            letter = c.isalpha()
-            options = [(c, 0.0)] if letter else [(x, SWAPPED) for x in LOOKS_LIKE.get(c, "")]
-            again = i > 0 and seen[i - 1] == c
-            alike = bool(options) and c != "*"
-            skip = (REPEATED if letter else 4 * REPEATED if alike else REPEATED_SIGN) if again else (
-                INSERTED_ALIKE if alike else INSERTED)
-            step: dict[tuple[int, int], tuple[float, str]] = {}
+            if c not in " \t":
+                best = self._read(best, c, i > 0 and seen[i - 1] == c)
+                continue
+            step: dict[tuple[int, int], tuple[float, tuple]] = {}
+            skip = INSERTED if c == " " else INSERTED_WIDE
             for (a, b), (score, text) in best.items():
-                if again or not letter:
-                    if (a, b) not in step or step[a, b][0] < score + skip:
-                        step[a, b] = (score + skip, text)
-                for x, cost in options:
-                    code = CODE.get(x, OTHER)
-                    total = score + cost + float(log[a, b, code])
-                    if (b, code) not in step or step[b, code][0] < total:
-                        step[b, code] = (total, text + x)
+                if (a, b) not in step or step[a, b][0] < score + skip:
+                    step[a, b] = (score + skip, text)
+                total = score + self.flat[(a * SIZE + b) * SIZE]
+                if text and text[1] != " " and ((0, 0) not in step or step[0, 0][0] < total):
+                    step[0, 0] = (total, (text, " "))
             best = step
-        return max(((s + float(log[a, b, 0]), t) for (a, b), (s, t) in best.items()), default=(0.0, ""))[1]
+        return self._end(best)[1].rstrip(" ")
+
+    def _read(self, best: dict, c: str, again: bool) -> dict:
+        """The states after one more sign, which is a letter, stands for one, or was put in."""
+        flat = self.flat
+        step: dict[tuple[int, int], tuple[float, tuple]] = {}
+        options, loose, skip, repeated = self._sign(c)
+        if again:
+            loose, skip = True, repeated
+        for state, (score, text) in best.items():
+            if loose and (state not in step or step[state][0] < score + skip):
+                step[state] = (score + skip, text)
+            a, b = state
+            at = (a * SIZE + b) * SIZE
+            for x, cost, code in options:
+                total = score + cost + flat[at + code]
+                if (b, code) not in step or step[b, code][0] < total:
+                    step[b, code] = (total, (text, x))
+        return step
+
+    def _end(self, best: dict) -> tuple[float, str]:
+        score, text = max(((s + self.flat[(a * SIZE + b) * SIZE], t) for (a, b), (s, t) in best.items()),
+                          key=lambda x: x[0], default=(0.0, ()))
+        found = []
+        while text:
+            text, x = text
+            found.append(x)
+        return score, "".join(reversed(found))
+
+    def likely_words(self, units: list[str], wide: list[bool]) -> list[str]:
+        """Words of all readings of a run that come within ``MARGIN`` of the likeliest; ``wide`` tells each gap's width."""
+        n, words = len(units), []
+        for i in range(n):
+            best = {(0, 0): (0.0, ())}
+            for j in range(i, min(n, i + LONGEST)):
+                skip = (INSERTED_WIDE if wide[j - 1] else INSERTED) if j > i else 0.0
+                best = {k: (s + skip, t) for k, (s, t) in best.items()}
+                for k, c in enumerate(units[j]):
+                    best = self._read(best, c, k > 0 and units[j][k - 1] == c)
+                score, word = self._end(best)
+                words.append((i, j + 1, score, word))
+        ahead, behind = [0.0] + [-np.inf] * n, [-np.inf] * n + [0.0]
+        for i, j, score, _ in words:
+            ahead[j] = max(ahead[j], ahead[i] + score)
+        for i, j, score, _ in reversed(words):
+            behind[i] = max(behind[i], score + behind[j])
+        return list(dict.fromkeys(w for i, j, s, w in words if ahead[i] + s + behind[j] >= ahead[n] - MARGIN))
+
+    def joins(self, before: str, after: str) -> bool:
+        """Whether the space between two plain pieces is likelier a sign put into a word, by the letters next to it."""
+        (a, b), (c, d) = ([CODE.get(x, OTHER) for x in y] for y in (before[-2:], after[:2]))
+        log = self.model
+        return bool(INSERTED + log[a, b, c] + log[b, c, d] > log[a, b, 0] + log[0, 0, c] + log[0, c, d])
+
+
+class Runs(dict):
+    """The words that a run of short units stands for, where they differ from its units; started again when full."""
+
+    def __init__(self, restorer: Restorer):
+        super().__init__()
+        self.restorer, self.joined = restorer, {}
+
+    def _joins(self, before: str, after: str) -> bool:
+        key = before[-2:] + after[:2]
+        if key not in self.joined:
+            if len(self.joined) >= HELD:
+                self.joined.clear()
+            self.joined[key] = self.restorer.joins(before, after)
+        return self.joined[key]
+
+    def _words(self, run: str) -> list[str]:
+        units = run.lower().split()
+        if all(len(u) > 1 and u.isalpha() and not _DOUBLE.search(u) for u in units):  # each gap stands for itself
+            words = [units[0]]
+            for before, after in zip(units, units[1:]):
+                if self._joins(before, after):
+                    words[-1] += after
+                else:
+                    words.append(after)
+            return words
+        if not any(map(str.isalpha, run)) or min(map(len, units)) > 1 and not any(c in LOOKS_LIKE for c in run):
+            return units
+        gaps = [len(g) for g in _NEXT.findall(run) if g.isspace()]
+        wide = min(gaps)
+        more = self.restorer.likely_words(units, [g > wide for g in gaps]) if _RUN.search(run) else []
+        return more + self.restorer.viterbi(units[0] + "".join(
+            ("\t" if g > wide else " ") + u for g, u in zip(gaps, units[1:]))).split(" ")
+
+    def __missing__(self, run: str) -> list[str]:
+        units = set(run.lower().split())
+        words = [w for w in self._words(run) if len(w) > 2 and w not in units]
+        if len(self) >= HELD:
+            self.clear()
+        if len(run) <= 100:
+            self[run] = words
+        return words
 
 
 def spaced_words(text: str) -> list[str]:
     """Runs of three or more single signs between white space, joined: words written letter by letter."""
-    return ["".join(m.group().split()) for m in _RUN.finditer(text)] if _SPACED.search(text) else []
+    return ["".join(m.group().split()) for m in _RUN.finditer(text)]
 
 
-def restored_words(text: str, restore) -> list[str]:
-    """All words of a text as ``restore`` gives them, those written letter by letter put behind."""
-    return [*map(restore, text.split()), *map(restore, spaced_words(text))]
+def restored_words(text: str, restore, runs: Runs) -> list[str]:
+    """All words of a text as ``restore`` gives them; behind them, those of runs of short units, joined and decoded."""
+    words = [*map(restore, text.split()), *map(restore, spaced_words(text))]
+    for m in _SHORT.finditer(text):
+        words += map(restore, runs[m.group()])
+    return words

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, texts_of
-from .deobfuscation import HELD, Restorer, language_model, restored_words
+from .deobfuscation import HELD, Restorer, Runs, language_model, restored_words
 from .shingles import shingle_sets
 
 #: Labelled rows that the lexicon is fitted on, at most (a documented bound; all other counts are over all rows).
@@ -62,6 +62,7 @@ class _Hits(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.restorer, self.lexicon = Restorer(model.letters), model.lexicon
+        self.runs = Runs(self.restorer)
 
     def __missing__(self, unit: str) -> str:
         found = max(features(self.restorer.unit(unit)), key=lambda f: self.lexicon.get(f, 0.0))
@@ -96,11 +97,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restored, seen = _Restored(Restorer(shared.value)), defaultdict(lambda: [0, 0])
+        runs = Runs(restored.restorer)
         n = [0, 0]
         for batch in batches:
             for text, toxic in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
                 n[toxic] += 1
-                for f in {f for w in set(restored_words(text, restored.__getitem__)) for f in features(w)}:
+                for f in {f for w in set(restored_words(text, restored.__getitem__, runs)) for f in features(w)}:
                     seen[f][toxic] += 1
         seen[""] = n  # of the documents themselves
         keys = list(seen)
@@ -116,8 +118,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restored = _Restored(Restorer(shared.value))
+        runs = Runs(restored.restorer)
         for batch in batches:
-            found = [sorted({f for w in set(restored_words(t, restored.__getitem__)) for f in features(w)} & wanted.value)
+            found = [sorted({f for w in set(restored_words(t, restored.__getitem__, runs)) for f in features(w)} & wanted.value)
                      for t in texts_of(batch.column(0))]
             least = [_least_shingles(s) for sets in shingle_sets(batch.column(0)) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())),
@@ -163,7 +166,7 @@ def cover(texts: list[set[str]], clean: dict[str, int], weights: list[float]) ->
 
 
 def _score(text: str, hits: _Hits, model: Model) -> float:
-    found = set(restored_words(text, hits.__getitem__))
+    found = set(restored_words(text, hits.__getitem__, hits.runs))
     found.discard("")
     return 1 - math.prod(1 - model.lexicon[f] for f in found) if found else model.base
 

@@ -484,6 +484,21 @@ def test_restoring():
     assert len(restorer.unit("1a" * 5000)) >= 5000
 
 
+def test_runs_of_short_units():
+    grams = " ".join(["worthless", "numskull", "idiot", "person", "moron", "hate", "you", "are", "the", "a", "i"] * 50)
+    counts = np.ones((deobfuscation.SIZE,) * 3) * 0.01
+    c = np.concatenate([[0, 0], deobfuscation._codes(grams.replace(" ", "  ")), [0, 0]])
+    np.add.at(counts, (c[:-2], c[1:-1], c[2:]), 1)
+    restorer = deobfuscation.Restorer(np.log(counts / counts.sum(2, keepdims=True)).astype(np.float32))
+    for text, want in {"you are a i d i o t": {"idiot"}, "i d i o t m o r o n": {"idiot", "moron"}, "I h a t e": {"hate"},
+                       "an i  d  i  o  t here": {"idiot"}, "id iot": {"idiot"}, "a 1 d 1 0 t": {"idiot"}}.items():
+        assert want <= set(deobfuscation.restored_words(text, restorer.unit, deobfuscation.Runs(restorer))), text
+    assert restorer.unit("iddiot") == "idiot" and restorer.unit("|+@+$") != "|+@+$"
+    assert restorer.unit("2024") == "2024" and restorer.unit("$100") == "$100"
+    n = len(deobfuscation.restored_words("i d i o t " * 2000, restorer.unit, deobfuscation.Runs(restorer)))
+    assert n > 10_000
+
+
 def test_toxicity(spark, labelled):
     texts, labels = labelled
     docs = frame(spark, texts)
