@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -25,8 +25,14 @@ _MARKED = re.compile(r"[0-9@]")
 _EDGE = "\"'()[]{}<>,;:.!?*%$&#=|"
 _WINDOW = 80
 
-#: A pattern needs so many known instances and such a share of known ones; rounds of the bootstrap.
-LEAST_KNOWN, CONFIDENCE, ROUNDS = 3, 0.8, 3
+#: A pattern needs so many known instances and such a share of them against those that contradict it; what an unknown
+#: instance of the kind's shape weighs against it.
+LEAST_KNOWN, CONFIDENCE, UNKNOWN = 3, 0.8, 0.1
+#: Shapes of identifiers by kind; unknown instances of another shape contradict a pattern.
+SHAPES = {"email": "[^ ]*@[^ ]*", "ip": "[0-9a-f]*([.:][0-9a-f]*){2,}(/[0-9]+)?", "card": "([a-z]{2})?([ ./-]?[0-9]){12,32}",
+          "phone": "[+(]{0,2}[0-9]([ ()./-]{0,3}[0-9]){6,14}"}
+#: A group of digits, as parts of numbers are written, and what may begin a grouped number besides.
+_GROUP, _FIRST = re.compile(r"\(?[0-9][0-9.()/-]*\Z"), re.compile(r"(?:[A-Za-z]{2}|[+(]{0,2})[0-9][0-9.()/-]*\Z")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -71,19 +77,38 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return spans
 
 
-def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Other tokens that look like identifiers: 6 characters or more with 4 digits or an @, outside the given spans."""
+def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, int | None]]:
+    """Other places that look like identifiers, outside the given spans: tokens of 6 characters or more with 4 digits or
+    an @, and runs of digit groups, one blank between them, with 7 to 34 digits. A token in such a run has its start."""
     found, at, taken = [], 0, sorted((a, b) for _, a, b in spans)
+    free = lambda start, end: not any(a < end and start < b for a, b in taken)
+    run: list[tuple[int, int, str]] = []  # tokens as they stand in the text
+
+    def close() -> None:
+        whole = None
+        if len(run) > 1:
+            start, end = run[0][0], run[-1][0] + len(run[-1][2].rstrip(_EDGE))
+            if 7 <= len(_digits(text[start:end])) <= 34 and free(start, end):
+                whole = start
+                found.append((start, end, None))
+        for first, last, token in run:
+            start = first + len(token) - len(token.lstrip(_EDGE))
+            token = token.strip(_EDGE)
+            end = start + len(token)
+            if len(token) >= 6 and ("@" in token or len(_digits(token)) >= 4) and free(start, end):
+                found.append((start, end, whole))
+        run.clear()
+
     while m := _MARKED.search(text, at):
         start = max(text.rfind(" ", at, m.start()), text.rfind("\n", at, m.start()), at - 1) + 1
         ends = [e for e in (text.find(" ", m.start()), text.find("\n", m.start())) if e >= 0]
         end = at = min(ends, default=len(text))
         token = text[start:end]
-        start += len(token) - len(token.lstrip(_EDGE))
-        token = token.strip(_EDGE)
-        end = start + len(token)
-        if len(token) >= 6 and ("@" in token or len(_digits(token)) >= 4) and not any(a < end and start < b for a, b in taken):
-            found.append((start, end))
+        if not (run and start == run[-1][1] + 1 and text[start - 1] == " " and _GROUP.match(token.rstrip(_EDGE))
+                and run[-1][2][-1] not in ",;:.!?" and _FIRST.match(run[0][2])):
+            close()
+        run.append((start, end, token))
+    close()
     return found
 
 
@@ -97,10 +122,10 @@ def contexts(text: str, start: int, end: int) -> list[str]:
 
 def scan(docs: DataFrame) -> DataFrame:
     """Per row: base spans, their digest, and every place with its instance and patterns (unknown places: kind null)."""
-    place = "struct<kind:string,first:long,last:long,instance:string,patterns:array<string>>"
+    place = "struct<kind:string,first:long,last:long,run:long,instance:string,patterns:array<string>>"
     schema = (f"doc_id long, n array<long>, base_sha256 string, spans array<string>, places array<{place}>")
-    arrow = pa.struct([("kind", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("instance", pa.string()),
-                       ("patterns", pa.list_(pa.string()))])
+    arrow = pa.struct([("kind", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("run", pa.int64()),
+                       ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,9 +135,9 @@ def scan(docs: DataFrame) -> DataFrame:
                 written.append([f"{k}:{a}:{b}" for k, a, b in spans])
                 digests.append(hashlib.sha256(",".join(written[-1]).encode()).hexdigest())
                 counts.append([sum(k == kind for k, _, _ in spans) for kind in KINDS])
-                all_places = [*spans, *((None, a, b) for a, b in candidates(text, spans))]
-                places.append([{"kind": k, "first": a, "last": b, "instance": text[a:b].lower(),
-                                "patterns": contexts(text, a, b)} for k, a, b in all_places])
+                all_places = [*((*s, None) for s in spans), *((None, *c) for c in candidates(text, spans))]
+                places.append([{"kind": k, "first": a, "last": b, "run": r, "instance": text[a:b].lower(),
+                                "patterns": contexts(text, a, b)} for k, a, b, r in all_places])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.list_(pa.int64())), pa.array(digests, pa.string()),
                  pa.array(written, pa.list_(pa.string())), pa.array(places, pa.list_(arrow))],
@@ -124,26 +149,33 @@ def scan(docs: DataFrame) -> DataFrame:
 def bootstrap(edges: DataFrame) -> DataFrame:
     """Accepted patterns (``pattern``, ``kind``, ``confidence``) of the graph ``edges(pattern, instance, kind)``.
 
-    A pattern's confidence for a kind is the weight of its known instances of that kind over the number of its different
-    instances. Patterns with ``LEAST_KNOWN`` known instances and ``CONFIDENCE`` are accepted; the instances they reach
-    become known with that weight and count in the next round. The rounds are joins of the graph's tables.
+    A pattern's confidence for a kind is the weight of its known instances of that kind against theirs and what
+    contradicts them: instances known as another kind, and unknown ones of another shape. An unknown instance of the
+    kind's shape may be what is looked for and weighs ``UNKNOWN``. Patterns with ``LEAST_KNOWN`` known instances and
+    ``CONFIDENCE`` are accepted; the instances they reach become known with that weight and count in the next round,
+    until a round reaches none. The rounds are joins of the graph's tables.
     """
     graph = edges.select("pattern", "instance").distinct().checkpoint()
     known = edges.filter("kind IS NOT NULL").select("instance", "kind").distinct().withColumn("weight", F.lit(1.0)).checkpoint()
-    size = graph.groupBy("pattern").agg(F.count("*").alias("size"))
-    accepted = None
-    for _ in range(ROUNDS):
-        scored = graph.join(known, "instance").groupBy("pattern", "kind").agg(
-            F.sum("weight").alias("weight"), F.count("*").alias("n")).filter(F.col("n") >= LEAST_KNOWN)
-        accepted = scored.join(size, "pattern").withColumn("confidence", F.col("weight") / F.col("size")).filter(
-            F.col("confidence") >= CONFIDENCE).select("pattern", "kind", "confidence").checkpoint()
+    against = {k: F.when(F.col("instance").rlike(f"^(?:{shape})$"), UNKNOWN).otherwise(1.0) for k, shape in SHAPES.items()}
+    while True:
+        rows = graph.join(known, "instance", "left")
+        sums = rows.groupBy("pattern").agg(
+            *[F.sum(F.when(F.col("kind") == k, F.col("weight"))).alias(f"w_{k}") for k in KINDS],
+            *[F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k in KINDS],
+            *[F.sum(F.when(F.col("kind").isNull(), against[k]).when(F.col("kind") != k, F.col("weight"))).alias(f"a_{k}")
+              for k in KINDS])
+        kinds = F.explode(F.array(*[F.struct(
+            F.lit(k).alias("kind"), F.col(f"n_{k}").alias("n"),
+            (F.col(f"w_{k}") / (F.col(f"w_{k}") + F.coalesce(F.col(f"a_{k}"), F.lit(0.0)))).alias("confidence")) for k in KINDS]))
+        accepted = sums.select("pattern", kinds.alias("k")).select("pattern", "k.*").filter(
+            (F.col("n") >= LEAST_KNOWN) & (F.col("confidence") >= CONFIDENCE)).select("pattern", "kind", "confidence").checkpoint()
         new = (graph.join(accepted, "pattern").join(known.select("instance"), "instance", "left_anti")
                .groupBy("instance").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"),
                                         F.max("confidence").alias("weight"))).checkpoint()
         if new.isEmpty():
-            break
+            return accepted
         known = known.unionByName(new).checkpoint()
-    return accepted
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -158,9 +190,12 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     places = rows.select("_row", F.explode("places").alias("p")).select("_row", "p.*")
     edges = places.withColumn("pattern", F.explode("patterns")).select("pattern", "instance", "kind")
     accepted = bootstrap(edges)
-    found = (places.filter("kind IS NULL").select("_row", "first", "last", F.explode("patterns").alias("pattern"))
-             .join(accepted, "pattern").groupBy("_row", "first", "last")
+    found = (places.filter("kind IS NULL").select("_row", "first", "last", "run", F.explode("patterns").alias("pattern"))
+             .join(accepted, "pattern").groupBy("_row", "first", "last", "run")
              .agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind")))
+    # tokens of a run that was found as a whole are no places by themselves
+    of_run = Window.partitionBy("_row", F.coalesce("run", "first"))
+    found = found.withColumn("_whole", F.max(F.col("run").isNull()).over(of_run)).filter("run IS NULL OR NOT _whole")
     added = found.groupBy(F.col("_row").alias("_of")).agg(
         F.collect_list(F.concat_ws(":", "kind", "first", "last")).alias("added"))  # places of one text
     order = {k: i for i, k in enumerate(KINDS)}

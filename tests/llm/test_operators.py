@@ -101,6 +101,25 @@ def test_contexts_find_unseen_identifiers(spark):
     assert pii.find_personal_data(frame(spark, [])).collect() == []
 
 
+def test_unseen_identifiers_are_no_errors(spark):
+    known = [f"Filler w{i}q goes. Please ring phone number +1 (555) 010-{1000 + i} today {i % 7}x" for i in range(10)]
+    unseen = ["555 123 4567", "(555) 010 2233", "555-0199-22", "555.019.9333"]
+    rows = {r["doc_id"]: r for r in pii.find_personal_data(frame(spark, known + [f"ring phone number {u} today" for u in unseen])).collect()}
+    assert [rows[10 + i]["spans"] for i in range(4)] == [f"phone:18:{18 + len(u)}" for u in unseen]
+    wrong = [f"ring phone number abc{i}-{1000 + i}q today" for i in range(4)]  # another shape contradicts
+    rows = pii.find_personal_data(frame(spark, known + wrong)).collect()
+    assert all(r["n_found"] == 0 for r in rows)
+    text = "pay to DE89 3704 0044 0532 0130 00 now, or 123456 7, or 12 34"
+    assert [text[a:b] for a, b, _ in pii.candidates(text, [])] == ["DE89 3704 0044 0532 0130 00", "123456 7", "123456"]
+
+
+def test_bootstrap_runs_until_nothing_is_new(spark):
+    edges = [(f"p{k}", f"555 123 {1000 + 3 * k + i}", "phone" if k == 0 else None) for k in range(6) for i in range(3)]
+    edges += [(f"p{k + 1}", e, None) for k in range(6) for e in [x[1] for x in edges if x[0] == f"p{k}"]]
+    accepted = pii.bootstrap(spark.createDataFrame(edges, "pattern string, instance string, kind string"))
+    assert {r["pattern"] for r in accepted.collect()} == {f"p{k}" for k in range(7)}
+
+
 def test_spans_of_repeated_rows(spark):
     rows = pii.find_personal_data(frame(spark, ["mail a@b.c or 1.2.3.4"] * 2 + [None], [7, 7, None])).collect()
     assert Counter(r["spans"] for r in rows) == {"email:5:10,ip:14:21": 2, "": 1}
