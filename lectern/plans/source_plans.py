@@ -55,15 +55,25 @@ SELECT page_id, title, prose_chars, prose_chars >= 400 AS kept, CASE WHEN prose_
 """
 
 
-@query("a3_pages_to_notes", NOTE_SQL)
-def a3(t):
-    """Threshold 400 instead of 60 so that the drop rule has something to drop in the sample pages."""
+def _notes(t, min_prose: int):
     title = F.trim(F.replace(F.regexp_extract("html", "<h1>(.*?)</h1>", 1), F.lit("&amp;"), F.lit("&")))
-    n = P.pages_to_notes(t.pages.select("page_id", "html", title.alias("title")), min_prose=400)
+    n = P.pages_to_notes(t.pages.select("page_id", "html", title.alias("title")), min_prose=min_prose)
     return n.select("page_id", "title", "prose_chars", F.col("note").isNotNull().alias("kept"),
                     F.md5("note").alias("note_md5"))
 
 
+@query("a3_pages_to_notes", NOTE_SQL)
+def a3(t):
+    """Threshold 400 instead of 60 so that the drop rule has something to drop in the sample pages."""
+    return _notes(t, 400)
+
+
+@query("a3_all_notes", NOTE_SQL.replace("prose_chars >= 400", "prose_chars >= 60"))
+def a3_all(t):
+    """With the rule's own threshold of 60."""
+    return _notes(t, P.MIN_PROSE)
+
+
 LINKS_SQL = r"""
 WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*>')) AS tag,
                   generate_subscripts(regexp_extract_all(html, '<a [^>]*>'), 1) - 1 AS pos FROM pages),

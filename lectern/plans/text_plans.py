@@ -124,7 +124,7 @@ SELECT doc_id, md5(unit) AS unit_md5, CAST(count(*) AS BIGINT) AS times, CAST(ma
 FROM s WHERE unit <> '' AND greatest(1, length(unit) // 3) <= 500 GROUP BY 1, 2
 """)
 def b8(t):
-    """Paragraph and sentence units; the windows of over-long sentences are covered by b8_word_windows."""
+    """Paragraph and sentence units; the windows of over-long sentences are in b8_all_units."""
     u = C.units(t.texts.select("doc_id", "text"), 500, keys=("doc_id",))
     # a word window is never a whole sentence of the text, so it drops out here
     whole = (t.texts.select("doc_id", F.explode(F.filter(F.flatten(F.transform(
@@ -136,6 +136,14 @@ def b8(t):
     return g.join(whole, ["doc_id", "unit_md5"], "left_semi")
 
 
+@query("b8_all_units")
+def b8_all(t):
+    """All units, the windows of over-long sentences included; b8_units holds those that its SQL can express."""
+    u = C.units(t.texts.select("doc_id", "text"), 500, keys=("doc_id",))
+    return u.groupBy("doc_id", F.md5("text").alias("unit_md5")).agg(
+        F.count("*").alias("times"), F.max("n_tokens").cast("bigint").alias("n_tokens"))
+
+
 @query("b8_word_windows", """
 SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), ' ')) AS words_md5,
        TRUE AS within_budget FROM documents
