@@ -16,8 +16,9 @@ from .common import groups
 from .components import components
 from .shingles import SLOTS, bands, shingle_sets, sketch, super_minhash
 
-#: Signatures estimate a similarity with a standard deviation of about 0.03 at 0.75; pairs estimated below are left out.
-ESTIMATE = 0.6
+#: Signatures estimate a similarity with a standard deviation of about 0.03 at 0.75; pairs estimated below are left out:
+#: of those at exactly 0.75 a share of at most 4e-10 (128 independent slots), beside 5e-6 that share no band.
+ESTIMATE = 0.5
 #: Members, and bytes of shingle sets, that one task holds of a group; larger groups are compared in blocks.
 BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
 
@@ -196,8 +197,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Sets are of 5 words (A-Z lower-cased), links have a Jaccard similarity of 0.75 or more. Rows with equal sets are one
     node, so copies are never compared. Nodes that share one of 32 bands of 4 slots and look alike by their sketches
-    form blobs (a pair at 0.75 shares no band with a probability of 5e-6); within a blob, links are confirmed on full
-    sets. A large blob goes in blocks: each block alone, then all against the first, which mostly connects it, and
+    form blobs (a pair at 0.75 shares no band with a probability of 5e-6, and the estimate loses 4e-10 at most); within a
+    blob, links are confirmed on full sets. A large blob goes in blocks: each block alone, then all against the first, which mostly connects it, and
     every two blocks only where parts are still apart.
 
     Texts without words (and null ones) link with nothing and keep their own id; rows repeated under one ``doc_id``

@@ -127,6 +127,12 @@ def test_spans_of_repeated_rows(spark):
 
 # ---- near-duplicates
 
+def test_estimate_misses_far_less_than_bands():
+    n, least = shingles.SLOTS, int(minhash.ESTIMATE * shingles.SLOTS)
+    missed = sum(math.comb(n, k) * 0.75 ** k * 0.25 ** (n - k) for k in range(least))
+    assert missed < 0.001 * (1 - 0.75 ** shingles.ROWS) ** (n // shingles.ROWS)
+
+
 def shingle_set(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
     return {tuple(words[k:k + 5]) for k in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())
