@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat, exact, html, minhash, mixing, packing, pii, tokens, toxicity, vectors
+from . import chat, exact, fingerprints, html, minhash, mixing, packing, pii, tokens, toxicity, vectors
 from .common import ORACLES, QUERIES, query, read
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -107,3 +107,8 @@ def op7_html_text(spark, sf_dir):
 @query("op5_near_vectors")
 def op5_near_vectors(spark, sf_dir):
     return vectors.near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
+
+
+@query("op12_edit_fingerprints")
+def op12_edit_fingerprints(spark, sf_dir):
+    return fingerprints.edited_pairs(read(spark, sf_dir, "documents"))
