@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -93,3 +94,40 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         held.append(batch.slice(start))
     if held:
         yield pa.Table.from_batches(held)
+
+
+class Learnt(dict):
+    """Values by key as a worker learns them: two generations, the newer of at most ``most`` bytes.
+
+    When the newer one is full it becomes the older one, whose keys come back as they are asked for again, so what is
+    frequent stays. Keys beyond 200 bytes are not kept.
+    """
+
+    def __init__(self, learn: Callable, most: int = 48 << 20):
+        self.learn, self.most, self.used, self.old = learn, most, 0, {}
+        super().__init__()
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.learn(key)
+        cost = sys.getsizeof(key) + sys.getsizeof(value) + 100
+        if cost <= 2_000:
+            if self.used + cost > self.most:
+                self.old = dict(self)
+                self.clear()
+                self.used = 0
+            self.used += cost
+            self[key] = value
+        return value
+
+
+_worker: dict[str, object] = {}
+
+
+def worker_held(name: str, make: Callable):
+    """What a worker process keeps between the tasks of one operator; another operator's takes its place."""
+    if name not in _worker:
+        _worker.clear()
+        _worker[name] = make()
+    return _worker[name]

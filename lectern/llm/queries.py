@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat, exact, fingerprints, html, minhash, mixing, packing, pii, tokens, toxicity, vectors
+from . import alignment, chat, exact, fingerprints, html, minhash, mixing, packing, pii, tokens, toxicity, vectors
 from .common import ORACLES, QUERIES, query, read
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -112,3 +112,9 @@ def op5_near_vectors(spark, sf_dir):
 @query("op12_edit_fingerprints")
 def op12_edit_fingerprints(spark, sf_dir):
     return fingerprints.edited_pairs(read(spark, sf_dir, "documents"))
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark, sf_dir):
+    return alignment.align_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                  public_tokenizers.path("piece_bpe_32k.model"))
