@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import alignment, chat, exact, fingerprints, html, minhash, mixing, packing, pii, tokens, toxicity, vectors
+from . import alignment, chat, exact, fingerprints, html, minhash, mixing, packing, phrases, pii, tokens, toxicity, vectors
 from .common import ORACLES, QUERIES, query, read
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -118,3 +118,31 @@ def op12_edit_fingerprints(spark, sf_dir):
 def op13_token_alignment(spark, sf_dir):
     return alignment.align_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                                   public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op11_phrases", rf"""
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_AZ}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM piece),
+grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, w[i] AS w1, w[i + k - 1] AS wk,
+    array_to_string(w[i:i + k - 2], ' ') AS head, array_to_string(w[i + 1:i + k - 1], ' ') AS tail
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (VALUES (1), (2), (3)) AS s(k))),
+f AS (SELECT lang, k, phrase, any_value(w1) AS w1, any_value(wk) AS wk, any_value(head) AS head, any_value(tail) AS tail, count(*) AS f
+  FROM grams GROUP BY lang, k, phrase),
+c AS (SELECT * FROM f WHERE k > 1 AND f >= 10),
+cut AS (SELECT c.lang, c.k, c.phrase, c.f AS a, a1.f AS l, b1.f AS r, 1 AS part FROM c
+    JOIN f a1 ON a1.lang = c.lang AND a1.k = 1 AND a1.phrase = c.w1 JOIN f b1 ON b1.lang = c.lang AND b1.k = c.k - 1 AND b1.phrase = c.tail
+  UNION ALL SELECT c.lang, c.k, c.phrase, c.f, a2.f, b2.f, 2 FROM c
+    JOIN f a2 ON a2.lang = c.lang AND a2.k = 2 AND a2.phrase = c.head JOIN f b2 ON b2.lang = c.lang AND b2.k = 1 AND b2.phrase = c.wk
+    WHERE c.k = 3),
+scored AS (SELECT *, (CAST(a AS HUGEINT) * a * 1000000) // (CAST(l AS HUGEINT) * r) AS score FROM cut),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, part) = 1),
+longer AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, head AS phrase, f FROM c WHERE k = 3
+  UNION ALL SELECT lang, tail, f FROM c WHERE k = 3) GROUP BY lang, phrase),
+kept AS (SELECT least.* FROM least LEFT JOIN longer ON least.k = 2 AND longer.lang = least.lang AND longer.phrase = least.phrase
+  WHERE longer.f IS NULL OR 100 * longer.f < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranked.lang, rank, ranked.phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+  CAST(t.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang) t ON t.lang = ranked.lang WHERE rank <= 2000""")
+def op11_phrases(spark, sf_dir):
+    return phrases.collocations(read(spark, sf_dir, "documents"))
