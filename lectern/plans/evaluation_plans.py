@@ -181,7 +181,7 @@ def evaluation_items(t) -> DataFrame:
     """One row per (question, mode): the three retrieval modes over the corpus, 20 deep. They share one vector search."""
     ensure_checkpoint_dir(t.spark)
     q, c = corpus(t)
-    index = L.postings(c)
+    index = L.block_postings(c)
     dense = N.dense_topk(q, c, 20, exclude_self=True).checkpoint()
     n = c.agg(F.count("*").alias("n"))
     modes = {

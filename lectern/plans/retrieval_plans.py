@@ -172,12 +172,12 @@ SELECT question_id, chunk_id, CAST(lex_score AS BIGINT) AS lex_score, hit = n AS
 def d2(t):
     q = t.conversations.filter("role = 'user'").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), X.keywords(X.nfkc("text")).alias("terms"))
-    return L.lexical_topk(q, L.postings(t.documents.select(F.col("doc_id").alias("chunk_id"), "text")), 20)
+    return L.lexical_topk(q, L.block_postings(t.documents.select(F.col("doc_id").alias("chunk_id"), "text")), 20)
 
 
 def hybrid(t):
     q, c = corpus(t)
-    return R.retrieve(q, c, "hybrid", index=L.postings(c), exclude_self=True)
+    return R.retrieve(q, c, "hybrid", index=L.block_postings(c), exclude_self=True)
 
 
 @query("d3_rrf", f"WITH {CORPUS_SQL} SELECT question_id, chunk_id, score, dense_rank, lex_rank, coalesce(all_terms, FALSE) AS all_terms, round(rrf, 9) AS rrf, rank FROM fr")
@@ -219,7 +219,7 @@ rk AS (SELECT question_id, chunk_id, score, dense_rank, rerank_score, row_number
 
 def reranked(t, k=None):
     q, c = corpus(t)
-    index = L.postings(c)
+    index = L.block_postings(c)
     n = c.agg(F.count("*").alias("n"))
     return R.retrieve(q, c, "dense", k=k, exclude_self=True,
                       rerank_with=lambda h: R.rerank(h, R.overlap_logits(h, q, index, n)))

@@ -100,11 +100,61 @@ def test_lexical_topk(spark):
     chunks = spark.createDataFrame([(1, "loi loi normale"), (2, "loi"), (3, "autre"), (4, "normale loi")], "chunk_id bigint, text string")
     q = spark.createDataFrame([(1, ["loi", "normale"]), (2, ["loi", "normale"]), (3, []), (4, ["absent"])],
                               "question_id bigint, terms array<string>")
-    got = L.lexical_topk(q, L.postings(chunks), 2).orderBy("question_id", "rank").collect()
+    got = L.lexical_topk(q, L.block_postings(chunks), 2).orderBy("question_id", "rank").collect()
     want = [(1, 3, True), (4, 2, True)]
     assert [(r.question_id, r.chunk_id, r.lex_score, r.all_terms) for r in got] == [(i, *w) for i in (1, 2) for w in want]
 
 
+def plain_cover_density(places):
+    at = sorted((int(p), t) for t, own in enumerate(places) for p in own)
+    spans = []
+    for i in range(len(at)):
+        for j in range(i, len(at)):
+            if len({t for _, t in at[i:j + 1]}) == len(places):
+                spans.append((i, j))
+                break
+    least = [s for s in spans if not any(o != s and s[0] <= o[0] and o[1] <= s[1] for o in spans)]
+    return sum(0.1 / (1 + at[j][0] - at[i][0] - (j - i)) for i, j in least)
+
+
+def test_cover_density():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        n = int(rng.integers(1, 5))
+        at = rng.permutation(40)[:int(rng.integers(n, 15))]
+        term = np.concatenate([np.arange(n), rng.integers(0, n, len(at) - n)])
+        places = [np.sort(at[term == t]) for t in range(n)]
+        assert L.cover_density(places) == pytest.approx(plain_cover_density(places))
+
+
+@pytest.mark.parametrize("rank,block,scope", [("positions", 256, None), ("positions", 3, None), ("covers", 5, None), ("positions", 4, "lang")])
+def test_lexical_topk_against_all_pairs(spark, rank, block, scope):
+    """Long and short chunks, a hot term, ties, copies of questions; pruning must not change a row."""
+    rng = np.random.default_rng(8)
+    words = np.array(["hot"] * 6 + [f"w{i}" for i in range(25)])
+    texts = [" ".join(rng.choice(words, int(rng.choice([0, 3, 10, 60, 300])))) for _ in range(120)]
+    langs = [str(rng.choice(["a", "b"])) for _ in texts]
+    asked = [list(dict.fromkeys(map(str, rng.choice(words, int(rng.integers(1, 4)))))) for _ in range(25)] + [["hot", "none"]]
+    chunks = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(zip(texts, langs))], "chunk_id bigint, text string, lang string")
+    q = spark.createDataFrame([(i, t, "ab"[i % 2]) for i, t in enumerate(asked)], "question_id bigint, terms array<string>, lang string")
+    index = L.block_postings(chunks, extra=("lang",) if scope else (), block=block)
+    got = {}
+    for r in L.lexical_topk(q, index, 6, scope, rank).orderBy("question_id", "rank").collect():
+        got.setdefault(r.question_id, []).append((r.chunk_id, round(r.lex_score, 9), r.all_terms))
+    want = {}
+    for i, terms in enumerate(asked):
+        rows = []
+        for c, t in enumerate(texts):
+            places = [[p for p, w in enumerate(t.split()) if w == term] for term in terms]
+            held = sum(map(bool, places))
+            if held and (rank == "positions" or held == len(terms)) and (not scope or langs[c] == "ab"[i % 2]):
+                score = sum(map(len, places)) if rank == "positions" else plain_cover_density(places)
+                rows.append((-round(score, 9), c, held == len(terms)))
+        if rows:
+            want[i] = [(c, -s, a) for s, c, a in sorted(rows)[:6]]
+    assert got == want
+
+
 def test_rrf(spark):
     d = spark.createDataFrame([(1, c, s, r) for c, s, r in ((1, .9, 1), (2, .8, 2), (3, .7, 3))], "question_id int, chunk_id int, score double, rank int")
     x = spark.createDataFrame([(1, 3, .7, 1, True), (1, 4, .2, 2, False)], "question_id int, chunk_id int, score double, rank int, all_terms boolean")
