@@ -7,6 +7,10 @@ Every variant uses one physical shape. Chunks and questions carry a ``part`` (a
 space). Each part is cut into blocks of bounded size on both sides; a (chunk block, question block) pair is one
 task-sized matrix product that emits at most ``k`` rows per question. No pair table exists anywhere, a part that holds
 a third of all rows becomes many blocks, and a final window keeps the best ``k`` of the block winners.
+
+Cells are cut level by level: a cell that is too large is split by centroids of its own, each level with its own radii.
+A level is one shuffle of the vectors that still lie in large cells; centroids are rows of a table beside their parent,
+so neither the driver nor a task holds more of them than one parent has.
 """
 
 from __future__ import annotations
@@ -16,16 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ensure_checkpoint_dir
 from .parallel import broadcast_if_small
 
-BLOCK = 2048
-MAX_CELLS = 2048
+#: Rows of a chunk block, centroids that one cell is split by at most.
+BLOCK, FAN = 2048, 1024
 #: A question block has so many times the rows of a chunk block.
 WIDE = 8
 
@@ -51,25 +54,23 @@ def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def block_join(questions: DataFrame, chunks: DataFrame, kernel, schema: T.StructType, block: int = BLOCK,
-               few_parts: bool = False, question_blocks: int = 1) -> DataFrame:
+               question_blocks: int = 1) -> DataFrame:
     """Run ``kernel(question table, chunk table)`` on every pair of blocks that share a ``part``.
 
-    Both inputs have a ``part`` column and an ``id``. The number of blocks of a part follows its size on each side.
-    ``few_parts`` says that parts are cells (at most MAX_CELLS); otherwise the table of part sizes is counted before
-    it is broadcast. A chunk is copied once per question block of its part and the other way round; question blocks
+    Both inputs have a ``part`` column and an ``id``. The number of blocks of a part follows its size on each side; the
+    table of part sizes is measured before it is broadcast. A chunk is copied once per question block of its part and the other way round; question blocks
     hold ``question_blocks`` times ``block`` rows, so that the larger table, the chunks, is seldom copied.
     """
     n_c = chunks.groupBy("part").agg(F.ceil(F.count("*") / block).alias("_nc"))
     n_q = questions.groupBy("part").agg(F.ceil(F.count("*") / (question_blocks * block)).alias("_nq"))
-    sizes = n_c.join(n_q, "part")
-    sizes = F.broadcast(sizes) if few_parts else broadcast_if_small(sizes)
+    sizes = broadcast_if_small(n_c.join(n_q, "part"))
 
     def spread(df: DataFrame, mine: str, other: str, my_block: str, other_block: str) -> DataFrame:
         return (df.join(sizes, "part")
                 .withColumn(my_block, F.pmod(F.xxhash64("id"), F.col(mine)))
                 .withColumn(other_block, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1)))
                 .withColumn("_key", F.concat_ws("/", F.col("part").cast("string"), "_cb", "_qb"))
-                .drop("_nc", "_nq", "_cb", "_qb", "part"))
+                .select("_key", *(F.col(x).alias(x) for x in df.columns if x != "part")))  # fresh names: sides may share a table
 
     # one key column: the join's partitioning by part must not count as the grouping, or a part's blocks would all
     # land in one task
@@ -82,7 +83,8 @@ def block_join(questions: DataFrame, chunks: DataFrame, kernel, schema: T.Struct
         return kernel(left, right)
 
     arrow_types = [(f.name, {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string(),
-                             "int": pa.int32(), "boolean": pa.bool_()}[f.dataType.simpleString()]) for f in schema]
+                             "int": pa.int32(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64()),
+                             "binary": pa.binary()}[f.dataType.simpleString()]) for f in schema]
     return q.cogroup(c).applyInArrow(run, schema)
 
 
@@ -121,63 +123,128 @@ def _sides(questions: DataFrame, chunks: DataFrame, part_q, part_c) -> tuple[Dat
     return q, c
 
 
-class Cells:
-    """A partition of the vector space: bounded centroids, and per cell its size and angular radius."""
-
-    def __init__(self, centroids: np.ndarray):
-        self.centroids = centroids / np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
-        self.sizes = np.zeros(len(centroids))
-        self.radius = np.zeros(len(centroids))
-
-    def assign(self, chunks: DataFrame) -> DataFrame:
-        """Add ``part`` (nearest centroid) and ``_cos`` (to that centroid)."""
-        cent = chunks.sparkSession.sparkContext.broadcast(self.centroids)
+_VECTORS = T.ArrayType(T.DoubleType())
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                sims = _matrix(b.column("vec")) @ cent.value.T
-                near = sims.argmax(axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [*b.columns, pa.array(near.astype(np.int64)), pa.array(sims[np.arange(len(near)), near])],
-                    names=[*b.schema.names, "part", "_cos"])
 
-        return chunks.mapInArrow(run, T.StructType([
-            *chunks.schema.fields, T.StructField("part", T.LongType()), T.StructField("_cos", T.DoubleType())]))
+def _rows(vectors: np.ndarray) -> pa.Array:
+    """A matrix as a list column."""
+    n, d = vectors.shape
+    return pa.ListArray.from_arrays(np.arange(0, n * d + 1, max(d, 1), dtype=np.int32)[:n + 1] if d else np.zeros(n + 1, np.int32),
+                                    vectors.astype(np.float64).ravel())
 
-    def measure(self, assigned: DataFrame) -> None:
-        """Sizes and radii: one small row per cell, at most MAX_CELLS of them."""
-        for r in assigned.groupBy("part").agg(F.count("*").alias("n"), F.min("_cos").alias("c")).collect():
-            self.sizes[r["part"]] = r["n"]
-            self.radius[r["part"]] = math.acos(max(-1.0, min(1.0, r["c"])))
 
-    def first_probe(self, angles: np.ndarray, need: int) -> np.ndarray:
-        """Nearest cells that together hold at least ``need`` chunks, per question (boolean matrix)."""
-        order = angles.argsort(axis=1, kind="stable")
-        held_before = np.cumsum(self.sizes[order], axis=1) - self.sizes[order]
-        chosen = np.zeros(angles.shape, dtype=bool)
-        np.put_along_axis(chosen, order, held_before < need, axis=1)
-        return chosen & (self.sizes > 0)
+def _directions(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
 
-    def visits(self, questions: DataFrame, choose) -> DataFrame:
-        """One row per (question, cell to visit): id, vec, part. ``choose(batch, angles)`` returns a boolean matrix."""
-        cent = questions.sparkSession.sparkContext.broadcast(self.centroids)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                angles = np.arccos(np.clip(_matrix(b.column("vec")) @ cent.value.T, -1.0, 1.0))
-                rows, cells = np.nonzero(choose(b, angles))
-                out = b.select(["id", "vec"]).take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cells.astype(np.int64))],
-                                                 names=["id", "vec", "part"])
-
-        fields = [questions.schema["id"], questions.schema["vec"], T.StructField("part", T.LongType())]
-        return questions.mapInArrow(run, T.StructType(fields))
+class CellTree:
+    """Cells of cells: ``leaves`` (id, vec, part) of all chunks, and per level a table of its cells, by parent.
 
+    A level's rows: ``part`` (the parent's path), ``id`` (number of the child), ``child`` (its path), ``vec`` (centroid),
+    ``size``, ``radius`` (angle), ``leaf``. Built by at most log(chunks) / log(FAN) rounds. A cell that its own centroids
+    do not split further (copies of one vector) stays a leaf of any size, which the block join cuts.
+    """
 
-def _sampled_cells(chunks: DataFrame, n_cells: int) -> Cells:
-    """Centroids picked by hash order: a bounded, repeatable sample (at most MAX_CELLS vectors reach the driver)."""
-    picked = chunks.select("vec").orderBy(F.xxhash64("id"), "id").limit(n_cells).collect()
-    return Cells(np.array([r["vec"] for r in picked], dtype=np.float64))
+    def __init__(self, chunks: DataFrame, cell_size: int):
+        """``chunks``: id, vec, part (roots of the tree: one for all, or one per scope)."""
+        ensure_checkpoint_dir(chunks.sparkSession)
+        self.levels: list[DataFrame] = []
+        leaves = []
+        rest = chunks.select("id", F.transform("vec", lambda x: x.cast("double")).alias("vec"), F.col("part").cast("string").alias("part"))
+        sizes = rest.groupBy("part").agg(F.count("*").alias("_n"))
+        self.roots = sizes
+        while True:
+            large = sizes.filter(F.col("_n") > cell_size)
+            if large.isEmpty():
+                leaves.append(rest)
+                break
+            level, inside = self._split(rest.join(broadcast_if_small(large), "part"), cell_size)
+            self.levels.append(level)
+            leaves.append(rest.join(broadcast_if_small(large.select("part")), "part", "left_anti").select("id", "vec", "part"))
+            ends = broadcast_if_small(level.select(F.col("child").alias("part"), "leaf"))
+            inside = inside.join(ends, "part").checkpoint()
+            leaves.append(inside.filter("leaf").select("id", "vec", "part"))
+            rest = inside.filter(~F.col("leaf")).select("id", "vec", "part")
+            sizes = level.filter(~F.col("leaf")).select(F.col("child").alias("part"), F.col("size").alias("_n"))
+        self.leaves = leaves[0]
+        for more in leaves[1:]:
+            self.leaves = self.leaves.unionByName(more)
+
+    @staticmethod
+    def _split(rows: DataFrame, cell_size: int) -> tuple[DataFrame, DataFrame]:
+        """One level: its cells, and the rows (id, vec, part) in them. Centroids are a bounded sample in hash order."""
+        order = Window.partitionBy("part").orderBy(F.xxhash64("id", "part"), "id")
+        fan = F.least(F.lit(FAN), F.ceil(F.col("_n") / cell_size) + 1)
+        picked = (rows.withColumn("_r", F.row_number().over(order)).filter((F.col("_r") <= FAN + 1) & (F.col("_r") <= fan))
+                  .select("part", F.col("_r").cast("bigint").alias("id"), "vec", F.col("_n").alias("_of")).checkpoint())
+
+        def nearest(q: pa.Table, c: pa.Table) -> pa.Table:
+            c = c.sort_by("id")
+            centroids = _directions(_matrix(c["vec"]))
+            out = []
+            for at in range(0, q.num_rows, BLOCK):
+                piece = q.slice(at, BLOCK)
+                cos = _matrix(piece["vec"]) @ centroids.T
+                best = cos.argmax(axis=1)
+                paths = pa.array([f"{p}.{k}" for p, k in zip(piece["_path"].to_pylist(), c["id"].to_numpy()[best].tolist())], pa.string())
+                out.append(pa.table({"id": piece["id"], "vec": piece["vec"], "part": paths, "_cos": cos[np.arange(len(best)), best]}))
+            return pa.concat_tables(out)
+
+        schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("vec", _VECTORS), T.StructField("part", T.StringType()),
+                               T.StructField("_cos", T.DoubleType())])
+        inside = block_join(rows.withColumn("_path", F.col("part")).drop("_n"), picked.drop("_of"), nearest, schema, 2 * FAN, WIDE).checkpoint()
+        found = inside.groupBy("part").agg(F.count("*").alias("size"), F.min("_cos").alias("_least"))
+        child = F.concat_ws(".", "part", F.col("id").cast("string"))
+        level = (picked.withColumn("child", child).join(found.withColumnRenamed("part", "child"), "child")
+                 .withColumn("radius", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_least") - 1e-12))))
+                 .withColumn("leaf", (F.col("size") <= cell_size) | (F.col("size") == F.col("_of")))
+                 .select("part", "id", "child", "vec", "size", "radius", "leaf").checkpoint())
+        return level, inside.drop("_cos")
+
+    def visits(self, questions: DataFrame, need: int | None, slack: float = 0.0) -> DataFrame:
+        """One row per (question, leaf to open): id, vec, part. ``questions``: id, vec, part (a root), ``_kth``.
+
+        With ``need``, at each level the nearest cells that together hold so many chunks; without it, every cell whose
+        best possible cosine reaches ``_kth``.
+        """
+
+        def choose(q: pa.Table, c: pa.Table) -> pa.Table:
+            c = c.sort_by("id")
+            centroids, radius = _directions(_matrix(c["vec"])), c["radius"].to_numpy()
+            size, leaf, child = c["size"].to_numpy(), c["leaf"].to_numpy(), c["child"].combine_chunks()
+            out = []
+            for at in range(0, q.num_rows, BLOCK):
+                piece = q.slice(at, BLOCK)
+                angles = np.arccos(np.clip(_matrix(piece["vec"]) @ centroids.T, -1.0, 1.0))
+                if need is not None:
+                    order = angles.argsort(axis=1, kind="stable")
+                    chosen = np.zeros(angles.shape, bool)
+                    np.put_along_axis(chosen, order, np.cumsum(size[order], axis=1) - size[order] < need, axis=1)
+                else:
+                    chosen = np.cos(np.maximum(angles - radius, 0.0)) + slack >= piece["_kth"].to_numpy()[:, None]
+                row, cell = np.nonzero(chosen)
+                picked = piece.select(["id", "vec", "_kth"]).take(pa.array(row))
+                out.append(picked.append_column("part", child.take(pa.array(cell))).append_column("leaf", pa.array(leaf[cell])))
+            return pa.concat_tables(out)
+
+        schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("vec", _VECTORS), T.StructField("_kth", T.DoubleType()),
+                               T.StructField("part", T.StringType()), T.StructField("leaf", T.BooleanType())])
+        rest = questions.select("id", F.transform("vec", lambda x: x.cast("double")).alias("vec"), "_kth", F.col("part").cast("string").alias("part"))
+        split = self.levels[0].select("part").distinct() if self.levels else None
+        out = []
+        for level in self.levels:
+            if split is not None:  # roots without children are leaves
+                out.append(rest.join(broadcast_if_small(split), "part", "left_anti"))
+                split = None
+            opened = block_join(rest, level, choose, schema, 2 * FAN, WIDE).checkpoint()
+            out.append(opened.filter("leaf").drop("leaf"))
+            rest = opened.filter(~F.col("leaf")).drop("leaf")
+        if not self.levels:
+            out.append(rest)
+        found = out[0].select("id", "vec", "part")
+        for more in out[1:]:
+            found = found.unionByName(more.select("id", "vec", "part"))
+        return found
 
 
 def dense_topk(questions: DataFrame, chunks: DataFrame, k: int, scope: str | None = None, digits: int = 6,
@@ -185,69 +252,133 @@ def dense_topk(questions: DataFrame, chunks: DataFrame, k: int, scope: str | Non
     """Exact best ``k`` chunks per question: question_id, chunk_id, score, rank.
 
     Inputs: ``question_id, vec`` and ``chunk_id, vec`` (integer ids). With ``scope`` both sides are equi-joined on
-    that column before any scoring. Without it, the space is cut into cells once there is more than one cell's worth
-    of chunks: a first pass over the nearest cells gives each question a k-th score, and a second pass visits only
-    the cells that could still beat it (triangle inequality on angles), so the result stays exact.
+    that column before any scoring. A scope (or the whole table) of more than ``cell_size`` chunks is cut into cells of
+    cells: a first pass over the nearest cells gives each question a k-th score, and a second pass visits only the cells
+    that can reach it (triangle inequality on angles), so the result stays exact.
     """
     kernel = _topk_kernel(k, digits, exclude_self)
-    if scope is not None:
-        q, c = _sides(questions, chunks, F.col(scope), F.col(scope))
-        return _ranked(block_join(q, c, kernel, HITS, block, question_blocks=WIDE), k)
-
-    q, c = _sides(questions, chunks, F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
-    n_cells = min(MAX_CELLS, math.ceil(chunks.count() / cell_size))
-    if n_cells <= 1:
-        return _ranked(block_join(q, c, kernel, HITS, block, few_parts=True, question_blocks=WIDE), k)
-
-    q, c = q.drop("part"), c.drop("part")
-    cells = _sampled_cells(c, n_cells)
-    assigned = cells.assign(c)
-    cells.measure(assigned)
-    parts = assigned.drop("_cos")
+    root = F.lit(0) if scope is None else F.col(scope)
+    q, c = _sides(questions, chunks, root.cast("string"), root.cast("string"))
+    tree = CellTree(c, cell_size)
+    if not tree.levels:
+        return _ranked(block_join(q, c, kernel, HITS, block, WIDE), k)
     need = 4 * k + 1
-    first = block_join(cells.visits(q, lambda b, a: cells.first_probe(a, need)), parts, kernel, HITS, block, True, WIDE)
+    parts = tree.leaves
+    first = block_join(tree.visits(q.withColumn("_kth", F.lit(-2.0)), need), parts, kernel, HITS, block, WIDE)
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
     kth = (first.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == k)
            .select(F.col("question_id").alias("id"), F.col("score").alias("_kth")))
-    slack = 2 * 10.0 ** -digits
+    bounded = q.join(kth, "id", "left").withColumn("_kth", F.coalesce("_kth", F.lit(-2.0)))
+    return _ranked(block_join(tree.visits(bounded, None, 2 * 10.0 ** -digits), parts, kernel, HITS, block, WIDE), k)
 
-    def still_open(batch: pa.RecordBatch, angles: np.ndarray) -> np.ndarray:
-        bound = np.cos(np.maximum(angles - cells.radius, 0.0)) + slack
-        kth_score = batch.column("_kth").to_numpy(zero_copy_only=False)
-        return (bound >= kth_score[:, None]) & (cells.sizes > 0) & ~cells.first_probe(angles, need)
 
-    bounded = q.join(kth, "id", "left").withColumn("_kth", F.coalesce("_kth", F.lit(-2.0)))
-    second = block_join(cells.visits(bounded, still_open), parts, kernel, HITS, block, True, WIDE)
-    return _ranked(first.unionByName(second), k)
+#: Chunks that codebooks are trained on at most (hash order), cells of the first level, dimensions of one code byte.
+TRAINED, COARSE, SUB = 16_384, 512, 4
+
+
+def _lloyd(points: np.ndarray, n: int, rounds: int = 6) -> np.ndarray:
+    """k-means centres of ``points``, started from rows at equal steps; empty centres keep their place."""
+    centres = points[np.linspace(0, len(points) - 1, n).astype(int)].copy()
+    for _ in range(rounds):
+        near = (points @ centres.T - 0.5 * (centres ** 2).sum(1)).argmax(1)
+        count = np.bincount(near, minlength=n)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, points)
+        centres[count > 0] = sums[count > 0] / count[count > 0, None]
+    return centres
+
+
+class ResidualCodes:
+    """Coarse cells, and per ``SUB`` dimensions of what is left after subtracting the cell's centre a book of 256 vectors."""
+
+    def __init__(self, sample: np.ndarray, n_cells: int):
+        dims = sample.shape[1]
+        self.centres = _lloyd(sample, min(n_cells, len(sample)))
+        residual = sample - self.centres[self.nearest(sample)]
+        self.cuts = [(a, min(a + SUB, dims)) for a in range(0, dims, SUB)]
+        self.books = [_lloyd(residual[:, a:b], min(256, len(sample))) for a, b in self.cuts]
+
+    def nearest(self, vectors: np.ndarray) -> np.ndarray:
+        return (vectors @ self.centres.T - 0.5 * (self.centres ** 2).sum(1)).argmax(1)
+
+    def encode(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cell = self.nearest(vectors)
+        residual = vectors - self.centres[cell]
+        codes = [(residual[:, a:b] @ book.T - 0.5 * (book ** 2).sum(1)).argmax(1) for (a, b), book in zip(self.cuts, self.books)]
+        return cell, np.stack(codes, axis=1).astype(np.uint8)
+
+    def scores(self, questions: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
+        """Approximate inner products by table look-ups: one addition per code byte."""
+        out = np.repeat((questions @ self.centres[cell])[:, None], len(codes), axis=1)
+        for m, ((a, b), book) in enumerate(zip(self.cuts, self.books)):
+            out += (questions[:, a:b] @ book.T)[:, codes[:, m]]
+        return out
 
 
 def ann_topk(questions: DataFrame, chunks: DataFrame, k: int, n_probe: int = 8, n_cells: int | None = None,
-             scope: str | None = None, digits: int = 6, exclude_self: bool = False, seed: int = 7,
+             scope: str | None = None, digits: int = 6, exclude_self: bool = False, refine: int = 8,
              block: int = BLOCK) -> DataFrame:
-    """Approximate best ``k``: k-means cells, each question looks into its ``n_probe`` nearest cells.
+    """Approximate best ``k`` by residual product quantisation, the best ``refine * k`` re-ranked by exact cosine.
 
-    A scope is answered exactly instead: filtering after an approximate search loses rows.
+    Codebooks are trained on at most ``TRAINED`` chunks; every chunk is indexed. A chunk travels as one byte per ``SUB``
+    dimensions. Each question looks into the ``n_probe`` cells (of at most ``COARSE``) with the nearest centres; a cell of
+    any size is cut into blocks. A scope is answered exactly instead: filtering after an approximate search loses rows.
     """
     if scope is not None:
         return dense_topk(questions, chunks, k, scope, digits, exclude_self, block)
+    spark = chunks.sparkSession
     q, c = _sides(questions, chunks, F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
     q, c = q.drop("part"), c.drop("part")
-    n = chunks.count()
-    n_cells = min(MAX_CELLS, n_cells or max(1, round(math.sqrt(n))))
-    fraction = min(1.0, 256 * n_cells / max(n, 1))
-    sample = c.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(fraction * 1_000_000) + 1)  # training only
-    vectors = sample.select(array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("features"))
-    model = KMeans(k=n_cells, seed=seed, maxIter=5, distanceMeasure="cosine").fit(vectors)
-    cells = Cells(np.array(model.clusterCenters()))
-    parts = cells.assign(c).drop("_cos")
-
-    def nearest(_, angles: np.ndarray) -> np.ndarray:
-        keep = min(n_probe, angles.shape[1])
-        limit = np.partition(angles, keep - 1, axis=1)[:, keep - 1]
-        return angles <= limit[:, None]
+    sample = c.orderBy(F.xxhash64("id"), "id").limit(TRAINED).select("vec").toArrow()  # training only
+    if not sample.num_rows:
+        return dense_topk(questions, chunks, k, None, digits, exclude_self, block)
+    vectors = _matrix(sample["vec"])
+    codes = ResidualCodes(vectors, min(COARSE, n_cells or max(1, round(math.sqrt(len(vectors))))))
+    shared = spark.sparkContext.broadcast(codes)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell, code = shared.value.encode(_matrix(b.column("vec")))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(cell.astype(np.int64)), pa.array([x.tobytes() for x in code], pa.binary())],
+                                             ["id", "part", "code"])
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = _matrix(b.column("vec"))
+            sims = own @ shared.value.centres.T
+            keep = min(n_probe, sims.shape[1])
+            near = np.argpartition(-sims, keep - 1, axis=1)[:, :keep]
+            rows = np.repeat(np.arange(len(own)), keep)
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(rows)), _rows(own[rows]), pa.array(near.ravel().astype(np.int64)),
+                                              pa.array(near.ravel().astype(np.int64))], ["id", "vec", "part", "cell"])
+
+    wanted = refine * k
+
+    def look_up(q: pa.Table, c: pa.Table) -> pa.Table:
+        c = c.sort_by("id")
+        cid = c["id"].to_numpy()
+        code = np.frombuffer(b"".join(c["code"].to_pylist()), np.uint8).reshape(len(cid), -1)
+        out = []
+        for at in range(0, q.num_rows, 256):
+            piece = q.slice(at, 256)
+            qid = piece["id"].to_numpy()
+            scores = shared.value.scores(_matrix(piece["vec"]), piece["cell"][0].as_py(), code)
+            if exclude_self:
+                scores[qid[:, None] == cid[None, :]] = -np.inf
+            rows, cols = _best(scores, wanted)
+            out.append(pa.table({"question_id": qid[rows], "chunk_id": cid[cols], "score": scores[rows, cols]}))
+        return pa.concat_tables(out)
+
+    coded = c.mapInArrow(encode, "id bigint, part bigint, code binary")
+    visits = q.mapInArrow(probe, "id bigint, vec array<double>, part bigint, cell bigint")
+    found = block_join(visits, coded, look_up, HITS, block, WIDE)
+    w = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
+    best = found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= wanted).select("question_id", "chunk_id")
+    from ..functions.vectors import dot
 
-    kernel = _topk_kernel(k, digits, exclude_self)
-    return _ranked(block_join(cells.visits(q, nearest), parts, kernel, HITS, block, True, WIDE), k)
+    exact = (best.join(q.select(F.col("id").alias("question_id"), F.col("vec").alias("_q")), "question_id")
+             .join(c.select(F.col("id").alias("chunk_id"), F.col("vec").alias("_c")), "chunk_id"))
+    return _ranked(exact.select("question_id", "chunk_id", F.round(dot(F.col("_q"), F.col("_c")), digits).alias("score")), k)
 
 
 def doc_boost(hits: DataFrame, questions: DataFrame, doc_vecs: DataFrame, boost: float, k: int,

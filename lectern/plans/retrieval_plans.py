@@ -110,6 +110,15 @@ def c4(t):
     return N.ann_topk(q, c, 10, n_probe=8, n_cells=16, exclude_self=True)
 
 
+@query("c4_ann_recall", "SELECT count(*) AS questions, TRUE AS recalled FROM embeddings")
+def c4_recall(t):
+    """Recall@10 of the approximate search against the exact one, over all vectors as questions: at least 0.9."""
+    q, c = vectors(t)
+    want = N.dense_topk(q, c, 10, exclude_self=True).select("question_id", "chunk_id")
+    hit = want.join(c4(t).select("question_id", "chunk_id", F.lit(1).alias("hit")), ["question_id", "chunk_id"], "left")
+    return hit.agg(F.count_distinct("question_id").alias("questions"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("recalled"))
+
+
 def label_summaries(t):
     """One unit vector per label (the mean of its members) in the role of a document summary."""
     parts = t.embeddings.select("label", F.posexplode("embedding").alias("i", "x"))

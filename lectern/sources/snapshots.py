@@ -1,4 +1,4 @@
-"""Keyed upserts on plain Parquet: build the new snapshot with joins, then publish it as a new version."""
+"""Keyed upserts on plain Parquet, as joins over whole tables or as a change log by key bucket; backups."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def upsert_documents(current: DataFrame, incoming: DataFrame, key: str = "path",
@@ -82,33 +83,60 @@ def expired(manifest: DataFrame, n: int, name: str = "name") -> DataFrame:
     return manifest.join(kept, name, "left_anti")
 
 
-def _versions(spark: SparkSession, base: str) -> list[int]:
-    """Published versions: only folders whose write finished."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(base)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    names = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("v=")]
-    done = [p for p in names if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(int(p.getName()[2:]) for p in done)
-
-
-def publish_snapshot(df: DataFrame, base: str, keep: int = 3, partition_by: list[str] | None = None) -> int:
-    """Write a new version beside the old ones and drop versions beyond ``keep``. Readers only ever see versions
-    whose write finished, so a lost executor or a failed job leaves the previous version in place."""
-    spark = df.sparkSession
-    versions = _versions(spark, base)
-    version = (versions[-1] if versions else 0) + 1
-    df.write.mode("overwrite").parquet(f"{base}/v={version:06d}", partitionBy=partition_by)
-    jvm = spark._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark._jsc.hadoopConfiguration())
-    for old in versions[: max(0, len(versions) + 1 - max(1, keep))]:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{base}/v={old:06d}"), True)
-    return version
-
-
-def read_snapshot(spark: SparkSession, base: str) -> DataFrame | None:
-    """The newest published version, or None before the first one."""
-    versions = _versions(spark, base)
-    return spark.read.parquet(f"{base}/v={versions[-1]:06d}") if versions else None
+class KeyedTable:
+    """A table with one current row per key, kept as a change log in Parquet and read as it now stands.
+
+    ``log`` holds every change, partitioned by a hash bucket of the key and by batch; a batch is written with Spark's
+    dynamic partition overwrite, so a retried batch replaces what it wrote before and nothing else. ``main`` holds, per
+    bucket, the newest row of each key up to the last compaction, deletions included; compacting rewrites only buckets
+    with newer changes. Reading takes the newest row per key of both. A key's rows share a bucket, hence a task group.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, schema: str | T.StructType, key: str, buckets: int = 64):
+        fields = T.StructType.fromDDL(schema).fields if isinstance(schema, str) else schema.fields
+        self.spark, self.base, self.key, self.buckets = spark, base.rstrip("/"), key, buckets
+        self.names = [f.name for f in fields]
+        self.schema = T.StructType([*fields, T.StructField("_deleted", T.BooleanType()), T.StructField("_upto", T.LongType()),
+                                    T.StructField("_bucket", T.IntegerType()), T.StructField("_batch", T.LongType())])
+        empty = spark.createDataFrame([], self.schema)
+        empty.write.mode("ignore").partitionBy("_bucket", "_batch").parquet(f"{self.base}/log")
+        empty.write.mode("ignore").partitionBy("_bucket").parquet(f"{self.base}/main")
+
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.base}/{name}").select(self.schema.names)
+
+    def _changes(self) -> DataFrame:
+        """Rows of ``main``, and of the log what is newer than its bucket's last compaction."""
+        main = self._table("main")
+        upto = main.groupBy("_bucket").agg(F.max("_upto").alias("_merged"))  # at most one row a bucket
+        newer = (self._table("log").join(F.broadcast(upto), "_bucket", "left")
+                 .filter(F.col("_batch") > F.coalesce("_merged", F.lit(-1))).select(self.schema.names))
+        return main.unionByName(newer)
+
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        row = F.struct(*self.schema.names)
+        return rows.groupBy("_bucket", self.key).agg(F.max_by(row, "_batch").alias("_r")).select("_r.*")
+
+    def write(self, number: int, rows: DataFrame, gone: DataFrame | None = None) -> None:
+        """Batch ``number``: new rows (one per key) and the keys that are gone. Running it again changes nothing."""
+        changes = rows.select(*self.names, F.lit(False).alias("_deleted"))
+        if gone is not None:
+            nothing = [F.lit(None).cast(self.schema[n].dataType).alias(n) for n in self.names if n != self.key]
+            changes = changes.unionByName(gone.select(self.key, *nothing, F.lit(True).alias("_deleted")))
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+        (changes.withColumns({"_upto": F.lit(None).cast("bigint"), "_bucket": bucket, "_batch": F.lit(number).cast("bigint")})
+         .repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("_bucket", "_batch").parquet(f"{self.base}/log"))
+
+    def read(self) -> DataFrame:
+        """The current rows."""
+        return self._newest(self._changes()).filter(~F.col("_deleted")).select(*self.names)
+
+    def compact(self) -> None:
+        """Fold the log into ``main``, bucket by bucket; only buckets with newer changes are rewritten."""
+        rows = self._changes()
+        due = rows.groupBy("_bucket").agg(F.max("_batch").alias("_last"), F.max(F.coalesce("_upto", F.lit(-1))).alias("_merged"))
+        due = due.filter("_last > _merged").select("_bucket", "_last")  # at most one row a bucket
+        merged = self._newest(rows.join(F.broadcast(due), "_bucket", "left_semi")).join(F.broadcast(due), "_bucket")
+        (merged.withColumn("_upto", F.col("_last")).select(self.schema.names).repartition("_bucket").write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(f"{self.base}/main"))

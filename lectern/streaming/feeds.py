@@ -5,6 +5,7 @@ Functions take a streaming (or static) DataFrame and return one, except the ``ru
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -50,10 +51,67 @@ def classify_file_events(events: DataFrame) -> DataFrame:
 
 def settled(events: DataFrame, key: str = "path", quiet: str = "2 seconds", lateness: str = "10 seconds",
             kind: str = "kind") -> DataFrame:
-    """One row per burst of events on a key, once it has been quiet: key, last_kind, last_ts, n."""
-    return (events.withWatermark("ts", lateness).groupBy(F.session_window("ts", quiet).alias("w"), key)
-            .agg(F.max_by(kind, "ts").alias("last_kind"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
-            .drop("w"))
+    """One row per burst of events on a key, once it has been quiet: key, last_kind, last_ts, n.
+
+    Each key holds its open bursts as state and one event-time timer a burst: when the watermark passes the last event
+    and the quiet time, the burst is emitted. A late event within the lateness bound may join two bursts. Needs the
+    RocksDB state store; append mode.
+    """
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    name = key
+    rest = events.withWatermark("ts", lateness).select(key, "ts", F.col(kind).alias("kind"))
+    gap = int(events.sparkSession.range(1).select(F.expr(f"cast(interval {quiet} as interval second)").alias("g")).first()["g"].total_seconds() * 1000)
+    state = "first_ms bigint, last_ms bigint, last_kind string, n bigint"
+
+    class Settle(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.bursts = handle.getListState("bursts", state)
+
+        def _held(self) -> list[list]:
+            return [list(r) for r in self.bursts.get()] if self.bursts.exists() else []
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            held = self._held()
+            before = {b[1] for b in held}
+            for pdf in rows:
+                ms = pdf["ts"].astype("datetime64[ms]").astype("int64")
+                for at, what in sorted(zip(ms, pdf["kind"]), key=lambda r: r[0]):
+                    own = [int(at), int(at), what, 1]
+                    apart = []
+                    for b in held:  # bursts less than the quiet time away are one with it
+                        if b[0] - own[1] < gap and own[0] - b[1] < gap:
+                            late = max(own, b, key=lambda x: x[1])
+                            own = [min(own[0], b[0]), late[1], late[2], own[3] + b[3]]
+                        else:
+                            apart.append(b)
+                    held = [*apart, own]
+            now = {b[1] for b in held}
+            for end in before - now:
+                self.handle.deleteTimer(end + gap)
+            for end in now - before:
+                self.handle.registerTimer(end + gap)
+            self.bursts.put([tuple(b) for b in held])
+            yield from ()
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            end = expiredTimerInfo.getExpiryTimeInMs() - gap
+            held = self._held()
+            done = [b for b in held if b[1] == end]
+            left = [tuple(b) for b in held if b[1] != end]
+            self.bursts.put(left) if left else self.bursts.clear()
+            if done:
+                yield pd.DataFrame({name: [key[0]] * len(done), "last_kind": [b[2] for b in done],
+                                    "last_ts": pd.to_datetime([b[1] for b in done], unit="ms"), "n": [b[3] for b in done]})
+
+        def close(self) -> None:
+            pass
+
+    return rest.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=Settle(), outputMode="Append", timeMode="EventTime",
+        outputStructType=T.StructType([rest.schema[key], T.StructField("last_kind", T.StringType()),
+                                       T.StructField("last_ts", T.TimestampType()), T.StructField("n", T.LongType())]))
 
 
 # --- job events and the question log ----------------------------------------------------------------------------------
@@ -148,67 +206,116 @@ def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/out")
 
 
-def with_open(emitted: DataFrame, whole: DataFrame, keys: list[str]) -> DataFrame:
-    """What a stream over bounded input emitted, plus what its watermark had not closed at the end.
+DOC_SCHEMA = ("path string, course string, title string, mime string, size bigint, mtime timestamp, sha256 string, status string, "
+              "parser_version int, first_seen timestamp, ingested_at timestamp")
+CHUNK_SCHEMA = "path string, chunks array<struct<page:int,ord:int,text:string,n_tokens:bigint>>"
 
-    ``whole`` is the same job over the same input as a table: its rows whose keys were not emitted are the open ones.
-    """
-    rest = whole.join(emitted.select(*keys), keys, "left_anti")
-    return emitted.select(*whole.columns).unionByName(rest)
 
+class Library:
+    """The documents and chunks that a continuous ingest keeps: two keyed tables below ``base``."""
 
-DOC_SCHEMA = ("path string, course string, title string, mime string, sha256 string, status string, "
-              "parser_version int, first_seen timestamp, ingested_at timestamp")
-CHUNK_SCHEMA = "path string, page int, ord int, text string, n_tokens int"
+    def __init__(self, spark: SparkSession, base: str, buckets: int = 64):
+        self.documents = snapshots.KeyedTable(spark, f"{base}/documents", DOC_SCHEMA, "path", buckets)
+        self.by_path = snapshots.KeyedTable(spark, f"{base}/chunks", CHUNK_SCHEMA, "path", buckets)
 
+    def chunks(self) -> DataFrame:
+        """path, page, ord, text, n_tokens of all current documents."""
+        return self.by_path.read().select("path", F.inline("chunks"))
 
-def _latest(batch: DataFrame) -> DataFrame:
-    """One row per path: the last modified where ``modified`` is there, then the greatest text."""
-    order = [c for c in ("modified", "text") if c in batch.columns]
-    one = batch.groupBy("path").agg(F.max_by(F.struct(*batch.columns), F.struct(*order)).alias("_r"))
-    return one.select("_r.*").drop("modified")
+    def compact(self) -> None:
+        self.documents.compact()
+        self.by_path.compact()
 
 
-def ingest_batch(batch: DataFrame, base: str, version: int = catalog.PARSER_VERSION, max_tokens: int = 500,
-                 overlap: int = 80, embedder: Callable | None = None) -> None:
-    """Ingest a table of notes (path, course, title, mime, text) into the snapshots below ``base``.
+def sync_listing(listing: DataFrame, library: Library, number: int, contents: Callable[[DataFrame], DataFrame],
+                 excluded: DataFrame | None = None, version: int = catalog.PARSER_VERSION, max_tokens: int = 500,
+                 overlap: int = 80) -> None:
+    """Bring the library to what a listing of the landing folder (path, size, mtime) says.
 
-    Unchanged files are skipped; changed ones replace their row (``first_seen`` stays) and all of their chunks.
-    Running the same batch twice gives the same snapshots.
+    A path is read, through ``contents(paths) -> (path, text)``, if it is new or its size or time changed; it is ingested
+    if its content, status or parser version did. Ingesting replaces the document (``first_seen`` stays) and all of its
+    chunks. Paths that are no longer listed, or excluded, go with their chunks: a deleted or moved folder is no more than
+    its paths. Listing ``number`` again, after a lost run, writes the same batch again.
     """
-    spark = batch.sparkSession
-    docs = snapshots.read_snapshot(spark, f"{base}/documents")
-    chunks = snapshots.read_snapshot(spark, f"{base}/chunks")
-    docs = spark.createDataFrame([], DOC_SCHEMA) if docs is None else docs
-    planned = catalog.plan_ingest(_latest(batch).withColumn("sha256", F.sha2("text", 256)), docs,
-                                  spark.createDataFrame([], "path string"), version)
+    spark = listing.sparkSession
+    known = library.documents.read().checkpoint()
+    excluded = spark.createDataFrame([], "path string") if excluded is None else excluded
+    listed = files_source.path_rules(listing.select("path", "size", "mtime")).filter("supported")
+    before = known.select("path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"), F.col("parser_version").alias("_version"))
+    same = (F.col("size") == F.col("_size")) & (F.col("mtime") == F.col("_mtime")) & (F.col("_version") == version)
+    touched = (listed.join(excluded.select("path").distinct(), "path", "left_anti").join(before, "path", "left")
+               .filter(~F.coalesce(same, F.lit(False))).drop("_size", "_mtime", "_version").checkpoint())
+    read = touched.join(contents(touched.select("path")), "path").withColumn("text", X.normalize(F.col("text")))
+    planned = catalog.plan_ingest(read.withColumn("sha256", F.sha2("text", 256)), known, excluded, version)
+    first = known.select("path", F.col("first_seen").alias("_first"))
+    planned = planned.join(first, "path", "left").withColumn("title", files_source.note_title(F.col("text"), F.col("path"))).checkpoint()
     due = planned.filter("result = 'ingest'").withColumn("page", F.lit(1))
     status = chunking.text_status(due.select(F.col("path").alias("doc_id"), "text", "mime")).select(
-        F.col("doc_id").alias("path"), "status")
-    incoming = due.join(status, "path").select(
-        "path", "course", "title", "mime", "sha256", "status", F.lit(version).alias("parser_version"),
-        F.current_timestamp().alias("first_seen"), F.current_timestamp().alias("ingested_at"))
-    new = chunking.chunk_pages(due, max_tokens, overlap, keys=("path", "page"))
-    if embedder is not None:
-        from ..operators.embedding import embed
-        new = embed(new, "text", embedder)
-    if chunks is None:
-        chunks = spark.createDataFrame([], new.schema)
+        F.col("doc_id").alias("path"), F.col("status").alias("_status"))
+    old = known.select("path", F.col("status").alias("_old"))
+    rows = planned.join(status, "path", "left").join(old, "path", "left").select(
+        "path", "course", "title", "mime", "size", "mtime", "sha256", F.coalesce("_status", "_old").alias("status"),
+        F.lit(version).alias("parser_version"), F.coalesce("_first", F.current_timestamp()).alias("first_seen"),
+        F.current_timestamp().alias("ingested_at"))
+    kept = listed.join(excluded.select("path").distinct(), "path", "left_anti").select("path")
+    gone = known.select("path").join(kept, "path", "left_anti").checkpoint()
+    pieces = chunking.chunk_pages(due, max_tokens, overlap, keys=("path", "page"))
+    # one row per document; its chunks are bounded by its own text
+    by_path = due.select("path").join(pieces.groupBy("path").agg(F.sort_array(F.collect_list(F.struct(
+        "page", "ord", "text", F.col("n_tokens").cast("bigint").alias("n_tokens")))).alias("chunks")), "path", "left")
     # chunks first: a crash in between leaves documents unmarked, so the retry does the same work again
-    snapshots.publish_snapshot(snapshots.replace_children(chunks, new, due, "path"), f"{base}/chunks")
-    snapshots.publish_snapshot(snapshots.upsert_documents(docs, incoming, "path", ("first_seen",)), f"{base}/documents")
-
-
-def run_ingest(spark: SparkSession, landing: str, base: str, checkpoint: str, files_per_batch: int = 1000,
-               embedder: Callable | None = None, once: bool = False):
-    """Watch a landing folder of notes and keep the snapshots below ``base`` up to date. Returns the query."""
-    raw = (spark.readStream.format("text").schema("value string").option("wholetext", "true")
-           .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(landing)
-           .select("value", F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_modification_time").alias("modified")))
-    uri = F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B")))
-    path = F.substring_index(uri, landing.rstrip("/") + "/", -1)
-    notes = files_source.path_rules(raw.select(path.alias("path"), X.normalize(F.col("value")).alias("text"), "modified"))
-    notes = notes.filter("supported").withColumn("title", files_source.note_title(F.col("text"), F.col("path")))
-    writer = (notes.writeStream.option("checkpointLocation", checkpoint)
-              .foreachBatch(lambda b, _: ingest_batch(b, base, embedder=embedder)))
+    library.by_path.write(number, by_path, gone)
+    library.documents.write(number, rows, gone)
+
+
+def list_landing(spark: SparkSession, landing: str) -> DataFrame:
+    """path (below ``landing``), size and mtime of every file there, by Spark's own file listing."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(landing)
+    return files.select(files_source._relative(F.col("path"), landing).alias("path"), F.col("length").alias("size"),
+                        F.col("modificationTime").alias("mtime"))
+
+
+def landing_texts(spark: SparkSession, landing: str, per_read: int = 1000) -> Callable[[DataFrame], DataFrame]:
+    """Reader of the texts of listed paths, some files at a time, so that only paths in hand are at the driver."""
+
+    def read(paths: DataFrame) -> DataFrame:
+        out = spark.createDataFrame([], "path string, text string")
+        held: list[str] = []
+
+        def more() -> DataFrame:
+            escaped = [re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in held]  # names may hold signs that readers expand
+            raw = spark.read.text([f"{landing.rstrip('/')}/{p}" for p in escaped], wholetext=True)
+            uri = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+            return out.unionByName(raw.select(files_source._relative(uri, landing).alias("path"), F.col("value").alias("text")))
+
+        for row in paths.toLocalIterator():
+            held.append(row["path"])
+            if len(held) == per_read:
+                out, held = more(), []
+        return more() if held else out
+
+    return read
+
+
+def publish_listing(listing: DataFrame, folder: str, number: int) -> None:
+    """Store a listing below ``folder`` and, once it is whole, its marker: the event that the ingest stream waits for."""
+    listing.write.mode("overwrite").parquet(f"{folder}/listings/{number}")
+    marker = listing.sparkSession.createDataFrame([(number, f"{folder}/listings/{number}")], "number bigint, listing string")
+    marker.coalesce(1).write.mode("append").json(f"{folder}/markers")
+
+
+def run_ingest(spark: SparkSession, folder: str, library: Library, checkpoint: str, contents: Callable[[DataFrame], DataFrame],
+               excluded: Callable[[], DataFrame] | None = None, once: bool = False):
+    """Follow the listings published below ``folder`` and keep the library up to date. Returns the query.
+
+    Offsets are listings: each micro-batch is one of them, compared with the library by joins, so that edits, deletions,
+    moved folders and exclusions are seen, not only new files. ``excluded()`` is asked at every batch.
+    """
+    markers = (spark.readStream.schema("number bigint, listing string").option("maxFilesPerTrigger", 1).json(f"{folder}/markers"))
+
+    def step(batch: DataFrame, _: int) -> None:
+        for row in sorted(batch.collect()):  # the markers of a batch: one small row a listing
+            sync_listing(spark.read.parquet(row["listing"]), library, row["number"], contents, excluded() if excluded else None)
+
+    writer = markers.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
     return (writer.trigger(availableNow=True) if once else writer).start()
