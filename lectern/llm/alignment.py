@@ -10,7 +10,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,6 @@ B_IDS = 1 << 15
 _BYTES_OF = {c: b for b, c in _WRITTEN.items()}
 #: Characters whose classes no two versions of Unicode disagree on.
 _SETTLED = re.compile(r"[\t\n\r\x20-\x7e¡-ɏ]*")
-#: Bytes of one pre-token beyond which the library's own model is asked.
-_LONG = re.compile(r"\S{400}|\s{400}")
 _PIECES = re.compile("<0x([0-9A-F]{2})>")
 
 
@@ -63,7 +63,7 @@ class ByteLevel:
         out: list = [None] * len(texts)
         rest = []
         for k, text in enumerate(texts):
-            if self.ranked is not None and _SETTLED.fullmatch(text) and not _LONG.search(text):
+            if self.ranked is not None and _SETTLED.fullmatch(text):
                 out[k] = self.ranked.encode_ordinary(text)
             else:
                 rest.append(k)
@@ -93,25 +93,36 @@ class Pieces:
 
 def align(a: list[int], b: list[int], a_size: list[int], b_size: list[int]) -> tuple[str, int, bytes]:
     """Tokens of one window (of as many bytes on both sides) as ``a1,a2|b1;a3|b2``, the number of those groups, and one
-    id pair for each two tokens that overlap, as little-endian 32-bit numbers."""
-    groups, pairs = [], []
-    i = j = first_a = first_b = 0
-    a_end, b_end = a_size[a[0]], b_size[b[0]]
+    id pair for each two tokens that overlap, as 32-bit numbers."""
+    pairs, written, groups = [], [], 1
+    i = j = 0
+    left, right = [], []
+    x, y = a[0], b[0]
+    gap = a_size[x] - b_size[y]  # how far A's token ends behind B's
+    last_a, last_b = len(a) - 1, len(b) - 1
     while True:
-        pairs.append(a[i] * B_IDS + b[j])
-        if a_end == b_end:
-            i, j = i + 1, j + 1
-            groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-            if i == len(a):
-                return ";".join(groups), len(groups), np.array(pairs, "<i4").tobytes()
-            first_a, first_b = i, j
-            a_end, b_end = a_end + a_size[a[i]], b_end + b_size[b[j]]
-        elif a_end < b_end:
+        pairs.append(x * B_IDS + y)
+        if gap < 0:
+            left.append(str(x))
             i += 1
-            a_end += a_size[a[i]]
-        else:
+            x = a[i]
+            gap += a_size[x]
+        elif gap > 0:
+            right.append(str(y))
             j += 1
-            b_end += b_size[b[j]]
+            y = b[j]
+            gap -= b_size[y]
+        else:
+            left.append(str(x))
+            right.append(str(y))
+            written.append(",".join(left) + "|" + ",".join(right))
+            if i == last_a and j == last_b:
+                return ";".join(written), groups, array("i", pairs).tobytes()
+            groups += 1
+            left, right = [], []
+            i, j = i + 1, j + 1
+            x, y = a[i], b[j]
+            gap = a_size[x] - b_size[y]
 
 
 class Aligner:
@@ -125,10 +136,9 @@ class Aligner:
         a_size, b_size = (s.tolist() for s in self.sizes)
 
         def learn(key: tuple[bytes, bytes]) -> tuple[str, int, bytes]:
-            a, b = (np.frombuffer(x, np.int32).tolist() for x in key)
-            return align(a, b, a_size, b_size)
+            return align(memoryview(key[0]).cast("i").tolist(), memoryview(key[1]).cast("i").tolist(), a_size, b_size)
 
-        self.windows = Learnt(learn)
+        self.windows = Learnt(learn, 96 << 20)
 
     def _encoded(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         """Ids of both sides; none where a text is empty or either side's bytes are not a space and the text."""
@@ -144,7 +154,7 @@ class Aligner:
         both = list(self._encoded(texts))
         if not both:
             return []
-        ids = [np.fromiter((x for own in side for x in own), np.int32, sum(map(len, side))) for side in zip(*both)]
+        ids = [np.fromiter(chain.from_iterable(side), np.int32, sum(map(len, side))) for side in zip(*both)]
         ends = [np.cumsum(size[own]) for size, own in zip(self.sizes, ids)]
         total = int(ends[0][-1]) if len(ends[0]) else 0
         # A window ends at a shared end before tokens with a space on both sides, or at the end of a text.

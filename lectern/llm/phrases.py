@@ -14,9 +14,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 from .common import bytes_of, slices
@@ -25,8 +25,8 @@ from .common import bytes_of, slices
 LEAST, RANKED, NAME = 10, 1 << 17, 64
 #: Ids of a tile's side as a power of two; pairs of a tile from which it is counted densely.
 SIDE, DENSE = 9, 1 << 14
-#: Bytes of text that a task counts at once; distinct words and unranked ids that it holds.
-RUN, HELD = 4 << 20, 500_000
+#: Bytes of text that a task reads at once, pairs that it counts at once, distinct words and unranked ids that it holds.
+RUN, PAIRS, HELD = 2 << 20, 1 << 20, 300_000
 #: Bits of the filter that tells which unranked phrases can be candidates, and how many of them a phrase sets.
 BITS, SET = 1 << 25, 2
 _NONE, _BREAK = -1, -2
@@ -72,70 +72,86 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, _COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-class Level:
-    """What tasks know of one level: (lang, phrase) by rank, and a filter of the phrases that have no rank."""
+def word_hash(lang: str, word: bytes) -> int:
+    """The same 64 bits as Spark's ``xxhash64(lang, word)``."""
+    return xxhash.xxh64_intdigest(word, lang_hash(lang))
 
-    def __init__(self, names: list[tuple[str, bytes]], bits: np.ndarray | None):
-        self.names, self.bits = names, bits
 
-    def may_hold(self, lang: str, phrase: bytes) -> bool:
-        """False if the unranked phrase is certainly no candidate."""
-        if self.bits is None:
-            return False
-        at = xxhash.xxh64_intdigest(phrase, xxhash.xxh64_intdigest(lang.encode(), 42))
-        places = (at >> (25 * k) & (BITS - 1) for k in range(SET))
-        return all(self.bits[x >> 3] & (0x80 >> (x & 7)) for x in places)
+def lang_hash(lang: str) -> int:
+    return xxhash.xxh64_intdigest(lang.encode(), 42)
 
 
-def share_level(level: DataFrame) -> Broadcast:
-    """Broadcast a :class:`Level` of ``level(lang, phrase, n)``: at most ``RANKED`` names of ``NAME`` bytes and ``BITS`` bits.
+def joined_hash(first, last):
+    """Hash of a pair from its words' hashes: the first with the last turned by 21 bits (arrays of unsigned 64 bits)."""
+    return first ^ (last << np.uint64(21) | last >> np.uint64(43))
 
-    Ranks follow n. Which phrases are ranked is decided by classes of n, eight to an octave, of which the lowest that
-    would pass the bound is left to the filter. That filter lets a few others through, which are counted for nothing.
-    """
-    spark = level.sparkSession
-    short = (F.octet_length("phrase") + F.octet_length("lang") <= NAME)
-    octave = F.floor(F.log2("n") * 8)
-    total, least = 0, None
-    for row in sorted(level.filter(short).groupBy(octave.alias("o")).count().collect(), reverse=True):  # some hundred classes
-        total += row["count"]
-        if total > RANKED:
-            break
-        least = row["o"]
-    ranked = short & (octave >= least) if least is not None else F.lit(False)
-    top = level.filter(ranked).toArrow().sort_by([("n", "descending"), ("lang", "ascending"), ("phrase", "ascending")])
-    names = list(zip(top.column("lang").to_pylist(), (x.encode() for x in top.column("phrase").to_pylist())))
-    hashed = level.filter(~ranked).select(F.xxhash64("lang", "phrase").alias("h"))
-    at = F.explode(F.array(*(F.shiftrightunsigned("h", 25 * k).bitwiseAND(BITS - 1) for k in range(SET))))
-    words = (hashed.select(at.alias("at")).groupBy(F.shiftright("at", 5).alias("word"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("bits"))).toArrow()  # at most BITS / 32 rows
-    bits = None
-    if words.num_rows:
-        bits = np.zeros((BITS >> 5, 32), bool)
-        bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()[:, None] >> np.arange(32) & 1
-        bits = np.packbits(bits.ravel())
-    return spark.sparkContext.broadcast((names, bits))
-
-
-def _level(shared: Broadcast) -> Level:
-    names, bits = shared.value
-    return Level(names, bits)
+
+class Level:
+    """What tasks know of one level: (lang, phrase) by rank with its count, and a filter of the phrases without a rank."""
+
+    def __init__(self, names: list[tuple[str, bytes]], counts: np.ndarray, bits: np.ndarray | None):
+        self.names, self.counts, self.bits = names, counts, bits
+        self.raw = None if bits is None else bits.tobytes()
+
+    def may_hold(self, hashes: np.ndarray) -> np.ndarray:
+        """False where an unranked phrase of that hash is certainly no candidate."""
+        found = np.full(len(hashes), self.bits is not None)
+        for k in range(SET if self.bits is not None else 0):
+            at = (hashes >> np.uint64(25 * k) & np.uint64(BITS - 1)).astype(np.int64)
+            found &= (self.bits[at >> 3] & (0x80 >> (at & 7))) != 0
+        return found
+
+
+class Shared:
+    """A level as a broadcast and as a table: ``tail`` holds (lang, phrase, n) of the phrases without a rank."""
+
+    def __init__(self, level: DataFrame, hashed: Column):
+        """Broadcast at most ``RANKED`` names of ``NAME`` bytes with counts, and ``BITS`` bits, of ``level(lang, phrase, n)``.
+
+        Ranks follow n. Which phrases are ranked is decided by classes of n, eight to an octave, of which the lowest that
+        would pass the bound is left to the filter. That filter lets a few others through, which are counted for nothing.
+        """
+        short = F.octet_length("phrase") + F.octet_length("lang") <= NAME
+        octave = F.floor(F.log2("n") * 8)
+        total, least = 0, None
+        for row in sorted(level.filter(short).groupBy(octave.alias("o")).count().collect(), reverse=True):  # some hundred classes
+            total += row["count"]
+            if total > RANKED:
+                break
+            least = row["o"]
+        ranked = short & (octave >= least) if least is not None else F.lit(False)
+        top = level.filter(ranked).select("lang", "phrase", "n").toArrow().sort_by(
+            [("n", "descending"), ("lang", "ascending"), ("phrase", "ascending")])
+        names = list(zip(top.column("lang").to_pylist(), (x.encode() for x in top.column("phrase").to_pylist())))
+        at = F.explode(F.array(*(F.shiftrightunsigned("h", 25 * k).bitwiseAND(BITS - 1) for k in range(SET))))
+        words = (level.filter(~ranked).select(hashed.alias("h")).select(at.alias("at")).groupBy(F.shiftright("at", 5).alias("word"))
+                 .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("bits"))).toArrow()  # at most BITS / 32 rows
+        bits = None
+        if words.num_rows:
+            bits = np.zeros((BITS >> 5, 32), bool)
+            bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()[:, None] >> np.arange(32) & 1
+            bits = np.packbits(bits.ravel())
+        self.tail = level.filter(~ranked).select("lang", "phrase", "n")
+        self.broadcast = level.sparkSession.sparkContext.broadcast((names, top.column("n").to_numpy(), bits))
 
 
 class WordIds(dict):
     """Ids of one language's words: ranks, then numbers given as unranked words that may be candidates come up."""
 
     def __init__(self, lang: str, level: Level, names: list[tuple[str, bytes]]):
-        self.lang, self.level, self.names = lang, level, names
+        self.lang, self.seed, self.names = lang, lang_hash(lang), names
+        self.bits = level.raw
         super().__init__({b"": _NONE - 2, b"\n": _BREAK})
 
     def __missing__(self, word: bytes) -> int:
-        if self.level.may_hold(self.lang, word):
-            self[word] = len(self.names)
-            self.names.append((self.lang, word))
-        else:
-            self[word] = _NONE
-        return self[word]
+        found = _NONE
+        if self.bits is not None:
+            h = xxhash.xxh64_intdigest(word, self.seed)
+            if all(self.bits[x >> 3] & (0x80 >> (x & 7)) for x in (h >> 25 * k & BITS - 1 for k in range(SET))):
+                found = len(self.names)
+                self.names.append((self.lang, word))
+        self[word] = found
+        return found
 
 
 class PairIds:
@@ -148,27 +164,34 @@ class PairIds:
             a, b = (words[lang][w] if lang in words else _NONE for w in phrase.split(b" "))
             codes.append(a << _PAIR | b if a >= 0 and b >= 0 else -1)
         order = np.argsort(codes, kind="stable")
-        self.codes, self.ranks = np.array(codes, np.int64)[order], order
+        self.codes, self.ranks = np.array(codes, np.int64)[order], order  # codes of -1 come first and are never looked up
         self.more: dict[int, int] = {}
+        self.hashes = np.zeros(0, np.uint64)
 
     def of(self, codes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.codes, codes), max(len(self.codes) - 1, 0))
         found = (self.codes[at] == codes) & (codes >= 0) if len(self.codes) else np.zeros(len(codes), bool)
         ids = np.where(found, self.ranks[at] if len(self.codes) else _NONE, _NONE)
         if self.level.bits is not None:
-            rest = np.flatnonzero(~found & (codes >= 0))
-            own, place = np.unique(codes[rest], return_inverse=True)
-            ids[rest] = np.array([self._more(c) for c in own.tolist()], np.int64)[place] if len(own) else _NONE
+            own, place = np.unique(codes[~found], return_inverse=True)
+            ids[~found] = self._unranked(own)[place]
         return ids
 
-    def _more(self, code: int) -> int:
-        if code not in self.more:
-            lang, a = self.parts[code >> _PAIR]
-            phrase = a + b" " + self.parts[code & (1 << _PAIR) - 1][1]
-            self.more[code] = len(self.names) if (may := self.level.may_hold(lang, phrase)) else _NONE
-            if may:
-                self.names.append((lang, phrase))
-        return self.more[code]
+    def _unranked(self, codes: np.ndarray) -> np.ndarray:
+        """Ids of distinct codes (below 0: no pair) that have no rank."""
+        new = self.parts[len(self.hashes):]
+        self.hashes = np.concatenate([self.hashes, np.array([word_hash(*x) for x in new], np.uint64)])
+        ids = np.full(len(codes), _NONE, np.int64)
+        real = np.flatnonzero(codes >= 0)
+        first, last = codes[real] >> _PAIR, codes[real] & (1 << _PAIR) - 1
+        for k in real[self.level.may_hold(joined_hash(self.hashes[first], self.hashes[last]))].tolist():
+            code = int(codes[k])
+            if code not in self.more:
+                (lang, a), (_, b) = self.parts[code >> _PAIR], self.parts[code & (1 << _PAIR) - 1]
+                self.more[code] = len(self.names)
+                self.names.append((lang, a + b" " + b))
+            ids[k] = self.more[code]
+        return ids
 
 
 def count_tiles(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,90 +214,114 @@ def count_tiles(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.nda
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def count_pairs(docs: DataFrame, words: Broadcast, pairs: Broadcast | None = None) -> DataFrame:
+_SENT = ["code", "lang", "left", "right", "n"]
+
+
+def count_pairs(docs: DataFrame, words: Shared, pairs: Shared | None = None) -> DataFrame:
     """``lang``, ``left``, ``right``, ``n``: neighbouring phrases of a level (of words; with ``pairs``, of pairs that share
     a word) and how often they follow each other inside a piece, ``LEAST`` times or more.
 
     Tasks send their counts by ranks, or by name where a phrase has none; sums are exact either way.
     """
+    word_cast, pair_cast = words.broadcast, pairs.broadcast if pairs is not None else None
+    ranks = pair_cast if pair_cast is not None else word_cast
+
+    def sent(left: np.ndarray, right: np.ndarray, names: list[tuple[str, bytes]], ranked: int) -> Iterator[pa.RecordBatch]:
+        left, right, n = count_tiles(left, right)
+        by_rank = (left < ranked) & (right < ranked)
+        ranks_only = pa.RecordBatch.from_arrays([pa.array(left[by_rank] << 20 | right[by_rank]), pa.array(n[by_rank])], ["code", "n"])
+        for a in range(0, len(ranks_only), 1 << 16):
+            some = ranks_only.slice(a, 1 << 16)
+            none = pa.nulls(len(some), pa.string())
+            yield pa.RecordBatch.from_arrays([some.column(0), none, none, none, some.column(1)], _SENT)
+        other = np.flatnonzero(~by_rank)
+        if len(other):
+            langs, phrases = pa.array([x for x, _ in names], pa.string()), pa.array([x for _, x in names], pa.binary()).cast(pa.string())
+            for a in range(0, len(other), 1 << 16):
+                some = other[a:a + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), langs.take(pa.array(left[some])),
+                                                  *(phrases.take(pa.array(side[some])) for side in (left, right)), pa.array(n[some])], _SENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_level, pair_level = _level(words), _level(pairs) if pairs is not None else None
+        word_level = Level(*word_cast.value)
+        pair_level = Level(*pair_cast.value) if pair_cast is not None else None
         ids: dict[str, WordIds] = {}
-        pair_ids, names = None, []
+        pair_ids, names, held = None, [], []
 
         def start() -> None:
             nonlocal ids, pair_ids, names
+            ids.clear()  # before the new ones are built
             names = list(word_level.names)
-            ids = {lang: WordIds(lang, word_level, names) for lang in {lang for lang, _ in names}}
-            for k, (lang, word) in enumerate(word_level.names):
+            for k, (lang, word) in enumerate(names):
+                if lang not in ids:
+                    ids[lang] = WordIds(lang, word_level, names)
                 ids[lang][word] = k
             if pair_level is not None:
                 for lang, _ in pair_level.names:
                     ids.setdefault(lang, WordIds(lang, word_level, names))
                 pair_ids = PairIds(pair_level, ids, names)
 
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            if held:
+                told = names if pair_ids is None else pair_ids.names
+                yield from sent(*(np.concatenate(x) for x in zip(*held)), told, len((pair_level or word_level).names))
+                held = []
+
         start()
         for lang, cells in _cells(batches):
             known = ids.setdefault(lang, WordIds(lang, word_level, names))
             at = np.fromiter(map(known.__getitem__, cells), np.int64, len(cells))
             at = at[at > _NONE - 2]
-            left, right = at[:-1], at[1:]
-            inside = (left >= 0) & (right >= 0)
-            ranked, told = len(word_level.names), names
             if pair_ids is not None:
-                at = pair_ids.of(np.where(inside, left << _PAIR | right, -1))
-                left, right = at[:-1], at[1:]
-                inside = (left >= 0) & (right >= 0)
-                ranked, told = len(pair_level.names), pair_ids.names
-            left, right, n = count_tiles(left[inside], right[inside])
-            by_rank = (left < ranked) & (right < ranked)
-            other = np.flatnonzero(~by_rank).tolist()
-            code = pa.array(left[by_rank] << 20 | right[by_rank])
-            none = pa.nulls(len(code), pa.string())
-            yield pa.RecordBatch.from_arrays([code, none, none, none, pa.array(n[by_rank])], _SENT)
-            if other:
-                yield pa.RecordBatch.from_arrays([
-                    pa.nulls(len(other), pa.int64()), pa.array([lang] * len(other), pa.string()),
-                    *(pa.array([told[x][1].decode() for x in side[other].tolist()], pa.string()) for side in (left, right)),
-                    pa.array(n[other])], _SENT)
-            if len(names) + sum(map(len, ids.values())) + (len(pair_ids.more) if pair_ids else 0) > 3 * RANKED + HELD:
+                inside = (at[:-1] >= 0) & (at[1:] >= 0)
+                at = pair_ids.of(np.where(inside, at[:-1] << _PAIR | at[1:], -1))
+            inside = (at[:-1] >= 0) & (at[1:] >= 0)
+            held.append((at[:-1][inside], at[1:][inside]))
+            full = len(names) + sum(map(len, ids.values())) + (len(pair_ids.names) if pair_ids else 0) > 3 * RANKED + HELD
+            if full or sum(len(x) for x, _ in held) > PAIRS:
+                yield from flush()
+            if full:
                 start()
+        yield from flush()
 
     counts = (docs.select("lang", "text").mapInArrow(run, "code long, lang string, left string, right string, n long")
               .groupBy("code", "lang", "left", "right").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST).checkpoint())
-    told = (pairs if pairs is not None else words).value[0]
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = shared.value[0]
+        names = ranks.value[0]
         for batch in batches:
             code = batch.column(0).to_numpy()
             left, right = (code >> 20).tolist(), (code & (1 << 20) - 1).tolist()
             yield pa.RecordBatch.from_arrays([
-                pa.array([names[x][0] for x in left], pa.string()), *(pa.array([names[x][1].decode() for x in side], pa.string())
-                                                                    for side in (left, right)), batch.column(1)], ["lang", "left", "right", "n"])
+                pa.array([names[x][0] for x in left], pa.string()),
+                *(pa.array([names[x][1].decode() for x in side], pa.string()) for side in (left, right)), batch.column(1)], _SENT[1:])
 
-    shared = pairs if pairs is not None else words
     by_rank = counts.filter("code is not null").select("code", "n").mapInArrow(named, "lang string, left string, right string, n long")
-    by_name = counts.filter("code is null").select("lang", "left", "right", "n")
-    return by_rank.unionByName(by_name) if told else by_name
+    return by_rank.unionByName(counts.filter("code is null").select(*_SENT[1:]))
 
 
-_SENT = ["code", "lang", "left", "right", "n"]
+def _with_counts(df: DataFrame, keys: dict[str, str], level: Shared) -> DataFrame:
+    """Add the counts of the phrases in columns ``keys`` under the names given. Ranked phrases, each of which may stand in
+    many rows, are looked up in the broadcast; the others, each rare, come by a join on (lang, phrase), in which rows
+    that need nothing take part under a key of their own that no phrase equals."""
+    cast = level.broadcast
 
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, counts, _ = cast.value
+        known = dict(zip(names, counts.tolist()))
+        for batch in batches:
+            langs = batch.column("lang").to_pylist()
+            found = [pa.array([known.get((g, x.encode())) for g, x in zip(langs, batch.column(key).to_pylist())], pa.int64()) for key in keys]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, *keys.values()])
 
-def _with_counts(df: DataFrame, key: str, level: DataFrame, shared: Broadcast, name: str) -> DataFrame:
-    """Add the count of the phrase in column ``key`` as ``name``. Ranked phrases, each of which may stand in many rows,
-    come from a broadcast table; the others, each rare, by a join on (lang, phrase)."""
-    spark = df.sparkSession
-    ranks = spark.createDataFrame(pa.table({"lang": pa.array([x for x, _ in shared.value[0]], pa.string()),
-                                            key: pa.array([x.decode() for _, x in shared.value[0]], pa.string())}))
-    counts = level.select("lang", F.col("phrase").alias(key), F.col("n").alias(name))
-    ranked = counts.join(F.broadcast(ranks), ["lang", key], "left_semi")
-    tail = counts.join(F.broadcast(ranks), ["lang", key], "left_anti")
-    known = df.join(F.broadcast(ranked), ["lang", key], "left")
-    return (known.filter(F.col(name).isNotNull())
-            .unionByName(known.filter(F.col(name).isNull()).drop(name).join(tail, ["lang", key])))
+    out = df.mapInArrow(look_up, T.StructType([*df.schema.fields, *(T.StructField(n, T.LongType()) for n in keys.values())]))
+    for key, name in keys.items():
+        tail = level.tail.select(F.col("lang").alias("_lang"), F.col("phrase").alias("_phrase"), F.col("n").alias("_n"))
+        sought = F.when(F.col(name).isNull(), F.col(key)).otherwise(F.concat(F.lit(" "), F.col("phrase")))
+        out = (out.withColumn("_sought", sought).join(tail, (F.col("lang") == F.col("_lang")) & (F.col("_sought") == F.col("_phrase")), "left")
+               .withColumn(name, F.coalesce(name, "_n")).drop("_lang", "_phrase", "_n", "_sought"))
+    return out
 
 
 def collocations(docs: DataFrame, top: int = 2_000) -> DataFrame:
@@ -289,13 +336,14 @@ def collocations(docs: DataFrame, top: int = 2_000) -> DataFrame:
     """
     ensure_checkpoint_dir(docs.sparkSession)
     counted = count_words(docs).filter(F.col("phrase").isNull() | (F.col("n") >= LEAST)).checkpoint()
-    words = counted.filter("phrase is not null")
-    shared_words = share_level(words)
-    pairs = count_pairs(docs, shared_words).select(
+    words = Shared(counted.filter("phrase is not null"), F.xxhash64("lang", "phrase"))
+    pairs = count_pairs(docs, words).select(
         "lang", F.concat_ws(" ", "left", "right").alias("phrase"), "n", F.col("left").alias("first"), F.col("right").alias("last")).checkpoint()
-    shared_pairs = share_level(pairs.select("lang", "phrase", "n"))
+    turned = F.xxhash64("lang", "last")
+    turned = F.shiftleft(turned, 21).bitwiseOR(F.shiftrightunsigned(turned, 43))
+    ranked_pairs = Shared(pairs, F.xxhash64("lang", "first").bitwiseXOR(turned))
     last = F.substring_index("right", " ", -1)
-    triples = count_pairs(docs, shared_words, shared_pairs).select(
+    triples = count_pairs(docs, words, ranked_pairs).select(
         "lang", F.concat_ws(" ", "left", last).alias("phrase"), F.col("n").alias("a"), "left", "right",
         F.substring_index("left", " ", 1).alias("first"), last.alias("last")).checkpoint()
 
@@ -303,13 +351,8 @@ def collocations(docs: DataFrame, top: int = 2_000) -> DataFrame:
             .groupBy("lang", "phrase").agg(F.max("a").alias("longer")))
     two = pairs.join(held, ["lang", "phrase"], "left").filter("longer is null or 100 * longer < 50 * n").select(
         "lang", "phrase", F.col("n").alias("a"), "first", "last")
-    two = _with_counts(_with_counts(two, "first", words, shared_words, "l"), "last", words, shared_words, "r")
-    two = two.select("lang", "phrase", "a", "l", "r", _score("l", "r").alias("score"))
-    three = triples
-    for key, name in (("first", "l1"), ("last", "r2")):
-        three = _with_counts(three, key, words, shared_words, name)
-    for key, name in (("left", "l2"), ("right", "r1")):
-        three = _with_counts(three, key, pairs, shared_pairs, name)
+    two = _with_counts(two, {"first": "l", "last": "r"}, words).select("lang", "phrase", "a", "l", "r", _score("l", "r").alias("score"))
+    three = _with_counts(_with_counts(triples, {"first": "l1", "last": "r2"}, words), {"left": "l2", "right": "r1"}, ranked_pairs)
     early = F.col("s1") <= F.col("s2")
     three = three.withColumns({"s1": _score("l1", "r1"), "s2": _score("l2", "r2")}).select(
         "lang", "phrase", "a", F.when(early, F.col("l1")).otherwise(F.col("l2")).alias("l"),
