@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -42,6 +43,11 @@ MARKED = {
     **dict.fromkeys("form login signin search share sharing social".split(), "form"),
     "hidden": "markup",
 }
+#: Marked words of parts that are no article whatever they hold: reader comments, notices, sidebars, adverts.
+STRICT = frozenset("comment comments disqus respond replies cookie cookies consent gdpr notice notices popup modal overlay newsletter "
+                   "subscribe subscription paywall sidebar ad ads advert adverts advertisement advertising sponsor sponsored promo".split())
+#: Share of a page's content beyond which such a part is the article after all, under a misleading name.
+MISNAMED = 0.8
 #: Words that such names may hold besides, as in 'sidebar-left'.
 NEUTRAL = frozenset("left right top bottom box wrapper container block bar list item site".split())
 #: Weight of the smoothed ratio of lines in marked parts; so many times the other content makes them stretch the region.
@@ -72,6 +78,7 @@ class Lines(HTMLParser):
         self.stack: list[tuple[str, str | None, int]] = []  # tag, why its text is dropped, number of the element
         self.names: list[str] = []  # tag of each container by number
         self.marks: dict[int, str] = {}  # reason of each container whose names mark it
+        self.strict: set[int] = set()  # those marked by strict words
         self.links = 0
 
     @property
@@ -105,10 +112,11 @@ class Lines(HTMLParser):
                 return "markup"
         return None
 
-    def _mark(self, tag: str, attrs: list) -> str | None:
-        """Why the names of an element speak against its text: one of them consists of marked words."""
+    def _mark(self, tag: str, attrs: list) -> tuple[str, bool] | None:
+        """Why the names of an element speak against its text: one of them consists of marked words. And if strictly."""
         if tag in ("html", "body", "main", "h1", "h2", "h3", "h4", "h5", "h6"):
             return None
+        found = None
         for name, value in attrs:
             for token in (value or "").split() if name in ("class", "id", "role") else ():
                 words = [w.lower() for w in _WORDS.findall(token)]
@@ -116,8 +124,16 @@ class Lines(HTMLParser):
                 if not why and "header" in words and not self._inside:
                     why = "header"
                 if why and all(w in MARKED or w in NEUTRAL or w == "header" for w in words):
-                    return why
-        return None
+                    strict = any(w in STRICT for w in words)
+                    if strict or not found:
+                        found = why, strict
+                    if strict:
+                        return found
+        return found
+
+    def barred(self, path: tuple[int, ...]) -> int | None:
+        """The outermost strictly marked element of a line, if :meth:`marked` finds any mark that holds."""
+        return next((n for n in path if n in self.strict), None) if self.marked(path) is not None else None
 
     def marked(self, path: tuple[int, ...]) -> int | None:
         """The innermost marked element of a line. An article inside one means that its end tag is missing."""
@@ -153,7 +169,9 @@ class Lines(HTMLParser):
         if outer == "heading" and tag in ("h1", "h2", "h3", "h4", "h5", "h6") and not why:
             outer = None
         if tag in BLOCKS and not why and (mark := self._mark(tag, attrs)):
-            self.marks[len(self.names)] = mark
+            self.marks[len(self.names)] = mark[0]
+            if mark[1]:
+                self.strict.add(len(self.names))
         self.names.append(tag)
         self.stack.append((tag, outer or why, len(self.names) - 1))
 
@@ -247,10 +265,13 @@ def _region(found: list[tuple[str, Line]], names: list[str], content: np.ndarray
 def main_text(page: str) -> str:
     """The article of one page: lines joined by line ends, white space inside a line as one space.
 
-    Menus, headers, footers, sidebars, forms and scripts are left out by their elements. Of the rest, the lines whose smoothed text-to-tag ratio lies in the upper cluster show where the content is,
+    Menus, headers, footers, sidebars, forms and scripts are left out by their elements. Of the rest, the lines whose
+    smoothed text-to-tag ratio lies in the upper cluster show where the content is,
     on every page and inside or outside of article elements; its region is the smallest container (in an article, the
     innermost whole article) that holds all of these lines. All lines of the region are kept, short ones and link lines
-    too, and so is a title (h1) before it with what follows. Where only the page itself holds them, link lines before
+    too, and so is a title (h1) before it with what follows. Reader comments, notices, sidebars and adverts by their names
+    (``STRICT``) are left out wherever they stand, unless one holds more than ``MISNAMED`` of the content, or nothing else
+    holds any. Where only the page itself holds them, link lines before
     the first and behind the last content line are left out. Names of elements (``MARKED``) discount the ratio of their
     lines, and marked parts stretch the region only when their content outweighs all other by far; inside it a marked
     part without any content line is left out.
@@ -269,12 +290,19 @@ def main_text(page: str) -> str:
     marks = [parser.marked(x.path) for _, x in found]
     discount = np.array([1 if m is None else DISCOUNT for m in marks])
     content = two_clusters(smoothed(ratio) * discount) & (linked < 0.5 * size)
+    barred = [parser.barred(x.path) for _, x in found]
+    held = defaultdict(float)
+    for n, s, c in zip(barred, size, content):
+        held[n] += s * c
+    out = np.array([n is not None and held[n] <= MISNAMED * size[content].sum() for n in barred])
+    out &= bool((content & ~out).any())
+    content &= ~out
     bare = content & (discount == 1)
     if size[content & ~bare].sum() > OUTWEIGHS * size[bare].sum():
         bare = content
     chosen = _region(found, parser.names, bare, size - linked)
     whole = {m for m, c in zip(marks, content) if c}
-    plain = np.array([m is None or m in whole for m in marks])
+    plain = np.array([m is None or m in whole for m in marks]) & ~out
     kept = np.array([not chosen.isdisjoint((-1, *x.path)) for _, x in found]) & plain
     if bare.any() and all(n < 0 or parser.names[n] in ("html", "body") for n in chosen):
         at = np.flatnonzero(bare)
