@@ -98,10 +98,22 @@ class Level:
         found = np.full(len(hashes), self.bits is not None)
         for k in range(SET if self.bits is not None else 0):
             at = (hashes >> np.uint64(25 * k) & np.uint64(BITS - 1)).astype(np.int64)
-            found &= (self.bits[at >> 3] & (0x80 >> (at & 7))) != 0
+            found &= (self.bits[at >> 3] & (1 << (at & 7))) != 0
         return found
 
 
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of a task as the 32-bit words of the filter that they touch."""
+    held = np.zeros(BITS >> 5, np.uint32)
+    for batch in batches:
+        hashes = batch.column(0).to_numpy().view(np.uint64)
+        for k in range(SET):
+            at = (hashes >> np.uint64(25 * k) & np.uint64(BITS - 1)).astype(np.int64)
+            np.bitwise_or.at(held, at >> 5, np.uint32(1) << (at & 31).astype(np.uint32))
+    found = np.flatnonzero(held)
+    yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(held[found].astype(np.int64))], ["word", "bits"])
+
+
 class Shared:
     """A level as a broadcast and as a table: ``tail`` holds (lang, phrase, n) of the phrases without a rank."""
 
@@ -123,14 +135,13 @@ class Shared:
         top = level.filter(ranked).select("lang", "phrase", "n").toArrow().sort_by(
             [("n", "descending"), ("lang", "ascending"), ("phrase", "ascending")])
         names = list(zip(top.column("lang").to_pylist(), (x.encode() for x in top.column("phrase").to_pylist())))
-        at = F.explode(F.array(*(F.shiftrightunsigned("h", 25 * k).bitwiseAND(BITS - 1) for k in range(SET))))
-        words = (level.filter(~ranked).select(hashed.alias("h")).select(at.alias("at")).groupBy(F.shiftright("at", 5).alias("word"))
-                 .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("bits"))).toArrow()  # at most BITS / 32 rows
+        found = (level.filter(~ranked).select(hashed.alias("h")).mapInArrow(_bits, "word int, bits long")
+                 .groupBy("word").agg(F.bit_or("bits").alias("bits"))).toArrow()  # at most BITS / 32 rows
         bits = None
-        if words.num_rows:
-            bits = np.zeros((BITS >> 5, 32), bool)
-            bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()[:, None] >> np.arange(32) & 1
-            bits = np.packbits(bits.ravel())
+        if found.num_rows:
+            bits = np.zeros(BITS >> 5, "<u4")
+            bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+            bits = bits.view(np.uint8)
         self.tail = level.filter(~ranked).select("lang", "phrase", "n")
         self.broadcast = level.sparkSession.sparkContext.broadcast((names, top.column("n").to_numpy(), bits))
 
@@ -147,7 +158,7 @@ class WordIds(dict):
         found = _NONE
         if self.bits is not None:
             h = xxhash.xxh64_intdigest(word, self.seed)
-            if all(self.bits[x >> 3] & (0x80 >> (x & 7)) for x in (h >> 25 * k & BITS - 1 for k in range(SET))):
+            if all(self.bits[x >> 3] & (1 << (x & 7)) for x in (h >> 25 * k & BITS - 1 for k in range(SET))):
                 found = len(self.names)
                 self.names.append((self.lang, word))
         self[word] = found
