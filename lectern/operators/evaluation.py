@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .scan import global_rank, previous_value, running_total
+from .scan import exact_median, global_rank, previous_value, running_total
 
 MIN_TOKENS = 60
 MIN_PER_GROUP = 5
@@ -195,10 +195,12 @@ def answer_metrics(items: DataFrame) -> DataFrame:
     def share(c: str) -> Column:
         return F.avg(F.when(answered, F.coalesce(F.col(c), F.lit(False)).cast("double")))
 
-    return items.agg(
+    one = items.agg(
         F.count("*").alias("n"), F.avg(F.col("refused").cast("double")).alias("refusal_rate"),
-        share("valid").alias("citation_valid_rate"), share("cited_right").alias("cited_right_rate"),
-        F.percentile(F.when(answered, F.col("ms")), 0.5).cast("bigint").alias("median_ms"))
+        share("valid").alias("citation_valid_rate"), share("cited_right").alias("cited_right_rate"))
+    median = exact_median(items.filter(answered), [], "ms", "_m")
+    return one.join(F.broadcast(median), F.lit(True), "left").select(  # one row each
+        "n", "refusal_rate", "citation_valid_rate", "cited_right_rate", F.col("_m").cast("bigint").alias("median_ms"))
 
 
 def cited_right(citations: DataFrame, truth: DataFrame, on: list[str]) -> DataFrame:

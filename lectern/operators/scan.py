@@ -32,6 +32,23 @@ def running_total(df: DataFrame, keys: list[str], order: str, value: Column, out
             .drop("_value", "_block", "_offset"))
 
 
+def exact_median(df: DataFrame, keys: list[str], value: str, out: str, block: int = 4096) -> DataFrame:
+    """Exact median of a whole-numbered column per group: ``keys`` and ``out`` (double); nulls don't count.
+
+    Rows shrink to counts by value before anything is moved. A running total over the values, block by block, tells which
+    values hold the middle ranks; no buffer holds a group's values.
+    """
+    counts = (df.select(*keys, F.col(value).cast("bigint").alias("_v")).filter("_v is not null")
+              .groupBy(*keys, "_v").agg(F.count("*").alias("_c")))
+    n = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    upto = running_total(counts, keys, "_v", F.col("_c"), "_upto", block)
+    both = upto.alias("r").join(n.alias("o"), _same(keys) if keys else F.lit(True)).select("r.*", "o._n")  # without keys: one row
+    low, high = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
+    holds = lambda rank: (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_c") < rank)
+    middle = both.filter(holds(low) | holds(high))  # one or two rows a group
+    return middle.groupBy(*keys).agg(((F.min("_v") + F.max("_v")) / 2).alias(out))
+
+
 def previous_value(df: DataFrame, keys: list[str], order: str, value: str, out: str, block: int = 4096) -> DataFrame:
     """Add ``out`` = ``value`` of the group's previous row by an integer ``order`` (``lag``), block by block.
 

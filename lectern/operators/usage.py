@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .answers import NOT_FOUND
 from .history import local_time
+from .scan import exact_median
 
 # Alert thresholds.
 INVALID_MAX = 0.1
@@ -23,11 +24,6 @@ def _refused() -> Column:
     return F.count_if(F.coalesce(F.col("answer") == NOT_FOUND, F.lit(False)))
 
 
-def _median(col: str) -> Column:
-    """Exact median, cut to a whole number."""
-    return F.percentile(col, 0.5).cast("bigint")
-
-
 def since(log: DataFrame, days: int, now: str) -> DataFrame:
     """Rows of the last ``days`` days (0 = all); a plain range filter on ``ts``, so it reaches the scan."""
     if not days:
@@ -37,11 +33,15 @@ def since(log: DataFrame, days: int, now: str) -> DataFrame:
 
 def log_summary(log: DataFrame, days: int, now: str) -> DataFrame:
     """Questions, refusals, invalid citations, failures, median and maximum latency."""
-    return since(log, days, now).agg(
+    rows = since(log, days, now)
+    one = rows.agg(
         F.count("*").alias("questions"), _refused().alias("refused"),
         F.count_if(F.coalesce(F.col("citation_valid") == F.lit(False), F.lit(False))).alias("invalid"),
         F.count_if(F.col("answer").isNull()).alias("failed"),
-        _median("latency_ms").alias("median_ms"), F.max("latency_ms").cast("bigint").alias("max_ms"))
+        F.max("latency_ms").cast("bigint").alias("max_ms"))
+    median = exact_median(rows, [], "latency_ms", "_m")
+    joined = one.join(F.broadcast(median), F.lit(True), "left")  # one row each
+    return joined.select("questions", "refused", "invalid", "failed", F.col("_m").cast("bigint").alias("median_ms"), "max_ms")
 
 
 def log_by_module(log: DataFrame, days: int, now: str) -> DataFrame:
@@ -51,8 +51,11 @@ def log_by_module(log: DataFrame, days: int, now: str) -> DataFrame:
 
 def log_by_day(log: DataFrame, days: int, now: str, tz: str = "UTC") -> DataFrame:
     day = F.to_date(local_time(F.col("ts"), tz)).alias("day")
-    return since(log, days, now).groupBy(day).agg(
-        F.count("*").alias("questions"), _median("latency_ms").alias("median_ms")).orderBy("day")
+    rows = since(log, days, now).withColumn("day", day)
+    counted = rows.groupBy("day").agg(F.count("*").alias("questions"))
+    median = exact_median(rows, ["day"], "latency_ms", "_m")
+    return (counted.join(median.withColumnRenamed("day", "_day"), F.col("day").eqNullSafe(F.col("_day")), "left")
+            .select("day", "questions", F.col("_m").cast("bigint").alias("median_ms")).orderBy("day"))
 
 
 def fill_days(daily: DataFrame, today: str, days: int = 0) -> DataFrame:

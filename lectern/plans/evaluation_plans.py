@@ -182,11 +182,11 @@ def evaluation_items(t) -> DataFrame:
     ensure_checkpoint_dir(t.spark)
     q, c = corpus(t)
     index = L.block_postings(c)
-    dense = N.dense_topk(q, c, 20, exclude_self=True).checkpoint()
+    dense = N.dense_topk(q, c, 20).checkpoint()
     n = c.agg(F.count("*").alias("n"))
     modes = {
         "dense": R.retrieve(q, c, "dense", k=20, dense=dense),
-        "hybrid": R.retrieve(q, c, "hybrid", index=index, exclude_self=True, dense=dense),
+        "hybrid": R.retrieve(q, c, "hybrid", index=index, dense=dense),
         "dense+rerank": R.retrieve(q, c, "dense", k=20, dense=dense,
                                    rerank_with=lambda h: R.rerank(h, R.overlap_logits(h, q, index, n))),
     }

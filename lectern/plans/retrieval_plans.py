@@ -40,18 +40,18 @@ CORPUS_SQL = rf"""
 v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings),
 q AS (SELECT item_id AS question_id, text AS question, vec, label FROM benchmark JOIN v ON vec_id = item_id % (SELECT count(*) FROM v)),
 c AS (SELECT doc_id AS chunk_id, text, vec, label, source, lang FROM documents JOIN v ON vec_id = doc_id % (SELECT count(*) FROM v)),
-sc AS (SELECT question_id, chunk_id, round(list_dot_product(q.vec, c.vec), 6) AS score FROM q, c WHERE question_id <> chunk_id),
-dn AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS dense_rank FROM sc QUALIFY dense_rank <= 20),
+sc AS MATERIALIZED (SELECT question_id, chunk_id, round(list_dot_product(q.vec, c.vec), 6) AS score FROM q, c),
+dn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS dense_rank FROM sc QUALIFY dense_rank <= 20),
 qt AS (SELECT DISTINCT question_id, term FROM (SELECT question_id, unnest(regexp_extract_all(lower(question), '[\p{{L}}\p{{N}}]+')) AS term FROM q)
        WHERE length(term) > 1 AND term NOT IN ({STOP_SQL})),
-ct AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM c) GROUP BY 1, 2),
-lm AS (SELECT question_id, chunk_id, sum(tf) AS lex_score, count(*) AS n FROM qt JOIN ct USING (term) WHERE question_id <> chunk_id GROUP BY 1, 2),
+ct AS MATERIALIZED (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM c) GROUP BY 1, 2),
+lm AS MATERIALIZED (SELECT question_id, chunk_id, sum(tf) AS lex_score, count(*) AS n FROM qt JOIN ct USING (term) GROUP BY 1, 2),
 lx AS (SELECT question_id, chunk_id, lex_score, n = (SELECT count(*) FROM qt WHERE qt.question_id = lm.question_id) AS all_terms,
               row_number() OVER (PARTITION BY question_id ORDER BY lex_score DESC, chunk_id) AS lex_rank FROM lm QUALIFY lex_rank <= 20),
 fu AS (SELECT coalesce(d.question_id, l.question_id) AS question_id, coalesce(d.chunk_id, l.chunk_id) AS chunk_id, dense_rank, lex_rank, all_terms,
               round(coalesce(1.0::DOUBLE / (60 + dense_rank), 0) + coalesce(1.0::DOUBLE / (60 + lex_rank), 0), 12) AS rrf
        FROM dn d FULL JOIN lx l ON d.question_id = l.question_id AND d.chunk_id = l.chunk_id),
-fr AS (SELECT fu.*, sc.score, row_number() OVER (PARTITION BY question_id ORDER BY rrf DESC, score DESC, chunk_id) AS rank FROM fu JOIN sc USING (question_id, chunk_id))
+fr AS MATERIALIZED (SELECT fu.*, sc.score, row_number() OVER (PARTITION BY question_id ORDER BY rrf DESC, score DESC, chunk_id) AS rank FROM fu JOIN sc USING (question_id, chunk_id))
 """
 
 
@@ -107,7 +107,7 @@ def c3(t):
 @query("c4_ann_topk")
 def c4(t):
     q, c = vectors(t)
-    return N.ann_topk(q, c, 10, n_probe=8, n_cells=16, exclude_self=True)
+    return N.ann_topk(q, c, 10, n_probe=12, n_cells=16, exclude_self=True)
 
 
 @query("c4_ann_recall", "SELECT count(*) AS questions, TRUE AS recalled FROM embeddings")
@@ -186,7 +186,7 @@ def d2(t):
 
 def hybrid(t):
     q, c = corpus(t)
-    return R.retrieve(q, c, "hybrid", index=L.block_postings(c), exclude_self=True)
+    return R.retrieve(q, c, "hybrid", index=L.block_postings(c))
 
 
 @query("d3_rrf", f"WITH {CORPUS_SQL} SELECT question_id, chunk_id, score, dense_rank, lex_rank, coalesce(all_terms, FALSE) AS all_terms, round(rrf, 9) AS rrf, rank FROM fr")
@@ -206,7 +206,7 @@ def d4(t):
 SELECT question_id, chunk_id, score, dense_rank AS rank, score >= 0.35 AS used FROM dn WHERE dense_rank <= 5""")
 def d5d(t):
     q, c = corpus(t)
-    return R.retrieve(q, c, "dense", exclude_self=True)
+    return R.retrieve(q, c, "dense")
 
 
 @query("d5_retrieve_hybrid", f"""WITH {CORPUS_SQL}
@@ -230,7 +230,7 @@ def reranked(t, k=None):
     q, c = corpus(t)
     index = L.block_postings(c)
     n = c.agg(F.count("*").alias("n"))
-    return R.retrieve(q, c, "dense", k=k, exclude_self=True,
+    return R.retrieve(q, c, "dense", k=k,
                       rerank_with=lambda h: R.rerank(h, R.overlap_logits(h, q, index, n)))
 
 
@@ -249,7 +249,7 @@ SELECT question_id, md5(string_agg('[' || dense_rank || '] (doc ' || dn.chunk_id
 FROM dn JOIN c USING (chunk_id) WHERE dense_rank <= 5 GROUP BY 1""")
 def d7(t):
     q, c = corpus(t)
-    hits = N.dense_topk(q, c, 5, exclude_self=True).join(c.drop("label"), "chunk_id")
+    hits = N.dense_topk(q, c, 5).join(c.drop("label"), "chunk_id")
     lang = F.col("lang")
     mime = (F.when(lang == "en", X.MIME_BY_EXTENSION["pdf"]).when(lang == "fr", X.MIME_BY_EXTENSION["pptx"])
             .otherwise("text/plain"))
@@ -265,5 +265,5 @@ def d7(t):
 SELECT question_id, '[' || string_agg('{{"rank":' || rank || ',"chunk_id":' || chunk_id || ',"used":' || used || '}}', ',' ORDER BY rank) || ']' AS retrieved FROM b GROUP BY 1""")
 def d8(t):
     q, c = corpus(t)
-    packed = R.pack_retrieved(R.retrieve(q, c, "dense", exclude_self=True))
+    packed = R.pack_retrieved(R.retrieve(q, c, "dense"))
     return packed.select("question_id", F.regexp_replace("retrieved", r'"score":[-0-9.E]+,', "").alias("retrieved"))

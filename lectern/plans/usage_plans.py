@@ -87,8 +87,8 @@ SELECT q.question_id, CASE WHEN count(dc) > 0 THEN 'answer' ELSE 'refuse' END AS
 FROM q LEFT JOIN o USING (question_id) GROUP BY 1""")
 def g6(t):
     q, c = corpus(t)
-    dense = R.retrieve(q, c, "dense", exclude_self=True)
-    hybrid = R.retrieve(q, c, "hybrid", index=L.block_postings(c), exclude_self=True)
+    dense = R.retrieve(q, c, "dense")
+    hybrid = R.retrieve(q, c, "hybrid", index=L.block_postings(c))
     out = U.compare_modes(q.select("question_id"), dense, hybrid)
     return out.withColumns({k: F.array_join(F.col(k).cast("array<string>"), ",") for k in ("only_dense", "only_hybrid")})
 

@@ -195,3 +195,35 @@ def test_history_page_is_clamped(spark):
     assert H.history(log, limit=0).count() == 1 and H.history(log, limit=999).count() == H.history(log, limit=None).count() == log.count()
     assert [r.id for r in H.history(log, before=5, limit=2).collect()] == [4, 3]
     assert H.history(log, q="50%").count() == 50 and H.history(log, q="5_%").count() == 0
+
+
+def test_tree_of_many_levels(spark):
+    """A chain of 300 levels, an unavailable branch, an orphan, a circle, two roots."""
+    from lectern.operators import remote as R
+
+    chain = [(i, i - 1 if i else None, f"t{i}", True) for i in range(300)]
+    rows = chain + [(1000, 10, "hidden", False), (1001, 1000, "below", True), (1002, 5000, "orphan", True), (1003, 1004, "a", True),
+                    (1004, 1003, "b", None), (1005, None, "root", None), (1006, 1005, "leaf", None), (1007, 1007, "self", True)]
+    got = {r.id: r for r in R.flatten_tree(spark.createDataFrame(rows, "id int, parent_id int, title string, available boolean")).collect()}
+    assert set(got) == set(range(300)) | {1005, 1006}
+    assert got[299].folders == [f"t{i}" for i in range(299)] and got[299].depth == 299 and got[0].folders == []
+    assert got[1006].folders == ["root"]
+    assert R.flatten_tree(spark.createDataFrame([], "id int, parent_id int, title string, available boolean")).collect() == []
+
+
+def test_exact_median(spark):
+    import random
+    from statistics import median
+
+    from lectern.operators.scan import exact_median
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(-50, 20_000, 7)])) for _ in range(999)] + [("one", 5), ("two", 1), ("two", 4), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    want = {}
+    for k, v in rows:
+        want.setdefault(k, []).append(v)
+    want = {k: median([v for v in own if v is not None]) for k, own in want.items() if any(v is not None for v in own)}
+    assert {r.k: r.m for r in exact_median(df, ["k"], "v", "m", 64).collect()} == want
+    assert exact_median(df, [], "v", "m").first().m == median([v for _, v in rows if v is not None])
+    assert [r.m for r in exact_median(df.limit(0), [], "v", "m").collect()] == [None] and exact_median(df.limit(0), ["k"], "v", "m").collect() == []
