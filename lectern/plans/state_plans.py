@@ -10,6 +10,7 @@ from ..operators import enrichment as E
 from ..operators import remote as S
 from ..operators import vocabulary as V
 from .registry import query
+from .text_plans import CHUNKS_SQL
 
 
 def inbox(t):
@@ -219,7 +220,12 @@ def doc_chunks(t):
     return K.chunk_pages(t.texts.select("doc_id", F.lit(1).alias("page"), "text"))
 
 
-@query("k1_token_groups")
+@query("k1_token_groups", f"""WITH RECURSIVE {CHUNKS_SQL},
+c AS (SELECT doc_id, ord, greatest(1, length(text) // 3) AS n FROM chunk),
+g(doc_id, ord, used, group_no) AS (SELECT doc_id, ord, n, 0 FROM c WHERE ord = 0
+  UNION ALL SELECT c.doc_id, c.ord, CASE WHEN used + n > 2500 THEN n ELSE used + n END, CASE WHEN used + n > 2500 THEN group_no + 1 ELSE group_no END
+  FROM g JOIN c ON c.doc_id = g.doc_id AND c.ord = g.ord + 1)
+SELECT doc_id, ord, group_no FROM g""")
 def k1(t):
     return K.token_groups(doc_chunks(t))
 

@@ -113,6 +113,35 @@ def b7(t):
                     F.md5("text").alias("text_md5"))
 
 
+#: Units of all texts in order: paragraphs of at most 500 tokens, else their sentences, else runs of words. ``win`` walks
+#: the words of over-long sentences one by one.
+UNITS_SQL = rf"""
+p AS (SELECT doc_id, i, {TRIM.format("x")} AS para FROM (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS x,
+    generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i FROM documents)),
+q AS (SELECT *, greatest(1, length(para) // 3) AS n FROM p WHERE para <> ''),
+l AS (SELECT doc_id, i, string_split(regexp_replace(para, '([.!?؟۔؛])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM q WHERE n > 500),
+s AS (SELECT *, greatest(1, length(unit) // 3) AS n FROM (SELECT doc_id, i, 0 AS j, para AS unit FROM q WHERE n <= 500
+    UNION ALL SELECT doc_id, i, j, {TRIM.format("x")} FROM (SELECT doc_id, i, unnest(parts) AS x, generate_subscripts(parts, 1) AS j FROM l)) WHERE unit <> ''),
+long AS (SELECT doc_id, i, j, list_filter(regexp_split_to_array(unit, '\s+'), lambda w: w <> '') AS ws FROM s WHERE n > 500),
+win(doc_id, i, j, k, used, no) AS (SELECT doc_id, i, j, 1, greatest(1, length(ws[1]) // 3), 0 FROM long
+  UNION ALL SELECT doc_id, i, j, k + 1, CASE WHEN used + c > 500 THEN c ELSE used + c END, CASE WHEN used + c > 500 THEN no + 1 ELSE no END
+  FROM (SELECT win.*, greatest(1, length(ws[k + 1]) // 3) AS c FROM win JOIN long USING (doc_id, i, j) WHERE k < len(ws))),
+runs AS (SELECT doc_id, i, j, no, string_agg(ws[k], ' ' ORDER BY k) AS unit FROM win JOIN long USING (doc_id, i, j) GROUP BY ALL),
+u AS (SELECT *, greatest(1, length(unit) // 3) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i, j, no) AS ord
+  FROM (SELECT doc_id, i, j, 0 AS no, unit FROM s WHERE n <= 500 UNION ALL SELECT doc_id, i, j, no, unit FROM runs))"""
+#: Chunks of at most 500 tokens with up to 80 tokens of overlap: a walk over each document's units, which remembers where
+#: the current chunk began.
+CHUNKS_SQL = rf"""{UNITS_SQL},
+d AS (SELECT doc_id, list(n ORDER BY ord) AS ns, list(unit ORDER BY ord) AS us, list(upto ORDER BY ord) AS pre
+  FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY ord) - n AS upto FROM u) GROUP BY doc_id),
+walk(doc_id, i, first, used, no) AS (SELECT doc_id, 1, 1, ns[1], 0 FROM d
+  UNION ALL SELECT doc_id, i + 1, CASE WHEN used + n > 500 THEN f ELSE first END,
+    CASE WHEN used + n > 500 THEN pre[i + 1] - pre[f] + n ELSE used + n END, CASE WHEN used + n > 500 THEN no + 1 ELSE no END
+  FROM (SELECT walk.*, ns[i + 1] AS n, pre, CASE WHEN used + ns[i + 1] > 500 THEN coalesce(list_min(list_filter(range(first, i + 2),
+      lambda k: pre[i + 1] - pre[k] <= least(80, 500 - ns[i + 1]))), i + 1) END AS f FROM walk JOIN d USING (doc_id) WHERE i < len(ns))),
+chunk AS (SELECT doc_id, no AS ord, array_to_string(us[min(first):max(i)], chr(10)) AS text FROM walk JOIN d USING (doc_id) GROUP BY doc_id, no, us)"""
+
+
 @query("b8_units", f"""
 WITH p AS (SELECT doc_id, {TRIM.format("unnest(string_split(text, chr(10) || chr(10)))")} AS para FROM documents),
      q AS (SELECT doc_id, para, greatest(1, length(para) // 3) AS n FROM p WHERE para <> ''),
@@ -136,9 +165,10 @@ def b8(t):
     return g.join(whole, ["doc_id", "unit_md5"], "left_semi")
 
 
-@query("b8_all_units")
+@query("b8_all_units", f"""WITH RECURSIVE {UNITS_SQL}
+SELECT doc_id, md5(unit) AS unit_md5, CAST(count(*) AS BIGINT) AS times, CAST(max(n) AS BIGINT) AS n_tokens FROM u GROUP BY 1, 2""")
 def b8_all(t):
-    """All units, the windows of over-long sentences included; b8_units holds those that its SQL can express."""
+    """All units, the windows of over-long sentences included."""
     u = C.units(t.texts.select("doc_id", "text"), 500, keys=("doc_id",))
     return u.groupBy("doc_id", F.md5("text").alias("unit_md5")).agg(
         F.count("*").alias("times"), F.max("n_tokens").cast("bigint").alias("n_tokens"))
@@ -158,7 +188,8 @@ def b8w(t):
                     (F.col("m") <= 40).alias("within_budget"))
 
 
-@query("b9_chunk_pages")
+@query("b9_chunk_pages", f"""WITH RECURSIVE {CHUNKS_SQL}
+SELECT doc_id, 1 AS page, ord, md5(text) AS text_md5, CAST(greatest(1, length(text) // 3) AS INTEGER) AS n_tokens FROM chunk""")
 def b9(t):
     return (C.chunk_pages(t.texts.select("doc_id", F.lit(1).alias("page"), "text"))
             .select("doc_id", "page", "ord", F.md5("text").alias("text_md5"), "n_tokens"))
