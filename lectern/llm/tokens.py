@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -17,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .common import texts_of
+from .common import Learnt, texts_of, worker_held
 
-#: Rows of the broadcast table of frequent units, and units a task or worker holds besides.
+#: Rows of the broadcast table of frequent units, and distinct units a task counts at once.
 FREQUENT, HELD = 65_536, 200_000
 _LOOSE = re.compile(r" (?!\S)")
 _SPLIT = re.compile(r" (?=\S)")
@@ -58,41 +59,27 @@ def units(text: str) -> list[str]:
     return _SPLIT.split(text) if _LOOSE.search(text) else text.split(" ")
 
 
-class Lengths(dict):
-    """Tokens per unit: starts with the broadcast table, learns what it misses, starts again when full."""
+class Lengths(Learnt):
+    """Tokens per unit: knows the broadcast table, learns what it misses."""
 
     def __init__(self, path: str, table: list):
         names, lengths = table
         self.table = dict(zip(names.split(" "), np.frombuffer(lengths, np.uint32).tolist())) if lengths else {}
         self.tokenizer = tokenizer(path)
         self.model = self.tokenizer.model
-        self.tails: dict[str, int] = {}
-        super().__init__(self.table)
+        self.signs = Learnt(lambda tail: len(self.tokenizer.encode(tail, add_special_tokens=False).ids), 4 << 20)
+        super().__init__(self.count)
 
-    def __missing__(self, unit: str) -> int:
+    def count(self, unit: str) -> int:
+        n = self.table.get(unit)
+        if n is not None:
+            return n
         m = _TAILED.fullmatch(unit)
         if m and m[1].isalpha():  # a word and the signs behind it are pre-tokens of their own
-            n = self[m[1]] + self.signs(m[2])
-        elif _PLAIN.fullmatch(unit):
-            n = len(word_tokens(self.model, " " + unit))
-        else:
-            n = len(self.tokenizer.encode(" " + unit, add_special_tokens=False).ids)
-        if len(unit) <= 100:
-            if len(self) >= FREQUENT + HELD:
-                self.clear()
-                self.update(self.table)
-            self[unit] = n
-        return n
-
-    def signs(self, tail: str) -> int:
-        if tail not in self.tails:
-            if len(self.tails) >= FREQUENT:
-                self.tails.clear()
-            self.tails[tail] = len(self.tokenizer.encode(tail, add_special_tokens=False).ids)
-        return self.tails[tail]
-
-
-_lengths: dict[str, Lengths] = {}
+            return self[m[1]] + self.signs[m[2]]
+        if _PLAIN.fullmatch(unit):
+            return len(word_tokens(self.model, " " + unit))
+        return len(self.tokenizer.encode(" " + unit, add_special_tokens=False).ids)
 
 
 def frequent_units(docs: DataFrame) -> DataFrame:
@@ -144,11 +131,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     shared = broadcast_lengths(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        version, *table = shared.value  # the cache outlives a task, not the table
-        if version not in _lengths:
-            _lengths.clear()
-            _lengths[version] = Lengths(path, table)
-        lengths = _lengths[version]
+        version, *table = shared.value  # what is learnt outlives a task, not the table
+        lengths = worker_held(f"lengths {version}", lambda: Lengths(path, table))
         first = lengths.tokenizer
         for batch in batches:
             texts = texts_of(batch.column(1))
@@ -165,37 +149,28 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
         run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
-class Ids(dict):
-    """Token ids per white-space unit as little-endian 32-bit bytes, learnt as they come, started again when full."""
+class Ids(Learnt):
+    """Token ids per white-space unit as little-endian 32-bit bytes, learnt as they come."""
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
         self.model = self.tokenizer.model
-        super().__init__({"": b""})
+        super().__init__(self.encode, 112 << 20)
 
-    def __missing__(self, unit: str) -> bytes:
+    def encode(self, unit: str) -> bytes:
+        if not unit:
+            return b""
         m = _TAILED.fullmatch(unit)
         if m and m[1].isalpha():  # a word and the signs behind it are pre-tokens of their own
-            ids = self[m[1]] + self[m[2]]
-        elif _PLAIN.fullmatch(unit):  # the tokenizer lower-cases too
+            return self[m[1]] + self[m[2]]
+        if _PLAIN.fullmatch(unit):  # the tokenizer lower-cases too
             low = unit.lower()
-            ids = self[low] if low != unit else np.array([t.id for t in word_tokens(self.model, unit)], "<u4").tobytes()
-        else:
-            ids = np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(unit) <= 100:
-            if len(self) >= HELD:
-                self.clear()
-                self[""] = b""
-            self[unit] = ids
-        return ids
-
-
-_ids: dict[str, Ids] = {}
+            return self[low] if low != unit else array("I", [t.id for t in word_tokens(self.model, unit)]).tobytes()
+        return array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
 
 
 def text_ids(path: str, text: str) -> bytes:
     """Ids of a whole text as little-endian 32-bit bytes, for a tokenizer that drops white space: its units are
     the pieces between spaces and line ends."""
-    if path not in _ids:
-        _ids[path] = Ids(path)
-    return b"".join(map(_ids[path].__getitem__, chain.from_iterable(line.split(" ") for line in text.split("\n"))))
+    ids = worker_held(f"ids {path}", lambda: Ids(path))
+    return b"".join(map(ids.__getitem__, chain.from_iterable(line.split(" ") for line in text.split("\n"))))
