@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import Learnt, texts_of
 
 #: What a sign may stand for, in the order 0 to 9, then symbols.
 LOOKS_LIKE = {
@@ -32,10 +32,11 @@ OTHER = len(LETTERS) + 1
 SIZE = OTHER + 1
 _TABLE = np.array([CODE.get(chr(i), OTHER if chr(i).isalpha() else 0) for i in range(0x250)] + [OTHER], np.int64)
 _STEP = 1 << 20
-HELD = 200_000
+#: Different signs whose readings are held.
+SIGNS = 20_000
 
 _CLEAN = re.compile(r"[^\W\d_]+")
-_DOUBLE = re.compile(r"(.)\1")
+_DOUBLE, _AGAIN = re.compile(r"(.)\1"), re.compile(r"(.)\1+")
 _PRICE = re.compile(r"[$£€¥+|(<{]?[\W\d]?[\d.,:]+[%$£€¥+|]?")
 _HEAD, _TAIL = re.compile(r"^[^\w@$|+(<{£€¥!]+|^([^\w])\1{2,}"), re.compile(r"[^\w@$|+]+$|([^\w])\1{2,}[^\w]*$")
 _RUN = re.compile(r"(?<!\S)\S(?:\s++\S(?!\S)){2,}")
@@ -83,6 +84,16 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
+class _Codes(dict):
+    """Codes of characters, :data:`OTHER` for those without one."""
+
+    def __missing__(self, c: str) -> int:
+        return OTHER
+
+
+_CODE_OF = _Codes(CODE).__getitem__
+
+
 class Restorer:
     """Restores units (what stands between white space) with a language model."""
 
@@ -94,7 +105,7 @@ class Restorer:
     def _sign(self, c: str) -> tuple:
         """Of a sign: what it may stand for, whether it may be left out where it is new, and the cost then and if repeated."""
         if c not in self.signs:
-            if len(self.signs) >= HELD:
+            if len(self.signs) >= SIGNS:
                 self.signs.clear()
             letter = c.isalpha()
             options = [(c, 0.0)] if letter else [(x, SWAPPED) for x in LOOKS_LIKE.get(c, "")]
@@ -111,13 +122,36 @@ class Restorer:
         """
         word = _TAIL.sub("", _HEAD.sub("", unit.lower()))
         if _CLEAN.fullmatch(word):
-            return self.viterbi(word) if _DOUBLE.search(word) else word
+            return self.collapsed(word) if _DOUBLE.search(word) else word
         if not any(map(str.isalpha, word)):
             alike = [c for c in word if c in LOOKS_LIKE]
             if len(alike) < 3 or len(set(alike)) < 2 or all(map(str.isdigit, alike)) or _PRICE.fullmatch(word):
                 return word
         return self.viterbi(word)
 
+    def collapsed(self, word: str) -> str:
+        """What :meth:`viterbi` reads from letters alone: its lattice only leaves out repeated letters, so a word with few
+        of them has few readings, which are scored one by one."""
+        runs = [(m.start(), m.end()) for m in _AGAIN.finditer(word)]
+        if sum(b - a - 1 for a, b in runs) > 3:
+            return self.viterbi(word)
+        readings = [(0.0, "")]
+        at = 0
+        for a, b in runs:
+            readings = [(cost + n * REPEATED, text + word[at:b - n]) for cost, text in readings for n in range(b - a)]
+            at = b
+        flat, best, found = self.flat, -1e300, word
+        for total, text in readings:
+            text += word[at:]
+            x = y = 0
+            for z in map(_CODE_OF, text):
+                total += flat[(x * SIZE + y) * SIZE + z]
+                x, y = y, z
+            total += flat[(x * SIZE + y) * SIZE]
+            if total > best:
+                best, found = total, text
+        return found
+
     def viterbi(self, seen: str) -> str:
         """The likeliest letters behind ``seen``. A state is the last two letters; steps are those of the lattice.
 
@@ -192,20 +226,16 @@ class Restorer:
         return bool(INSERTED + log[a, b, c] + log[b, c, d] > log[a, b, 0] + log[0, 0, c] + log[0, c, d])
 
 
-class Runs(dict):
-    """The words that a run of short units stands for, where they differ from its units; started again when full."""
+class Runs(Learnt):
+    """The words that a run of short units stands for, where they differ from its units."""
 
     def __init__(self, restorer: Restorer):
-        super().__init__()
-        self.restorer, self.joined = restorer, {}
+        super().__init__(self.differing, 24 << 20)
+        self.restorer = restorer
+        self.joined = Learnt(lambda key: restorer.joins(*key), 8 << 20)
 
     def _joins(self, before: str, after: str) -> bool:
-        key = before[-2:] + after[:2]
-        if key not in self.joined:
-            if len(self.joined) >= HELD:
-                self.joined.clear()
-            self.joined[key] = self.restorer.joins(before, after)
-        return self.joined[key]
+        return self.joined[before[-2:], after[:2]]
 
     def _words(self, run: str) -> list[str]:
         units = run.lower().split()
@@ -225,14 +255,9 @@ class Runs(dict):
         return more + self.restorer.viterbi(units[0] + "".join(
             ("\t" if g > wide else " ") + u for g, u in zip(gaps, units[1:]))).split(" ")
 
-    def __missing__(self, run: str) -> list[str]:
+    def differing(self, run: str) -> list[str]:
         units = set(run.lower().split())
-        words = [w for w in self._words(run) if len(w) > 2 and w not in units]
-        if len(self) >= HELD:
-            self.clear()
-        if len(run) <= 100:
-            self[run] = words
-        return words
+        return [w for w in self._words(run) if len(w) > 2 and w not in units]
 
 
 def spaced_words(text: str) -> list[str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -12,12 +13,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, texts_of
-from .deobfuscation import HELD, Restorer, Runs, language_model, restored_words
+from .common import Learnt, mix64, texts_of, worker_held
+from .deobfuscation import Restorer, Runs, language_model, restored_words
 from .shingles import shingle_sets
 
 #: Labelled rows that the lexicon is fitted on, at most (a documented bound; all other counts are over all rows).
 FIT_ROWS = 30_000
+#: Different features that a task counts at once.
+SEEN = 150_000
 #: Cautious precision: this many clean documents are added to those that hold a feature.
 DOUBT = 6
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -42,36 +45,27 @@ class Model:
     base: float
 
 
-class _Restored(dict):
-    def __init__(self, restorer: Restorer):
-        super().__init__()
-        self.restorer = restorer
+class _Restored(Learnt):
+    """Restored words by unit, and the runs of short units."""
 
-    def __missing__(self, unit: str) -> str:
-        word = self.restorer.unit(unit)
-        if len(self) >= HELD:
-            self.clear()
-        if len(unit) <= 100:
-            self[unit] = word
-        return word
+    def __init__(self, letters: np.ndarray):
+        self.restorer = Restorer(letters)
+        self.runs = Runs(self.restorer)
+        super().__init__(self.restorer.unit)
 
 
-class _Hits(dict):
-    """The strongest lexicon feature of each unit, restored first; learnt as units come, started again when full."""
+class _Hits(Learnt):
+    """The strongest lexicon feature of each unit, restored first."""
 
     def __init__(self, model: Model):
-        super().__init__()
         self.restorer, self.lexicon = Restorer(model.letters), model.lexicon
         self.runs = Runs(self.restorer)
+        super().__init__(self.strongest)
 
-    def __missing__(self, unit: str) -> str:
-        found = max(features(self.restorer.unit(unit)), key=lambda f: self.lexicon.get(f, 0.0))
-        found = found if found in self.lexicon else ""
-        if len(self) >= HELD:
-            self.clear()
-        if len(unit) <= 100:
-            self[unit] = found
-        return found
+    def strongest(self, unit: str) -> str:
+        word, known = self.restorer.unit(unit), self.lexicon
+        found = [f for f in features(word) if f in known]
+        return max(found, key=known.__getitem__) if found else ""
 
 
 def _training(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
@@ -92,22 +86,26 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """
     spark = docs.sparkSession
     letters = language_model(docs)
-    shared = spark.sparkContext.broadcast(letters)
+    shared, version = spark.sparkContext.broadcast(letters), uuid.uuid4().hex
     sample = _training(docs, labels, rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restored, seen = _Restored(Restorer(shared.value)), defaultdict(lambda: [0, 0])
-        runs = Runs(restored.restorer)
-        n = [0, 0]
+        restored, seen = worker_held(f"restored {version}", lambda: _Restored(shared.value)), {}
+
+        def counts() -> pa.RecordBatch:
+            keys = list(seen)
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([seen[k][1] for k in keys], pa.int64()),
+                                               pa.array([seen[k][0] for k in keys], pa.int64())], ["feature", "toxic", "clean"])
+
         for batch in batches:
             for text, toxic in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
-                n[toxic] += 1
-                for f in {f for w in set(restored_words(text, restored.__getitem__, runs)) for f in features(w)}:
-                    seen[f][toxic] += 1
-        seen[""] = n  # of the documents themselves
-        keys = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([seen[k][1] for k in keys], pa.int64()),
-                                          pa.array([seen[k][0] for k in keys], pa.int64())], ["feature", "toxic", "clean"])
+                found = {f for w in set(restored_words(text, restored.__getitem__, restored.runs)) for f in features(w)}
+                for f in [*found, ""]:  # the empty one counts the documents themselves
+                    seen.setdefault(f, [0, 0])[toxic] += 1
+            if len(seen) > SEEN:
+                yield counts()
+                seen.clear()
+        yield counts()
 
     counts = sample.mapInArrow(count, "feature string, toxic long, clean long").groupBy("feature").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -117,10 +115,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     wanted = spark.sparkContext.broadcast(set(clean))
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restored = _Restored(Restorer(shared.value))
-        runs = Runs(restored.restorer)
+        restored = worker_held(f"restored {version}", lambda: _Restored(shared.value))
         for batch in batches:
-            found = [sorted({f for w in set(restored_words(t, restored.__getitem__, runs)) for f in features(w)} & wanted.value)
+            found = [sorted({f for w in set(restored_words(t, restored.__getitem__, restored.runs)) for f in features(w)} & wanted.value)
                      for t in texts_of(batch.column(0))]
             least = [_least_shingles(s) for sets in shingle_sets(batch.column(0)) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())),
@@ -177,11 +174,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     The score is a noisy-or over the weights of the different lexicon features among the words, or the share of toxic
     documents among those that hold none. Null texts are empty and get that share; only the text is an input.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, version = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        hits = _Hits(model)
+        hits = worker_held(f"hits {version}", lambda: _Hits(model))
         for batch in batches:
             scores = np.array([_score(t, hits, model) for t in texts_of(batch.column(2))], float)
             yield pa.RecordBatch.from_arrays(
@@ -194,10 +191,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def restore(docs: DataFrame, letters: np.ndarray) -> DataFrame:
     """``doc_id`` and the text's words as restored, in order, one space between them."""
-    shared = docs.sparkSession.sparkContext.broadcast(letters)
+    shared, version = docs.sparkSession.sparkContext.broadcast(letters), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restored = _Restored(Restorer(shared.value))
+        restored = worker_held(f"restored {version}", lambda: _Restored(shared.value))
         for batch in batches:
             words = [" ".join(map(restored.__getitem__, t.split())) for t in texts_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.string())], ["doc_id", "restored"])
@@ -207,12 +204,14 @@ def restore(docs: DataFrame, letters: np.ndarray) -> DataFrame:
 
 def clean(docs: DataFrame, model: Model, most: float = 0.5) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose score is below ``most``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, version = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits, model = _Hits(shared.value), shared.value
+        model = shared.value
+        hits = worker_held(f"hits {version}", lambda: _Hits(model))
         for batch in batches:
             yield batch.filter(pa.array([_score(t, hits, model) < most for t in texts_of(batch.column(at))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names may hold dots or equal each other's case
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
