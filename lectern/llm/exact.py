@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .common import LOWER, bytes_of, random64, slices
+from .common import LOWER, bytes_of, random64, slices, whole_row
 
 #: Chunks have 512 to 16,384 bytes, 2,048 more than the least on average; only a text's last one may be shorter.
 LEAST, MOST, BITS = 512, 16384, 11
@@ -120,9 +120,10 @@ def exact_groups(docs: DataFrame, widths: tuple[int, ...] = (8, 16, 32, 64)) ->
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``exact_groups`` keeps, with all their columns, each once."""
-    groups = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    """The rows of ``docs`` that ``exact_groups`` keeps, with all their columns, each once. Columns of any name pass
+    through: a row travels as one struct."""
+    groups = exact_groups(docs).filter("kept").select("doc_id", F.col("text_sha256").alias("sha"))
     text = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rows = docs.withColumn("_sha", F.sha2(text, 256))
-    kept = rows.join(groups, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
+    rows = docs.select(whole_row(docs), F.col("doc_id").alias("id"), F.sha2(text, 256).alias("sha"))
+    kept = rows.alias("r").join(groups.alias("g"), F.col("r.id").eqNullSafe(F.col("g.doc_id")) & (F.col("r.sha") == F.col("g.sha")), "left_semi")
+    return kept.dropDuplicates(["id", "sha"]).select("row.*")

@@ -9,10 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import ensure_checkpoint_dir
-from .common import groups
+from .common import groups, whole_row
 from .components import components
 from .shingles import SLOTS, bands, shingle_sets, sketch, super_minhash
 
@@ -209,8 +208,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"),
         F.first("sketch").alias("sketch"))
-    shared = (nodes.select("node", F.explode("bands").alias("band"))
-              .withColumn("_n", F.count("*").over(Window.partitionBy("band"))).filter("_n > 1").select("node", "band"))
+    banded = nodes.select("node", F.explode("bands").alias("band"))
+    # two keys make Spark exchange both sides, so that it can split the rows of a very large bucket
+    counts = banded.groupBy("band").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("band").alias("_band"), F.xxhash64("band").alias("_hash"))
+    shared = banded.join(counts, (F.col("band") == F.col("_band")) & (F.xxhash64("band") == F.col("_hash"))).select("node", "band")
     members = shared.join(nodes.select("node", "n_shingles", "sketch"), "node").select("band", "node", "n_shingles", "sketch")
     blobs = components(candidate_edges(members.checkpoint())).withColumnRenamed("label", "blob")
     wanted = blobs.join(nodes, "node").select("node", "blob", "least", "sketch").checkpoint()
@@ -236,9 +237,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = links.unionByName(more).checkpoint()
         labels = components(links)
     named = nodes.select("node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    ids = named.groupBy("label").agg(F.min("least").alias("component_id")).select(
+        F.col("label").alias("_label"), F.xxhash64("label").alias("_label_hash"), "component_id")
     # two keys make Spark exchange both sides, so that it can split the rows of a very large group
-    found = (named.join(ids, "label").select(F.col("node").alias("_node"), F.xxhash64("node").alias("_hash"), "component_id"))
+    found = named.join(ids, (F.col("label") == F.col("_label")) & (F.xxhash64("label") == F.col("_label_hash"))).select(
+        F.col("node").alias("_node"), F.xxhash64("node").alias("_hash"), "component_id")
     out = (rows.select("doc_id", "n_shingles", "node")
            .join(found, (F.col("node") == F.col("_node")) & (F.xxhash64("node") == F.col("_hash")), "left"))
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
@@ -247,6 +250,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, of the one document that ``near_duplicates`` keeps of each group."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of ``docs``, with all their columns, of the one document that ``near_duplicates`` keeps of each group.
+    Columns of any name pass through: a row travels as one struct."""
+    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.select(whole_row(docs), F.col("doc_id").alias("id")).join(kept, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")

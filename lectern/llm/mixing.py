@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..operators.scan import global_rank
 from ..session import ensure_checkpoint_dir
+from .common import whole_row
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -81,26 +82,35 @@ def plan(rows: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int =
     return (filled.join(cuts, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source").checkpoint())
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3, seed: int = 17) -> DataFrame:
-    """``docs`` with ``_size``, ``_source_size``, ``_target`` and ``_repeats`` (0 to ``max_epochs``) put behind its columns.
+#: Columns that a mix adds.
+ADDED = ("_size", "_source_size", "_target", "_repeats")
 
-    Null texts have size 0; a null source is a source of its own; rows repeated under one ``doc_id`` are drawn
-    together; an empty table gives an empty table. Texts aren't shuffled: the one-row-per-source plan is joined, and
-    Spark broadcasts it where its measured size permits.
-    """
+
+def _mixed(docs: DataFrame, weights: Sequence[int], max_epochs: int, seed: int) -> DataFrame:
+    """Each row of ``docs`` as one struct ``row``, with the columns of ``ADDED``."""
     ensure_checkpoint_dir(docs.sparkSession)
     key = sample_key(F.col("doc_id"), seed)
     rows = docs.select("source", n_words(F.col("text")).alias("size"), key.alias("key")).checkpoint()
     planned = plan(rows, weights, max_epochs).select(
-        F.col("source").alias("_plan_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"),
-        F.col("whole").alias("_whole"), F.col("cut").alias("_cut"))
-    extra = F.coalesce(key <= F.col("_cut"), F.lit(False)).cast("bigint")
-    return (docs.withColumn("_size", n_words(F.col("text")))
-            .join(planned, F.col("source").eqNullSafe(F.col("_plan_source")))
-            .withColumn("_repeats", F.col("_whole") + extra).drop("_plan_source", "_whole", "_cut"))
-
-
-def repeated(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as it was drawn."""
-    mixed = mix(docs, **options).filter("_repeats > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select(*docs.columns)
+        F.col("source").alias("_plan_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "whole", "cut")
+    extra = F.coalesce(F.col("_key") <= F.col("cut"), F.lit(False)).cast("bigint")
+    own = docs.select(whole_row(docs), F.col("source").alias("_own"), key.alias("_key"), n_words(F.col("text")).alias("_size"))
+    return own.join(planned, F.col("_own").eqNullSafe(F.col("_plan_source"))).withColumn("_repeats", F.col("whole") + extra).select("row", *ADDED)
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3, seed: int = 17) -> DataFrame:
+    """``docs`` with ``_size``, ``_source_size``, ``_target`` and ``_repeats`` (0 to ``max_epochs``) put behind its columns.
+
+    Null texts have size 0; a null source is a source of its own; rows repeated under one ``doc_id`` are drawn
+    together; an empty table gives an empty table. Columns of ``docs`` that have the name of an added one give way to it;
+    all others pass through. Texts aren't shuffled: the one-row-per-source plan is joined, and Spark broadcasts it where
+    its measured size permits.
+    """
+    return _mixed(docs, weights, max_epochs, seed).select(
+        *(F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ADDED), *ADDED)
+
+
+def repeated(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: int = 3, seed: int = 17) -> DataFrame:
+    """The mix itself: the rows of ``docs`` with their own columns, of whatever names, each as often as it was drawn."""
+    drawn = _mixed(docs, weights, max_epochs, seed).filter("_repeats > 0")
+    return drawn.select("row", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select("row.*")

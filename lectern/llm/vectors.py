@@ -181,8 +181,10 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFram
     counts = found.filter("b IS NULL").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))
     labels = components(found.filter("b IS NOT NULL")).withColumnRenamed("node", "key").withColumnRenamed("label", "root")
     named = items.select("key", "weight", "least").join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    per_item = named.join(ids, "root").join(counts, "key", "left").select(
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id")).select(
+        F.col("root").alias("_root"), F.xxhash64("root").alias("_root_hash"), "component_id")
+    of_root = (F.col("root") == F.col("_root")) & (F.xxhash64("root") == F.col("_root_hash"))
+    per_item = named.join(ids, of_root).join(counts, "key", "left").select(
         F.col("key").alias("_key"), F.xxhash64("key").alias("_hash"), "component_id",
         (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     # two keys make Spark exchange both sides, so that it can split the rows of a very large group
