@@ -120,7 +120,7 @@ def compare_summary(compared: DataFrame) -> DataFrame:
 def recent_latency(log: DataFrame, n: int = 20) -> DataFrame:
     """Count, median, maximum and time of the last ``n`` answered questions."""
     last = log.filter(F.col("latency_ms").isNotNull()).orderBy(F.desc("id")).limit(n)
-    return last.agg(F.count("*").alias("count"), _median("latency_ms").alias("median_ms"),
+    return last.agg(F.count("*").alias("count"), F.percentile("latency_ms", 0.5).cast("bigint").alias("median_ms"),
                     F.max("latency_ms").alias("max_ms"), F.max_by("ts", "id").alias("last_at"))
 
 
