@@ -29,6 +29,8 @@ SIDE, DENSE = 9, 1 << 14
 RUN, PAIRS, HELD = 2 << 20, 1 << 20, 300_000
 #: Bits of the filter that tells which unranked phrases can be candidates, and how many of them a phrase sets.
 BITS, SET = 1 << 25, 2
+#: Equal parts in which tasks' filters are joined.
+SEGMENTS = 64
 _NONE, _BREAK = -1, -2
 #: Bits of one id inside a pair of ids.
 _PAIR = 22
@@ -103,15 +105,22 @@ class Level:
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of a task as the 32-bit words of the filter that they touch."""
+    """The filter of one task's hashes, as its segments that have any bit set."""
     held = np.zeros(BITS >> 5, np.uint32)
     for batch in batches:
         hashes = batch.column(0).to_numpy().view(np.uint64)
         for k in range(SET):
             at = (hashes >> np.uint64(25 * k) & np.uint64(BITS - 1)).astype(np.int64)
             np.bitwise_or.at(held, at >> 5, np.uint32(1) << (at & 31).astype(np.uint32))
-    found = np.flatnonzero(held)
-    yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(held[found].astype(np.int64))], ["word", "bits"])
+    parts = held.reshape(SEGMENTS, -1)
+    found = np.flatnonzero(parts.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array([parts[k].tobytes() for k in found], pa.binary())], ["segment", "bits"])
+
+
+def _joined_bits(table: pa.Table) -> pa.Table:
+    """One segment of all tasks' filters."""
+    bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint32) for x in table.column("bits").to_pylist()])
+    return pa.table({"segment": table.column("segment").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
 
 
 class Shared:
@@ -135,13 +144,15 @@ class Shared:
         top = level.filter(ranked).select("lang", "phrase", "n").toArrow().sort_by(
             [("n", "descending"), ("lang", "ascending"), ("phrase", "ascending")])
         names = list(zip(top.column("lang").to_pylist(), (x.encode() for x in top.column("phrase").to_pylist())))
-        found = (level.filter(~ranked).select(hashed.alias("h")).mapInArrow(_bits, "word int, bits long")
-                 .groupBy("word").agg(F.bit_or("bits").alias("bits"))).toArrow()  # at most BITS / 32 rows
+        segment = "segment int, bits binary"
+        found = (level.filter(~ranked).select(hashed.alias("h")).mapInArrow(_bits, segment)
+                 .groupBy("segment").applyInArrow(_joined_bits, segment)).toArrow()  # BITS in all
         bits = None
         if found.num_rows:
-            bits = np.zeros(BITS >> 5, "<u4")
-            bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-            bits = bits.view(np.uint8)
+            bits = np.zeros((SEGMENTS, (BITS >> 5) // SEGMENTS), "<u4")
+            for k, part in zip(found.column("segment").to_pylist(), found.column("bits").to_pylist()):
+                bits[k] = np.frombuffer(part, "<u4")
+            bits = bits.reshape(-1).view(np.uint8)
         self.tail = level.filter(~ranked).select("lang", "phrase", "n")
         self.broadcast = level.sparkSession.sparkContext.broadcast((names, top.column("n").to_numpy(), bits))
 
