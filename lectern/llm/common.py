@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 from collections.abc import Callable, Iterator
 
@@ -109,7 +112,7 @@ class Learnt(dict):
     frequent stays. Keys beyond 200 bytes are not kept.
     """
 
-    def __init__(self, learn: Callable, most: int = 48 << 20):
+    def __init__(self, learn: Callable, most: int = 32 << 20):
         self.learn, self.most, self.used, self.old = learn, most, 0, {}
         super().__init__()
 
@@ -132,8 +135,14 @@ _worker: dict[str, object] = {}
 
 
 def worker_held(name: str, make: Callable):
-    """What a worker process keeps between the tasks of one operator; another operator's takes its place."""
+    """What a worker process keeps between the tasks of one operator; another operator's takes its place, and the memory
+    that the former one had goes back to the system, since workers outlive stages."""
     if name not in _worker:
-        _worker.clear()
+        if _worker:
+            _worker.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only the C library of Linux has it
+                ctypes.CDLL(None).malloc_trim(0)
         _worker[name] = make()
     return _worker[name]

@@ -230,9 +230,9 @@ class Runs(Learnt):
     """The words that a run of short units stands for, where they differ from its units."""
 
     def __init__(self, restorer: Restorer):
-        super().__init__(self.differing, 24 << 20)
+        super().__init__(self.differing, 12 << 20)
         self.restorer = restorer
-        self.joined = Learnt(lambda key: restorer.joins(*key), 8 << 20)
+        self.joined = Learnt(lambda key: restorer.joins(*key), 6 << 20)
 
     def _joins(self, before: str, after: str) -> bool:
         return self.joined[before[-2:], after[:2]]

@@ -68,7 +68,7 @@ class Lengths(Learnt):
         self.tokenizer = tokenizer(path)
         self.model = self.tokenizer.model
         self.signs = Learnt(lambda tail: len(self.tokenizer.encode(tail, add_special_tokens=False).ids), 4 << 20)
-        super().__init__(self.count)
+        super().__init__(self.count, 48 << 20)
 
     def count(self, unit: str) -> int:
         n = self.table.get(unit)
@@ -155,7 +155,7 @@ class Ids(Learnt):
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
         self.model = self.tokenizer.model
-        super().__init__(self.encode, 112 << 20)
+        super().__init__(self.encode, 80 << 20)
 
     def encode(self, unit: str) -> bytes:
         if not unit:

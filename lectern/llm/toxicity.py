@@ -20,7 +20,7 @@ from .shingles import shingle_sets
 #: Labelled rows that the lexicon is fitted on, at most (a documented bound; all other counts are over all rows).
 FIT_ROWS = 30_000
 #: Different features that a task counts at once.
-SEEN = 150_000
+SEEN = 100_000
 #: Cautious precision: this many clean documents are added to those that hold a feature.
 DOUBT = 6
 PREFIXES = (3, 4, 5, 6, 7, 8)
