@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .common import groups, whole_row
+from .common import groups, whole_row, worker_held
 from .components import components
 from .shingles import SLOTS, bands, shingle_sets, sketch, super_minhash
 
@@ -32,6 +32,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """Per row: number of distinct shingles, a key of the set (``node``; null without words), band hashes, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_held("minhash", dict)  # nothing is kept here, so what a former operator kept can go
         for batch in batches:
             at = 0
             for sets in shingle_sets(batch.column(1)):
@@ -55,6 +56,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
     """``node`` and its whole sorted shingle set, for the rows that have words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_held("minhash", dict)  # nothing is kept here, so what a former operator kept can go
         for batch in batches:
             for sets in shingle_sets(batch.column(0)):
                 sets = [s for s in sets if len(s)]
@@ -107,6 +109,7 @@ def candidate_edges(members: DataFrame) -> DataFrame:
              .select("band", "_pair.i", "_pair.j", "_own", "node", "n_shingles", "sketch"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_held("minhash", dict)  # nothing is kept here, so what a former operator kept can go
         for table in groups(batches, 3):
             node = table.column("node").to_pylist()
             size = table.column("n_shingles").to_numpy()
@@ -156,6 +159,7 @@ def verified_links(members: DataFrame, which: str) -> DataFrame:
              .select("blob", "_pair.i", "_pair.j", "_own", "label", "node", "sketch", "members").filter(chosen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_held("minhash", dict)  # nothing is kept here, so what a former operator kept can go
         for table in groups(batches, 3):
             node = table.column("node").to_pylist()
             union = Union(table.column("label").to_pylist())
