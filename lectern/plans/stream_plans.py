@@ -9,32 +9,38 @@ from ..streaming import feeds as S
 from .registry import query
 from .usage_plans import SYNC_SQL, sync_events
 
-#: Slices of the events at least, and rows of a slice about at most.
-SLICES, SLICE_ROWS = 4, 250_000
+#: Slices of the events, one a micro-batch; rows of a file of a slice about.
+SLICES, FILE_ROWS = 4, 250_000
 
 
 class Live:
-    """The tables of ``Tables`` with ``events`` as a stream of several files, one a micro-batch, in order of time.
+    """The tables of ``Tables`` with ``events`` as a stream of some slices, one a micro-batch, in order of time.
 
-    Every twentieth event comes up to half an hour late, often in the slice after its own. With ``closing`` a last file
+    Every twentieth event comes up to half an hour late, often in the slice after its own. With ``closing`` a last slice
     holds one event of no user, so late that the watermark passes all others: the end of the input.
+
+    However large the table, it is read once a slice, and a key meets at most so many micro-batches. Slices are equal
+    shares of the events, each of the same number of files, which is what a micro-batch takes.
     """
 
     def __init__(self, t, closing: bool = False):
         folder = S.scratch_folder(t.spark, "events")
         e = t.events
-        n = e.count()
-        slices = max(SLICES, -(-n // SLICE_ROWS))
-        second = F.unix_timestamp(F.col("ts").cast("timestamp"))
-        cuts = e.agg(F.percentile_approx(second, [i / slices for i in range(1, slices)], 1000).alias("c")).first()["c"] or []
-        late = second + F.when(F.pmod(F.xxhash64("event_id"), F.lit(20)) == 0, 1800).otherwise(0)
-        place = sum(((late >= c).cast("int") for c in sorted(set(cuts))), F.lit(0))
+        files = max(1, -(-e.count() // (SLICES * FILE_ROWS)))
+        late = F.when(F.pmod(F.xxhash64("event_id"), F.lit(20)) == 0, 1800).otherwise(0)
+        # events of one second lie apart by a fraction of their own, so no cut meets many
+        second = F.unix_timestamp(F.col("ts").cast("timestamp")) + late + F.pmod(F.xxhash64("event_id", F.lit(1)), F.lit(1 << 20)) / (1 << 20)
+        cuts = e.agg(F.percentile_approx(second, [i / SLICES for i in range(1, SLICES)], 1000).alias("c")).first()["c"] or []
+        place = sum(((second >= c).cast("int") for c in sorted(set(cuts))), F.lit(0))
+        spread = F.pmod(F.xxhash64("event_id", F.lit(2)), F.lit(files))
         for i in range(len(set(cuts)) + 1):
-            e.filter(place == i).coalesce(1).write.mode("append").parquet(folder)  # a slice is bounded
+            (e.filter(place == i).withColumn("_file", spread).repartition(files, "_file")
+             .write.mode("append").partitionBy("_file").parquet(folder))
         if closing:
             end = {"ts": F.max("ts") + F.expr("interval 400 days"), **{c: F.lit(None).cast(e.schema[c].dataType) for c in e.columns if c != "ts"}}
             e.agg(*(v.alias(c) for c, v in end.items())).select(e.columns).coalesce(1).write.mode("append").parquet(folder)
-        self.events: DataFrame = t.spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        self.events: DataFrame = (t.spark.readStream.schema(e.schema).option("maxFilesPerTrigger", files)
+                                  .option("recursiveFileLookup", "true").parquet(folder))
 
 
 def batches(out: DataFrame) -> DataFrame:
