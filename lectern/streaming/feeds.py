@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -53,65 +54,14 @@ def settled(events: DataFrame, key: str = "path", quiet: str = "2 seconds", late
             kind: str = "kind") -> DataFrame:
     """One row per burst of events on a key, once it has been quiet: key, last_kind, last_ts, n.
 
-    Each key holds its open bursts as state and one event-time timer a burst: when the watermark passes the last event
-    and the quiet time, the burst is emitted. A late event within the lateness bound may join two bursts. Needs the
-    RocksDB state store; append mode.
+    A burst is a session window: it ends where no event follows for the quiet time, and is emitted when the watermark
+    passes that end. A late event within the lateness bound may join two bursts. State is one row per open burst.
     """
-    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-    name = key
+    seconds = events.sparkSession.range(1).select(F.expr(f"cast(interval {quiet} as interval second)").alias("g")).first()["g"]
+    gap = seconds // timedelta(microseconds=1) - 1  # sessions that touch are one, bursts a whole quiet time apart are not
     rest = events.withWatermark("ts", lateness).select(key, "ts", F.col(kind).alias("kind"))
-    gap = int(events.sparkSession.range(1).select(F.expr(f"cast(interval {quiet} as interval second)").alias("g")).first()["g"].total_seconds() * 1000)
-    state = "first_ms bigint, last_ms bigint, last_kind string, n bigint"
-
-    class Settle(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.handle = handle
-            self.bursts = handle.getListState("bursts", state)
-
-        def _held(self) -> list[list]:
-            return [list(r) for r in self.bursts.get()] if self.bursts.exists() else []
-
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            held = self._held()
-            before = {b[1] for b in held}
-            for pdf in rows:
-                ms = pdf["ts"].astype("datetime64[ms]").astype("int64")
-                for at, what in sorted(zip(ms, pdf["kind"]), key=lambda r: r[0]):
-                    own = [int(at), int(at), what, 1]
-                    apart = []
-                    for b in held:  # bursts less than the quiet time away are one with it
-                        if b[0] - own[1] < gap and own[0] - b[1] < gap:
-                            late = max(own, b, key=lambda x: x[1])
-                            own = [min(own[0], b[0]), late[1], late[2], own[3] + b[3]]
-                        else:
-                            apart.append(b)
-                    held = [*apart, own]
-            now = {b[1] for b in held}
-            for end in before - now:
-                self.handle.deleteTimer(end + gap)
-            for end in now - before:
-                self.handle.registerTimer(end + gap)
-            self.bursts.put([tuple(b) for b in held])
-            yield from ()
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            end = expiredTimerInfo.getExpiryTimeInMs() - gap
-            held = self._held()
-            done = [b for b in held if b[1] == end]
-            left = [tuple(b) for b in held if b[1] != end]
-            self.bursts.put(left) if left else self.bursts.clear()
-            if done:
-                yield pd.DataFrame({name: [key[0]] * len(done), "last_kind": [b[2] for b in done],
-                                    "last_ts": pd.to_datetime([b[1] for b in done], unit="ms"), "n": [b[3] for b in done]})
-
-        def close(self) -> None:
-            pass
-
-    return rest.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=Settle(), outputMode="Append", timeMode="EventTime",
-        outputStructType=T.StructType([rest.schema[key], T.StructField("last_kind", T.StringType()),
-                                       T.StructField("last_ts", T.TimestampType()), T.StructField("n", T.LongType())]))
+    return rest.groupBy(key, F.session_window("ts", f"{gap} microseconds").alias("_w")).agg(
+        F.max_by("kind", "ts").alias("last_kind"), F.max("ts").alias("last_ts"), F.count("*").alias("n")).drop("_w")
 
 
 # --- job events and the question log ----------------------------------------------------------------------------------

@@ -1,5 +1,7 @@
 """Rules that only show on larger or odder tables than the samples."""
 
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,3 +22,20 @@ def test_more_events_are_no_more_batches(spark, monkeypatch, rows):
     bounds = sorted((r.a, r.b) for r in out.groupBy("_batch").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).collect())
     late = 1801
     assert all((before[1] - after[0]).total_seconds() <= late for before, after in zip(bounds, bounds[1:]))
+
+
+def stream_of(spark, parts, schema, name):
+    folder = feeds.scratch_folder(spark, name)
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_bursts_are_told_apart_by_microseconds(spark):
+    at = lambda micros: datetime(2026, 1, 1) + timedelta(microseconds=micros)
+    parts = [[("a", "late", at(900)), ("a", "early", at(100)), ("b", "one", at(900)), ("b", "two", at(2_000_899)),
+              ("c", "one", at(900)), ("c", "two", at(2_000_900))], [("z", "end", datetime(2026, 1, 2))]]
+    stream = stream_of(spark, parts, "path string, kind string, ts timestamp", "micros")
+    out = feeds.run_available(feeds.settled(stream, "path", "2 seconds", "10 seconds"), "micros")
+    assert sorted((r.path, r.last_kind, r.n, r.last_ts) for r in out.collect()) == [
+        ("a", "late", 2, at(900)), ("b", "two", 2, at(2_000_899)), ("c", "one", 1, at(900)), ("c", "two", 1, at(2_000_900))]
