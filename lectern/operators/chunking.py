@@ -34,14 +34,15 @@ def _word_windows(sentence: Column, count: Callable[[Column], Column], budget: i
         F.concat(s["done"], F.array(s["buf"])), lambda p: p != ""))
 
 
-def unit_array(col: Column, budget: int, count: Callable[[Column], Column] = X.n_tokens) -> Column:
-    """Pieces that each fit the budget: paragraphs, else their sentences, else windows of words."""
+def unit_array(col: Column, budget: int, count: Callable[[Column], Column] = X.n_tokens, windows: bool = True) -> Column:
+    """Pieces that each fit the budget: paragraphs, else their sentences, else windows of words (left out without ``windows``)."""
 
     def non_empty(parts: Column) -> Column:
         return F.filter(F.transform(parts, X.strip), lambda p: p != "")
 
     def sentence(s: Column) -> Column:
-        return F.when(count(s) <= budget, F.array(s)).otherwise(_word_windows(s, count, budget))
+        return F.when(count(s) <= budget, F.array(s)).otherwise(
+            _word_windows(s, count, budget) if windows else F.array().cast("array<string>"))
 
     def paragraph(p: Column) -> Column:
         return F.when(count(p) <= budget, F.array(p)).otherwise(
@@ -51,10 +52,10 @@ def unit_array(col: Column, budget: int, count: Callable[[Column], Column] = X.n
 
 
 def units(pages: DataFrame, budget: int = 500, keys: tuple[str, ...] = ("doc_id", "page"), text: str = "text",
-          count: Callable[[Column], Column] = X.n_tokens) -> DataFrame:
-    """One row per unit: keys, ``ord`` from 0, ``text``, ``n_tokens``."""
+          count: Callable[[Column], Column] = X.n_tokens, windows: bool = True) -> DataFrame:
+    """One row per unit: keys, ``ord`` from 0, ``text``, ``n_tokens``. Without ``windows`` whole paragraphs and sentences only."""
     # outer + filter: a plain explode makes Spark test the array's size first, which computes the array twice
-    rows = pages.select(*keys, F.posexplode_outer(unit_array(F.col(text), budget, count)).alias("ord", "text"))
+    rows = pages.select(*keys, F.posexplode_outer(unit_array(F.col(text), budget, count, windows)).alias("ord", "text"))
     return rows.filter("ord IS NOT NULL").withColumn("n_tokens", count(F.col("text")))
 
 

@@ -47,3 +47,17 @@ def test_cut_off_references_stay(spark):
     page = "<html><body><h1>Tea &amp; milk &amp</h1><p>a &lt b &lt; &#233; &#xE9; &eacute;</p></body></html>"
     note = pages.pages_to_notes(spark.createDataFrame([(page, "t")], "html string, title string"), min_prose=1).first()["note"]
     assert note == "# t\n\n# Tea & milk &amp\n\na &lt b < é é é\n"
+
+
+def query(spark, name, folder, **tables):
+    """A registered query on own tables."""
+    for table, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{table}.parquet")
+    return catalogue.QUERIES[name](spark, str(folder)).collect()
+
+
+def test_windows_that_equal_a_paragraph_are_no_units(spark, tmp_path):
+    word = "w" * 299
+    text = " ".join([word] * 11) + "\n\n" + " ".join([word] * 5)
+    rows = query(spark, "b8_units", tmp_path, documents=([(1, text)], "doc_id bigint, text string"))
+    assert [(r.doc_id, r.times, r.n_tokens) for r in rows] == [(1, 1, 499)]
