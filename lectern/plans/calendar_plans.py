@@ -52,16 +52,36 @@ def i1(t):
     return C.audit_items(items(t))
 
 
-@query("i2_list_items", f"""WITH {ITEMS_SQL}
+LIST_SQL = f"""WITH {ITEMS_SQL}
 SELECT id, title FROM ie WHERE kind = 'event' AND course = '1-URGENT' AND fin >= TIMESTAMP '1998-01-01' AND starts_at < TIMESTAMP '1999-01-01'
-  AND (contains(lower(title), 'order 1') OR contains(lower(body), 'order 1')) AND done_at IS NULL ORDER BY starts_at, created_at DESC, id DESC LIMIT 1000""")
+  AND (contains(lower(title), 'order 1') OR contains(lower(body), 'order 1')) AND done_at IS NULL ORDER BY starts_at, created_at DESC, id DESC LIMIT 1000"""
+UNDATED_SQL = f"WITH {ITEMS_SQL} SELECT id, kind FROM ie WHERE contains(lower(title), 'order 7') ORDER BY starts_at NULLS LAST, created_at DESC, id DESC LIMIT 1000"
+
+
+def urgent(t, limit: int | None = None):
+    return C.list_items(items(t), "event", "1-URGENT", "1998-01-01", "1999-01-01", "ORDER 1", True, limit).select("id", "title")
+
+
+@query("i2_list_items", LIST_SQL)
 def i2(t):
-    return C.list_items(items(t), "event", "1-URGENT", "1998-01-01", "1999-01-01", "ORDER 1", True).select("id", "title")
+    """One list of a thousand items, as its SQL has it; i2_list_all_items has them all."""
+    return urgent(t, 1000)
 
 
-@query("i2_list_items_undated", f"WITH {ITEMS_SQL} SELECT id, kind FROM ie WHERE contains(lower(title), 'order 7') ORDER BY starts_at NULLS LAST, created_at DESC, id DESC LIMIT 1000")
+@query("i2_list_all_items", LIST_SQL.replace(" LIMIT 1000", ""))
+def i2_all(t):
+    return urgent(t)
+
+
+@query("i2_list_items_undated", UNDATED_SQL)
 def i2u(t):
-    return C.list_items(items(t), q="order 7", limit=5000).select("id", "kind")
+    """One list of a thousand items, as its SQL has it; i2_list_all_undated has them all."""
+    return C.list_items(items(t), q="order 7", limit=1000).select("id", "kind")
+
+
+@query("i2_list_all_undated", UNDATED_SQL.replace(" LIMIT 1000", ""))
+def i2u_all(t):
+    return C.list_items(items(t), q="order 7").select("id", "kind")
 
 
 @query("i3_overlap_join", f"""WITH {ITEMS_SQL}, w AS (SELECT DISTINCT date_trunc('month', d) AS w_start, date_trunc('month', d) + INTERVAL 1 MONTH AS w_end FROM o)

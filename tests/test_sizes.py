@@ -61,3 +61,9 @@ def test_windows_that_equal_a_paragraph_are_no_units(spark, tmp_path):
     text = " ".join([word] * 11) + "\n\n" + " ".join([word] * 5)
     rows = query(spark, "b8_units", tmp_path, documents=([(1, text)], "doc_id bigint, text string"))
     assert [(r.doc_id, r.times, r.n_tokens) for r in rows] == [(1, 1, 499)]
+
+
+def test_lists_end_where_their_sql_does(spark):
+    small = {n: catalogue.QUERIES[n](spark, "/root/testdata/sf0.1").count() for n in (
+        "i2_list_items", "i2_list_items_undated", "i2_list_all_items", "i2_list_all_undated")}
+    assert small == {"i2_list_items": 1000, "i2_list_items_undated": 1000, "i2_list_all_items": 6304, "i2_list_all_undated": 9676}
