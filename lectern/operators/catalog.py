@@ -65,9 +65,9 @@ def include(excluded: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def to_parse(docs: DataFrame, cache: DataFrame, version: int = PARSER_VERSION) -> DataFrame:
-    """One document per content that the page cache does not hold for this parser version."""
+    """One document per content that the page cache does not hold for this parser version. Nulls have no content."""
     have = cache.filter(F.col("parser_version") == version).select("sha256")
-    return docs.dropDuplicates(["sha256"]).join(have, "sha256", "left_anti")
+    return docs.filter("sha256 is not null").dropDuplicates(["sha256"]).join(have, "sha256", "left_anti")
 
 
 def store_pages(cache: DataFrame, new: DataFrame, replace: bool = False) -> DataFrame:

@@ -80,8 +80,9 @@ def j4(t):
 
 def caches(t):
     docs = t.documents.select(F.col("doc_id"), "lang", F.md5("text").alias("sha256"), F.length("text").alias("pages"))
-    old = docs.filter("lang IN ('fr', 'de')").dropDuplicates(["sha256"]).select(
-        "sha256", F.when(F.col("lang") == "fr", 4).otherwise(3).alias("parser_version"), F.lit(-1).alias("pages"))
+    # a content that documents of both languages hold was parsed by the newer version
+    old = docs.filter("lang IN ('fr', 'de')").groupBy("sha256").agg(
+        F.max(F.when(F.col("lang") == "fr", 4).otherwise(3)).alias("parser_version"), F.lit(-1).alias("pages"))
     return docs, old
 
 

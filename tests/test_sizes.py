@@ -67,3 +67,9 @@ def test_lists_end_where_their_sql_does(spark):
     small = {n: catalogue.QUERIES[n](spark, "/root/testdata/sf0.1").count() for n in (
         "i2_list_items", "i2_list_items_undated", "i2_list_all_items", "i2_list_all_undated")}
     assert small == {"i2_list_items": 1000, "i2_list_items_undated": 1000, "i2_list_all_items": 6304, "i2_list_all_undated": 9676}
+
+
+def test_contents_of_two_languages_are_parsed(spark, tmp_path):
+    rows = [(1, "de", "same"), (2, "fr", "same"), (3, "de", "old"), (4, "en", "new"), (5, "en", None)]
+    got = query(spark, "j5_to_parse", tmp_path, documents=(rows, "doc_id bigint, lang string, text string"))
+    assert sorted(r.sha256 for r in got) == sorted(md5(x.encode()).hexdigest() for x in ("old", "new"))
