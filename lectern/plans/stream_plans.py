@@ -104,7 +104,7 @@ SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS questions, quantile
 def s5(t):
     """Days as the watermark closes them; the end of the input closes the last ones."""
     log = stamped(Live(t, closing=True)).withColumn("latency_ms", F.floor(F.col("value") * 1000))
-    out = batches(S.run_available(S.live_daily(log), "daily"))
+    out = S.daily_trend(batches(S.run_available(S.live_daily(log), "daily")).drop("_batch"))
     return out.select(F.col("day").cast("string").alias("day"), "questions", "median_ms")
 
 

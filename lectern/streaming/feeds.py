@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..operators import catalog, chunking
+from ..operators.scan import running_total
 from ..operators.usage import COUNTED
 from ..session import ensure_checkpoint_dir
 from ..sources import files as files_source
@@ -73,11 +74,21 @@ def live_counts(events: DataFrame, key: str = "job") -> DataFrame:
 
 
 def live_daily(log: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Questions and approximate median latency per UTC day, emitted once the day can no longer change."""
-    g = log.withWatermark("ts", lateness).groupBy(F.window("ts", "1 day").alias("w")).agg(
-        F.count("*").alias("questions"), F.percentile_approx("latency_ms", 0.5).alias("median_ms"))
+    """Questions per UTC day and latency, emitted once the day can no longer change: day, latency_ms, n.
+
+    State is one row per open day and value. :func:`daily_trend` makes days of what was emitted.
+    """
+    g = log.withWatermark("ts", lateness).groupBy(F.window("ts", "1 day").alias("w"), "latency_ms").agg(F.count("*").alias("n"))
     utc = F.to_utc_timestamp("w.start", F.current_timezone())
-    return g.select(F.to_date(utc).alias("day"), "questions", "median_ms")
+    return g.select(F.to_date(utc).alias("day"), "latency_ms", "n")
+
+
+def daily_trend(counts: DataFrame) -> DataFrame:
+    """Questions and exact (lower) median latency per day, from the counts of :func:`live_daily`; nulls have no latency."""
+    total = counts.groupBy("day").agg(F.sum("n").alias("questions"), F.sum(F.when(F.col("latency_ms").isNotNull(), F.col("n"))).alias("_timed"))
+    upto = running_total(counts.filter("latency_ms is not null"), ["day"], "latency_ms", F.col("n"), "_upto")
+    middle = upto.join(total, "day").filter((2 * F.col("_upto") >= F.col("_timed")) & (2 * (F.col("_upto") - F.col("n")) < F.col("_timed")))
+    return total.join(middle.select("day", F.col("latency_ms").alias("median_ms")), "day", "left").select("day", "questions", "median_ms")
 
 
 def replay_dedup(items: DataFrame, key: str, lateness: str = "1 day") -> DataFrame:

@@ -73,3 +73,12 @@ def test_contents_of_two_languages_are_parsed(spark, tmp_path):
     rows = [(1, "de", "same"), (2, "fr", "same"), (3, "de", "old"), (4, "en", "new"), (5, "en", None)]
     got = query(spark, "j5_to_parse", tmp_path, documents=(rows, "doc_id bigint, lang string, text string"))
     assert sorted(r.sha256 for r in got) == sorted(md5(x.encode()).hexdigest() for x in ("old", "new"))
+
+
+def test_live_medians_are_exact(spark):
+    at = datetime(2026, 1, 1, 12)
+    n = 30_000
+    parts = [[(at, (i * i) % 1_000_003) for i in range(n)] + [(at, None)], [(datetime(2027, 1, 1), None)]]
+    stream = stream_of(spark, parts, "ts timestamp, latency_ms bigint", "medians")
+    out = feeds.daily_trend(feeds.run_available(feeds.live_daily(stream), "medians")).collect()
+    assert [(r.questions, r.median_ms) for r in out] == [(n + 1, sorted((i * i) % 1_000_003 for i in range(n))[n // 2 - 1])]
