@@ -31,6 +31,10 @@ from .parallel import broadcast_if_small
 BLOCK, FAN = 2048, 1024
 #: A question block has so many times the rows of a chunk block.
 WIDE = 8
+#: Chunks of a bin of cells about, which is what a question is sent to; a parent's cells are dealt to so many bins at least.
+BIN, BINS = 32_768, 16
+#: Questions scored at once against a block of chunks.
+SLICE = 256
 
 
 def _matrix(column) -> np.ndarray:
@@ -54,15 +58,17 @@ def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def block_join(questions: DataFrame, chunks: DataFrame, kernel, schema: T.StructType, block: int = BLOCK,
-               question_blocks: int = 1) -> DataFrame:
+               question_blocks: int = 1, least: int = 1) -> DataFrame:
     """Run ``kernel(question table, chunk table)`` on every pair of blocks that share a ``part``.
 
     Both inputs have a ``part`` column and an ``id``. The number of blocks of a part follows its size on each side; the
     table of part sizes is measured before it is broadcast. A chunk is copied once per question block of its part and the other way round; question blocks
-    hold ``question_blocks`` times ``block`` rows, so that the larger table, the chunks, is seldom copied.
+    hold ``question_blocks`` times ``block`` rows, so that the larger table, the chunks, is seldom copied. A part of some
+    thousand questions has ``least`` question blocks at least.
     """
     n_c = chunks.groupBy("part").agg(F.ceil(F.count("*") / block).alias("_nc"))
-    n_q = questions.groupBy("part").agg(F.ceil(F.count("*") / (question_blocks * block)).alias("_nq"))
+    n_q = questions.groupBy("part").agg(F.greatest(
+        F.ceil(F.count("*") / (question_blocks * block)), F.least(F.ceil(F.count("*") / 1024), F.lit(least))).alias("_nq"))
     sizes = broadcast_if_small(n_c.join(n_q, "part"))
 
     def spread(df: DataFrame, mine: str, other: str, my_block: str, other_block: str) -> DataFrame:
@@ -84,6 +90,7 @@ def block_join(questions: DataFrame, chunks: DataFrame, kernel, schema: T.Struct
 
     arrow_types = [(f.name, {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string(),
                              "int": pa.int32(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64()),
+                             "array<float>": pa.list_(pa.float32()),
                              "binary": pa.binary()}[f.dataType.simpleString()]) for f in schema]
     return q.cogroup(c).applyInArrow(run, schema)
 
@@ -93,11 +100,13 @@ def _topk_kernel(k: int, digits: int, exclude_self: bool):
 
     def kernel(q: pa.Table, c: pa.Table) -> pa.Table:
         c = c.sort_by("id")
-        return pa.concat_tables([part(q.slice(at, BLOCK), c) for at in range(0, q.num_rows, BLOCK)])
+        cid, vectors = c["id"].to_numpy(), _matrix(c["vec"]).T
+        return pa.concat_tables([part(q.slice(at, SLICE), cid, vectors) for at in range(0, q.num_rows, SLICE)])
 
-    def part(q: pa.Table, c: pa.Table) -> pa.Table:
-        scores = np.round(_matrix(q["vec"]) @ _matrix(c["vec"]).T, digits)
-        qid, cid = q["id"].to_numpy(), c["id"].to_numpy()
+    def part(q: pa.Table, cid: np.ndarray, vectors: np.ndarray) -> pa.Table:
+        scores = _matrix(q["vec"]) @ vectors
+        np.round(scores, digits, out=scores)
+        qid = q["id"].to_numpy()
         if exclude_self:
             scores[qid[:, None] == cid[None, :]] = -np.inf
         rows, cols = _best(scores, k)
@@ -123,7 +132,10 @@ def _sides(questions: DataFrame, chunks: DataFrame, part_q, part_c) -> tuple[Dat
     return q, c
 
 
-_VECTORS = T.ArrayType(T.DoubleType())
+def _numbers(df: DataFrame):
+    """The ``vec`` column as single or double precision, as it comes; whatever else it holds becomes double."""
+    vec = F.col("vec")
+    return vec if df.schema["vec"].dataType.elementType == T.FloatType() else F.transform(vec, lambda x: x.cast("double"))
 
 
 def _rows(vectors: np.ndarray) -> pa.Array:
@@ -138,10 +150,11 @@ def _directions(vectors: np.ndarray) -> np.ndarray:
 
 
 class CellTree:
-    """Cells of cells: ``leaves`` (id, vec, part) of all chunks, and per level a table of its cells, by parent.
+    """Cells of cells: ``leaves`` (id, vec, part, bin) of all chunks, and per level a table of its cells, by parent.
 
     A level's rows: ``part`` (the parent's path), ``id`` (number of the child), ``child`` (its path), ``vec`` (centroid),
-    ``size``, ``radius`` (angle), ``leaf``. Built by at most log(chunks) / log(FAN) rounds. A cell that its own centroids
+    ``size``, ``radius`` (angle), ``leaf``, ``bin``. A parent's leaves are dealt to bins of about ``BIN`` chunks: however small
+    the cells, a question is sent to few bins, once to each. Built by at most log(chunks) / log(FAN) rounds. A cell that its own centroids
     do not split further (copies of one vector) stays a leaf of any size, which the block join cuts.
     """
 
@@ -150,20 +163,22 @@ class CellTree:
         ensure_checkpoint_dir(chunks.sparkSession)
         self.levels: list[DataFrame] = []
         leaves = []
-        rest = chunks.select("id", F.transform("vec", lambda x: x.cast("double")).alias("vec"), F.col("part").cast("string").alias("part"))
+        rest = chunks.select("id", _numbers(chunks).alias("vec"), F.col("part").cast("string").alias("part"))
         sizes = rest.groupBy("part").agg(F.count("*").alias("_n"))
         self.roots = sizes
+        most = sizes.agg(F.max("_n")).first()[0] or 0
+        cell_size = max(cell_size, min(BIN, -(-most // BINS)))  # smaller cells would only be put together again in bins
         while True:
             large = sizes.filter(F.col("_n") > cell_size)
             if large.isEmpty():
-                leaves.append(rest)
+                leaves.append(rest.withColumn("bin", F.col("part")))
                 break
             level, inside = self._split(rest.join(broadcast_if_small(large), "part"), cell_size)
             self.levels.append(level)
-            leaves.append(rest.join(broadcast_if_small(large.select("part")), "part", "left_anti").select("id", "vec", "part"))
-            ends = broadcast_if_small(level.select(F.col("child").alias("part"), "leaf"))
+            leaves.append(rest.join(broadcast_if_small(large.select("part")), "part", "left_anti").select("id", "vec", "part", F.col("part").alias("bin")))
+            ends = broadcast_if_small(level.select(F.col("child").alias("part"), "leaf", "bin"))
             inside = inside.join(ends, "part").checkpoint()
-            leaves.append(inside.filter("leaf").select("id", "vec", "part"))
+            leaves.append(inside.filter("leaf").select("id", "vec", "part", "bin"))
             rest = inside.filter(~F.col("leaf")).select("id", "vec", "part")
             sizes = level.filter(~F.col("leaf")).select(F.col("child").alias("part"), F.col("size").alias("_n"))
         self.leaves = leaves[0]
@@ -190,19 +205,22 @@ class CellTree:
                 out.append(pa.table({"id": piece["id"], "vec": piece["vec"], "part": paths, "_cos": cos[np.arange(len(best)), best]}))
             return pa.concat_tables(out)
 
-        schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("vec", _VECTORS), T.StructField("part", T.StringType()),
+        schema = T.StructType([T.StructField("id", T.LongType()), rows.schema["vec"], T.StructField("part", T.StringType()),
                                T.StructField("_cos", T.DoubleType())])
         inside = block_join(rows.withColumn("_path", F.col("part")).drop("_n"), picked.drop("_of"), nearest, schema, 2 * FAN, WIDE).checkpoint()
         found = inside.groupBy("part").agg(F.count("*").alias("size"), F.min("_cos").alias("_least"))
         child = F.concat_ws(".", "part", F.col("id").cast("string"))
+        held = F.greatest(F.lit(cell_size), F.least(F.lit(BIN), F.ceil(F.col("_of") / BINS)))
+        upto = Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)  # at most FAN cells
         level = (picked.withColumn("child", child).join(found.withColumnRenamed("part", "child"), "child")
                  .withColumn("radius", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_least") - 1e-12))))
                  .withColumn("leaf", (F.col("size") <= cell_size) | (F.col("size") == F.col("_of")))
-                 .select("part", "id", "child", "vec", "size", "radius", "leaf").checkpoint())
+                 .withColumn("bin", F.concat("part", F.lit("/"), F.floor((F.sum("size").over(upto) - F.col("size")) / held).cast("string")))
+                 .select("part", "id", "child", "vec", "size", "radius", "leaf", "bin").checkpoint())
         return level, inside.drop("_cos")
 
     def visits(self, questions: DataFrame, need: int | None, slack: float = 0.0) -> DataFrame:
-        """One row per (question, leaf to open): id, vec, part. ``questions``: id, vec, part (a root), ``_kth``.
+        """One row per (question, bin to open): id, vec, part (the bin). ``questions``: id, vec, part (a root), ``_kth``.
 
         With ``need``, at each level the nearest cells that together hold so many chunks; without it, every cell whose
         best possible cosine reaches ``_kth``.
@@ -211,10 +229,18 @@ class CellTree:
         def choose(q: pa.Table, c: pa.Table) -> pa.Table:
             c = c.sort_by("id")
             centroids, radius = _directions(_matrix(c["vec"])), c["radius"].to_numpy()
-            size, leaf, child = c["size"].to_numpy(), c["leaf"].to_numpy(), c["child"].combine_chunks()
+            size = c["size"].to_numpy()
+            # where a cell leads to: its bin, or its own cells
+            goal = [b if end else child for b, end, child in zip(c["bin"].to_pylist(), c["leaf"].to_pylist(), c["child"].to_pylist())]
+            goals, place = np.unique(np.array(goal, object), return_inverse=True)
+            leaf = np.zeros(len(goals), bool)
+            leaf[place] = c["leaf"].to_numpy(zero_copy_only=False)
+            by_goal = place.argsort(kind="stable")
+            first = np.searchsorted(place[by_goal], np.arange(len(goals)))
+            goals = pa.array(goals.tolist(), pa.string())
             out = []
-            for at in range(0, q.num_rows, BLOCK):
-                piece = q.slice(at, BLOCK)
+            for at in range(0, q.num_rows, SLICE):
+                piece = q.slice(at, SLICE)
                 angles = np.arccos(np.clip(_matrix(piece["vec"]) @ centroids.T, -1.0, 1.0))
                 if need is not None:
                     order = angles.argsort(axis=1, kind="stable")
@@ -222,21 +248,21 @@ class CellTree:
                     np.put_along_axis(chosen, order, np.cumsum(size[order], axis=1) - size[order] < need, axis=1)
                 else:
                     chosen = np.cos(np.maximum(angles - radius, 0.0)) + slack >= piece["_kth"].to_numpy()[:, None]
-                row, cell = np.nonzero(chosen)
+                row, at_goal = np.nonzero(np.logical_or.reduceat(chosen[:, by_goal], first, axis=1))
                 picked = piece.select(["id", "vec", "_kth"]).take(pa.array(row))
-                out.append(picked.append_column("part", child.take(pa.array(cell))).append_column("leaf", pa.array(leaf[cell])))
+                out.append(picked.append_column("part", goals.take(pa.array(at_goal))).append_column("leaf", pa.array(leaf[at_goal])))
             return pa.concat_tables(out)
 
-        schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("vec", _VECTORS), T.StructField("_kth", T.DoubleType()),
+        rest = questions.select("id", _numbers(questions).alias("vec"), "_kth", F.col("part").cast("string").alias("part"))
+        schema = T.StructType([T.StructField("id", T.LongType()), rest.schema["vec"], T.StructField("_kth", T.DoubleType()),
                                T.StructField("part", T.StringType()), T.StructField("leaf", T.BooleanType())])
-        rest = questions.select("id", F.transform("vec", lambda x: x.cast("double")).alias("vec"), "_kth", F.col("part").cast("string").alias("part"))
         split = self.levels[0].select("part").distinct() if self.levels else None
         out = []
         for level in self.levels:
             if split is not None:  # roots without children are leaves
                 out.append(rest.join(broadcast_if_small(split), "part", "left_anti"))
                 split = None
-            opened = block_join(rest, level, choose, schema, 2 * FAN, WIDE).checkpoint()
+            opened = block_join(rest, level, choose, schema, 2 * FAN).checkpoint()
             out.append(opened.filter("leaf").drop("leaf"))
             rest = opened.filter(~F.col("leaf")).drop("leaf")
         if not self.levels:
@@ -257,19 +283,20 @@ def dense_topk(questions: DataFrame, chunks: DataFrame, k: int, scope: str | Non
     that can reach it (triangle inequality on angles), so the result stays exact.
     """
     kernel = _topk_kernel(k, digits, exclude_self)
+    held = max(block, 2 * BIN)
     root = F.lit(0) if scope is None else F.col(scope)
     q, c = _sides(questions, chunks, root.cast("string"), root.cast("string"))
     tree = CellTree(c, cell_size)
     if not tree.levels:
-        return _ranked(block_join(q, c, kernel, HITS, block, WIDE), k)
+        return _ranked(block_join(q, c, kernel, HITS, held, least=32), k)
     need = 4 * k + 1
-    parts = tree.leaves
-    first = block_join(tree.visits(q.withColumn("_kth", F.lit(-2.0)), need), parts, kernel, HITS, block, WIDE)
+    parts = tree.leaves.select("id", "vec", F.col("bin").alias("part"))
+    first = block_join(tree.visits(q.withColumn("_kth", F.lit(-2.0)), need), parts, kernel, HITS, held, least=4)
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
     kth = (first.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == k)
            .select(F.col("question_id").alias("id"), F.col("score").alias("_kth")))
     bounded = q.join(kth, "id", "left").withColumn("_kth", F.coalesce("_kth", F.lit(-2.0)))
-    return _ranked(block_join(tree.visits(bounded, None, 2 * 10.0 ** -digits), parts, kernel, HITS, block, WIDE), k)
+    return _ranked(block_join(tree.visits(bounded, None, 2 * 10.0 ** -digits), parts, kernel, HITS, held, least=4), k)
 
 
 #: Chunks that codebooks are trained on at most (hash order), cells of the first level, dimensions of one code byte.

@@ -6,7 +6,9 @@ from hashlib import md5
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.operators import nearest
 from lectern.plans import catalogue, registry, stream_plans
+from lectern.session import ensure_checkpoint_dir
 from lectern.sources import pages
 from lectern.streaming import feeds
 
@@ -82,3 +84,12 @@ def test_live_medians_are_exact(spark):
     stream = stream_of(spark, parts, "ts timestamp, latency_ms bigint", "medians")
     out = feeds.daily_trend(feeds.run_available(feeds.live_daily(stream), "medians")).collect()
     assert [(r.questions, r.median_ms) for r in out] == [(n + 1, sorted((i * i) % 1_000_003 for i in range(n))[n // 2 - 1])]
+
+
+def test_small_cells_are_visited_by_bins(spark):
+    ensure_checkpoint_dir(spark)
+    rows = spark.range(1500).select("id", F.array(*[F.randn(i) for i in range(8)]).alias("vec"), F.lit("").alias("part")).checkpoint()
+    tree = nearest.CellTree(rows, 10)
+    opened = tree.visits(rows.limit(50).withColumn("_kth", F.lit(-2.0)), None).groupBy("id").count()
+    assert 1 < opened.agg(F.max("count")).first()[0] <= 3 * nearest.BINS
+    assert tree.leaves.count() == 1500
