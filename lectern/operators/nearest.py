@@ -301,6 +301,8 @@ def dense_topk(questions: DataFrame, chunks: DataFrame, k: int, scope: str | Non
 
 #: Chunks that codebooks are trained on at most (hash order), cells of the first level, dimensions of one code byte.
 TRAINED, COARSE, SUB = 16_384, 512, 4
+#: Chunks of a bin of cells of the approximate search about, chunks that give ``refine * k`` candidates at least.
+HELD, TILE = 131_072, 8_192
 
 
 def _lloyd(points: np.ndarray, n: int, rounds: int = 6) -> np.ndarray:
@@ -334,78 +336,120 @@ class ResidualCodes:
         codes = [(residual[:, a:b] @ book.T - 0.5 * (book ** 2).sum(1)).argmax(1) for (a, b), book in zip(self.cuts, self.books)]
         return cell, np.stack(codes, axis=1).astype(np.uint8)
 
-    def scores(self, questions: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Approximate inner products by table look-ups: one addition per code byte."""
-        out = np.repeat((questions @ self.centres[cell])[:, None], len(codes), axis=1)
+    def decode(self, cell: int, codes: np.ndarray) -> np.ndarray:
+        """The vectors that codes of one cell stand for, in single precision."""
+        out = np.repeat(self.centres[cell].astype(np.float32)[None, :], len(codes), axis=0)
         for m, ((a, b), book) in enumerate(zip(self.cuts, self.books)):
-            out += (questions[:, a:b] @ book.T)[:, codes[:, m]]
+            out[:, a:b] += book.astype(np.float32)[codes[:, m]]
         return out
 
 
+def _candidates(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column indexes of each row's best ``k``, ties to the lower column. A stretch of columns gives a bound that few
+    others reach, so whole rows are only compared with it."""
+    if scores.shape[1] <= k:
+        rows, cols = np.indices(scores.shape)
+        return rows.ravel(), cols.ravel()
+    head = min(scores.shape[1], max(16 * k, 1024))
+    bound = np.partition(scores[:, :head], head - k, axis=1)[:, head - k]
+    rows, cols = np.nonzero(scores >= bound[:, None])
+    best = _first_of(rows, scores[rows, cols], cols, k)
+    return rows[best], cols[best]
+
+
 def ann_topk(questions: DataFrame, chunks: DataFrame, k: int, n_probe: int = 8, n_cells: int | None = None,
              scope: str | None = None, digits: int = 6, exclude_self: bool = False, refine: int = 8,
-             block: int = BLOCK) -> DataFrame:
+             block: int = HELD, tile: int = TILE) -> DataFrame:
     """Approximate best ``k`` by residual product quantisation, the best ``refine * k`` re-ranked by exact cosine.
 
-    Codebooks are trained on at most ``TRAINED`` chunks; every chunk is indexed. A chunk travels as one byte per ``SUB``
-    dimensions. Each question looks into the ``n_probe`` cells (of at most ``COARSE``) with the nearest centres; a cell of
-    any size is cut into blocks. A scope is answered exactly instead: filtering after an approximate search loses rows.
+    Codebooks are trained on at most ``TRAINED`` chunks; every chunk is indexed. Each question looks into the ``n_probe``
+    cells (of at most ``COARSE``) with the nearest centres. Cells are dealt to bins of about ``block`` chunks (a larger cell
+    is cut into blocks) and a question is sent once to each bin that holds one of its cells, so what is shuffled grows with
+    questions times bins, not times cells or candidates. Codes give candidates of every ``tile`` chunks of a cell, which are
+    re-ranked where they are found, by the vectors that stand beside the codes: at most ``k`` rows of a question leave a bin,
+    and a larger table has no fewer candidates a chunk. A scope is answered exactly instead: filtering after an approximate
+    search loses rows.
     """
     if scope is not None:
-        return dense_topk(questions, chunks, k, scope, digits, exclude_self, block)
+        return dense_topk(questions, chunks, k, scope, digits, exclude_self)
     spark = chunks.sparkSession
     q, c = _sides(questions, chunks, F.lit(0).cast("bigint"), F.lit(0).cast("bigint"))
-    q, c = q.drop("part"), c.drop("part")
+    q, c = (x.select("id", _numbers(x).alias("vec")) for x in (q, c))
     sample = c.orderBy(F.xxhash64("id"), "id").limit(TRAINED).select("vec").toArrow()  # training only
     if not sample.num_rows:
-        return dense_topk(questions, chunks, k, None, digits, exclude_self, block)
+        return dense_topk(questions, chunks, k, None, digits, exclude_self)
     vectors = _matrix(sample["vec"])
     codes = ResidualCodes(vectors, min(COARSE, n_cells or max(1, round(math.sqrt(len(vectors))))))
     shared = spark.sparkContext.broadcast(codes)
+    # neighbouring cells share a bin, by their sizes in the sample; at most COARSE numbers
+    total = c.count()
+    held = np.bincount(codes.nearest(vectors), minlength=len(codes.centres)) * (total / len(vectors))
+    bins = spark.sparkContext.broadcast((np.cumsum(held) - held) // block)
+    n_bins = len(np.unique(bins.value))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cell, code = shared.value.encode(_matrix(b.column("vec")))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(cell.astype(np.int64)), pa.array([x.tobytes() for x in code], pa.binary())],
-                                             ["id", "part", "code"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vec"), pa.array(cell.astype(np.int32)), pa.array([x.tobytes() for x in code], pa.binary()),
+                                              pa.array(bins.value[cell].astype(np.int64))], ["id", "vec", "cell", "code", "part"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = _matrix(b.column("vec"))
-            sims = own @ shared.value.centres.T
+            sims = _matrix(b.column("vec")) @ shared.value.centres.T
             keep = min(n_probe, sims.shape[1])
-            near = np.argpartition(-sims, keep - 1, axis=1)[:, :keep]
-            rows = np.repeat(np.arange(len(own)), keep)
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(rows)), _rows(own[rows]), pa.array(near.ravel().astype(np.int64)),
-                                              pa.array(near.ravel().astype(np.int64))], ["id", "vec", "part", "cell"])
+            near = np.sort(np.argpartition(-sims, keep - 1, axis=1)[:, :keep], axis=1).astype(np.uint16)
+            for part in np.unique(bins.value):
+                inside = bins.value[near] == part
+                rows = np.flatnonzero(inside.any(axis=1))
+                cells = pa.array([near[r, inside[r]].tobytes() for r in rows], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(rows)), b.column("vec").take(pa.array(rows)), cells,
+                                                  pa.array(np.full(len(rows), int(part)))], ["id", "vec", "cells", "part"])
 
     wanted = refine * k
 
     def look_up(q: pa.Table, c: pa.Table) -> pa.Table:
-        c = c.sort_by("id")
-        cid = c["id"].to_numpy()
+        c = c.sort_by([("cell", "ascending"), ("id", "ascending")])
+        cid, exact, cell = c["id"].to_numpy(), _matrix(c["vec"]), c["cell"].to_numpy()
         code = np.frombuffer(b"".join(c["code"].to_pylist()), np.uint8).reshape(len(cid), -1)
-        out = []
-        for at in range(0, q.num_rows, 256):
-            piece = q.slice(at, 256)
-            qid = piece["id"].to_numpy()
-            scores = shared.value.scores(_matrix(piece["vec"]), piece["cell"][0].as_py(), code)
-            if exclude_self:
-                scores[qid[:, None] == cid[None, :]] = -np.inf
-            rows, cols = _best(scores, wanted)
-            out.append(pa.table({"question_id": qid[rows], "chunk_id": cid[cols], "score": scores[rows, cols]}))
-        return pa.concat_tables(out)
-
-    coded = c.mapInArrow(encode, "id bigint, part bigint, code binary")
-    visits = q.mapInArrow(probe, "id bigint, vec array<double>, part bigint, cell bigint")
-    found = block_join(visits, coded, look_up, HITS, block, WIDE)
-    w = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
-    best = found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= wanted).select("question_id", "chunk_id")
-    from ..functions.vectors import dot
-
-    exact = (best.join(q.select(F.col("id").alias("question_id"), F.col("vec").alias("_q")), "question_id")
-             .join(c.select(F.col("id").alias("chunk_id"), F.col("vec").alias("_c")), "chunk_id"))
-    return _ranked(exact.select("question_id", "chunk_id", F.round(dot(F.col("_q"), F.col("_c")), digits).alias("score")), k)
+        qid, asked = q["id"].to_numpy(), _matrix(q["vec"])
+        single = asked.astype(np.float32)
+        probed = np.zeros((len(qid), len(shared.value.centres)), bool)
+        for i, cells in enumerate(q["cells"].to_pylist()):
+            probed[i, np.frombuffer(cells, np.uint16)] = True
+        rows, cols, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        ends = np.searchsorted(cell, np.arange(len(shared.value.centres) + 1))
+        for n in np.unique(cell).tolist():
+            visitors = np.flatnonzero(probed[:, n])
+            for a in range(int(ends[n]), int(ends[n + 1]), tile):
+                b = min(a + tile, int(ends[n + 1]))
+                decoded = shared.value.decode(n, code[a:b]).T
+                for at in range(0, len(visitors), SLICE):
+                    own = visitors[at:at + SLICE]
+                    r, at_chunk = _candidates(single[own] @ decoded, wanted + exclude_self)
+                    r, at_chunk = own[r], at_chunk + a
+                    if exclude_self:
+                        other = qid[r] != cid[at_chunk]
+                        r, at_chunk = r[other], at_chunk[other]
+                    score = np.round(np.einsum("ij,ij->i", asked[r], exact[at_chunk]), digits)
+                    best = _first_of(r, score, cid[at_chunk], k)
+                    rows.append(r[best])
+                    cols.append(at_chunk[best])
+                    found.append(score[best])
+        rows, cols, found = np.concatenate(rows), np.concatenate(cols), np.concatenate(found)
+        best = _first_of(rows, found, cid[cols], k)
+        return pa.table({"question_id": qid[rows[best]], "chunk_id": cid[cols[best]], "score": found[best]})
+
+    vec = q.schema["vec"].dataType.simpleString()
+    coded = c.mapInArrow(encode, f"id bigint, vec {c.schema['vec'].dataType.simpleString()}, cell int, code binary, part bigint")
+    visits = q.mapInArrow(probe, f"id bigint, vec {vec}, cells binary, part bigint")
+    return _ranked(block_join(visits, coded, look_up, HITS, block, least=max(4, 32 // n_bins)), k)
+
+
+def _first_of(rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the best ``k`` of each row number, ties to the lower id."""
+    order = np.lexsort((ids, -scores, rows))
+    own = rows[order]
+    return order[np.arange(len(own)) - np.searchsorted(own, own) < k]
 
 
 def doc_boost(hits: DataFrame, questions: DataFrame, doc_vecs: DataFrame, boost: float, k: int,

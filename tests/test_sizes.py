@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 from hashlib import md5
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +94,20 @@ def test_small_cells_are_visited_by_bins(spark):
     opened = tree.visits(rows.limit(50).withColumn("_kth", F.lit(-2.0)), None).groupBy("id").count()
     assert 1 < opened.agg(F.max("count")).first()[0] <= 3 * nearest.BINS
     assert tree.leaves.count() == 1500
+
+
+def test_a_code_of_many_chunks_costs_no_neighbours(spark):
+    """Candidates come from every cell and stretch of chunks, so a larger table has no fewer of them a chunk."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(6000, 64))
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id bigint, vec array<float>")
+    chunks = rows.withColumnRenamed("id", "chunk_id")
+    asked = rows.filter("id < 200").withColumnRenamed("id", "question_id")
+    got = {}
+    for r in nearest.ann_topk(asked, chunks, 10, n_probe=16, n_cells=16, exclude_self=True, refine=2).collect():
+        got.setdefault(r.question_id, set()).add(r.chunk_id)
+    scores = np.round(v[:200].astype(float) @ v.astype(float).T, 6)
+    scores[np.arange(200), np.arange(200)] = -2
+    want = {i: set(np.lexsort((np.arange(6000), -scores[i]))[:10].tolist()) for i in range(200)}
+    assert sum(len(got[i] & want[i]) for i in want) / 2000 >= 0.9
