@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import nearest
+from lectern.operators import lexical, nearest
 from lectern.plans import catalogue, registry, stream_plans
 from lectern.session import ensure_checkpoint_dir
 from lectern.sources import pages
@@ -111,3 +111,28 @@ def test_a_code_of_many_chunks_costs_no_neighbours(spark):
     scores[np.arange(200), np.arange(200)] = -2
     want = {i: set(np.lexsort((np.arange(6000), -scores[i]))[:10].tolist()) for i in range(200)}
     assert sum(len(got[i] & want[i]) for i in want) / 2000 >= 0.9
+
+
+def kept_rows(spark, monkeypatch):
+    """Rows of each frame that is checkpointed from now on."""
+    kind, rows = type(spark.range(1)), []
+    plain = kind.checkpoint
+
+    def counted(df, *args):
+        out = plain(df, *args)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(kind, "checkpoint", counted)
+    return rows
+
+
+def test_questions_and_blocks_make_no_table(spark, monkeypatch):
+    rows = kept_rows(spark, monkeypatch)
+    chunks = spark.range(300).selectExpr("id AS chunk_id", "concat('a b c', repeat(' d', int(id % 7))) AS text")
+    asked = [[x, f"e{i}"] for i in range(40) for x in "abcd"]
+    q = spark.createDataFrame(list(enumerate(asked)), "question_id bigint, terms array<string>")
+    hits = lexical.lexical_topk(q, lexical.block_postings(chunks, block=4), 2).collect()
+    assert sorted((r.question_id, r.chunk_id, r.lex_score) for r in hits) == sorted(
+        (i, c, n) for i in range(160) for c, n in (((6, 6), (13, 6)) if i % 4 == 3 else ((0, 1), (1, 1))))
+    assert max(rows) <= 3 * 2 * 160
