@@ -12,8 +12,10 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions import vectors as V
+from ..session import ensure_checkpoint_dir
 from .lexical import lexical_topk
 from .nearest import dense_topk
+from .parallel import broadcast_if_small
 
 MIN_SCORE = 0.35
 CANDIDATES = 20
@@ -114,11 +116,13 @@ def rerank(hits: DataFrame, logits: DataFrame, candidate_k: int = CANDIDATES) ->
 def overlap_logits(hits: DataFrame, questions: DataFrame, index: DataFrame, n_chunks: DataFrame) -> DataFrame:
     """Native pair score: share of the question's idf weight found in the chunk, stretched to -4..4.
 
-    ``n_chunks`` is a one-row frame with column ``n``. Only the terms of the questions are looked up in the index.
+    ``n_chunks`` is a one-row frame with column ``n``. Only the terms of the questions are looked up in the index, which is read
+    once: what holds them is kept for the frequencies and the candidates alike.
     """
+    ensure_checkpoint_dir(questions.sparkSession)
     terms = questions.select("question_id", F.explode("terms").alias("term"))
-    df = (index.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term")
-          .agg(F.count("*").alias("df")))
+    index = index.select("chunk_id", "term").join(broadcast_if_small(terms.select("term").distinct()), "term", "left_semi").checkpoint()
+    df = index.groupBy("term").agg(F.count("*").alias("df"))
     weighted = terms.join(df, "term", "left").withColumn(
         "idf", F.log(1 + n_chunks.select("n").scalar() / (1 + F.coalesce("df", F.lit(0)))))
     total = weighted.groupBy("question_id").agg(F.sum("idf").alias("_total"))

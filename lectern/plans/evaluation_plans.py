@@ -188,7 +188,7 @@ def evaluation_items(t) -> DataFrame:
         "dense": R.retrieve(q, c, "dense", k=20, dense=dense),
         "hybrid": R.retrieve(q, c, "hybrid", index=index, dense=dense),
         "dense+rerank": R.retrieve(q, c, "dense", k=20, dense=dense,
-                                   rerank_with=lambda h: R.rerank(h, R.overlap_logits(h, q, index, n))),
+                                   rerank_with=lambda h: R.rerank(h, R.overlap_logits(h, q, L.postings(c), n))),
     }
     info = q.select("question_id", F.col("label").alias("course"), X.detect_lang(F.col("question")).alias("lang"),
                     F.lit("generated").alias("source"), "label")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import lexical, nearest
+from lectern.operators import fusion, lexical, nearest
 from lectern.plans import catalogue, registry, stream_plans
 from lectern.session import ensure_checkpoint_dir
 from lectern.sources import pages
@@ -136,3 +136,19 @@ def test_questions_and_blocks_make_no_table(spark, monkeypatch):
     assert sorted((r.question_id, r.chunk_id, r.lex_score) for r in hits) == sorted(
         (i, c, n) for i in range(160) for c, n in (((6, 6), (13, 6)) if i % 4 == 3 else ((0, 1), (1, 1))))
     assert max(rows) <= 3 * 2 * 160
+
+
+def test_postings_are_read_once_for_reranking(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def words(text):
+        read.add(1)
+        return text
+
+    text = F.udf(words)("text")
+    chunks = spark.createDataFrame([(i, f"w{i} all") for i in range(10)], "chunk_id bigint, text string").repartition(1)
+    q = spark.createDataFrame([(1, ["w3", "all"])], "question_id bigint, terms array<string>")
+    hits = q.select("question_id", F.lit(3).cast("bigint").alias("chunk_id"))
+    index = lexical.postings(chunks.select("chunk_id", text.alias("text")))
+    assert fusion.overlap_logits(hits, q, index, chunks.agg(F.count("*").alias("n"))).collect()[0].logit == 4.0
+    assert read.value == 10
