@@ -267,7 +267,10 @@ def spaced_words(text: str) -> list[str]:
 
 def restored_words(text: str, restore, runs: Runs) -> list[str]:
     """All words of a text as ``restore`` gives them; behind them, those of runs of short units, joined and decoded."""
-    words = [*map(restore, text.split()), *map(restore, spaced_words(text))]
-    for m in _SHORT.finditer(text):
-        words += map(restore, runs[m.group()])
+    words = [*map(restore, text.split())]
+    short = _SHORT.findall(text)
+    for run in short:  # single signs between white space are short units, so the text need not be read for them again
+        words += map(restore, spaced_words(run))
+    for run in short:
+        words += map(restore, runs[run])
     return words

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import fusion, lexical, nearest
+from lectern.llm import deobfuscation
 from lectern.plans import catalogue, registry, stream_plans
 from lectern.session import ensure_checkpoint_dir
 from lectern.sources import pages
@@ -152,3 +153,9 @@ def test_postings_are_read_once_for_reranking(spark):
     index = lexical.postings(chunks.select("chunk_id", text.alias("text")))
     assert fusion.overlap_logits(hits, q, index, chunks.agg(F.count("*").alias("n"))).collect()[0].logit == 4.0
     assert read.value == 10
+
+
+def test_spelt_words_are_found_in_runs_of_short_units():
+    for text in ("", "a b c", "so a b c d it x", "long a\tb  c long x y zz a b\nc", "ab a b cd e f g"):
+        single = [x for run in deobfuscation._SHORT.findall(text) for x in deobfuscation.spaced_words(run)]
+        assert single == deobfuscation.spaced_words(text)
