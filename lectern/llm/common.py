@@ -134,15 +134,34 @@ class Learnt(dict):
 _worker: dict[str, object] = {}
 
 
+def give_back() -> None:
+    """Return memory that this worker no longer uses to the system, since workers outlive tasks and stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the C library of Linux has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def worker_held(name: str, make: Callable):
     """What a worker process keeps between the tasks of one operator; another operator's takes its place, and the memory
-    that the former one had goes back to the system, since workers outlive stages."""
+    that the former one had goes back to the system."""
     if name not in _worker:
         if _worker:
             _worker.clear()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # only the C library of Linux has it
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
         _worker[name] = make()
     return _worker[name]
+
+
+def keeping_nothing(run: Callable) -> Callable:
+    """``run`` over the batches of a task, for operators that keep nothing in their workers: what a former one kept goes
+    before, what the task took goes after it."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_held("nothing", dict)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .common import LOWER, bytes_of, random64, slices, whole_row, worker_held
+from .common import LOWER, bytes_of, keeping_nothing, random64, slices, whole_row
 
 #: Chunks have 512 to 16,384 bytes, 2,048 more than the least on average; only a text's last one may be shorter.
 LEAST, MOST, BITS = 512, 16384, 11
@@ -71,7 +71,6 @@ def recipes(docs: DataFrame, width: int) -> DataFrame:
     """``doc_id``, ``text_sha256`` and ``recipe``: the identifiers of the text's chunks, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_held("exact", dict)  # nothing is kept here, so what a former operator kept can go
         for batch in batches:
             sha, recipe = [], []
             for texts in _chunked(batch.column(1)):
@@ -81,21 +80,20 @@ def recipes(docs: DataFrame, width: int) -> DataFrame:
                                              ["doc_id", "text_sha256", "recipe"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, text_sha256 string, recipe binary")
+        keeping_nothing(run), "doc_id long, text_sha256 string, recipe binary")
 
 
 def collisions(docs: DataFrame, width: int) -> DataFrame:
     """Identifiers that stand for more than one chunk. Each distinct chunk is moved once per task that holds it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_held("exact", dict)  # nothing is kept here, so what a former operator kept can go
         for batch in batches:
             for texts in _chunked(batch.column(0)):  # some MB at a time
                 seen = {c for _, chunks in texts for c in chunks}
                 yield pa.RecordBatch.from_arrays([pa.array([_chunk_id(c, width) for c in seen], pa.binary()),
                                                   pa.array(list(seen), pa.binary())], ["chunk_id", "chunk"])
 
-    chunks = docs.select("text").mapInArrow(run, "chunk_id binary, chunk binary")
+    chunks = docs.select("text").mapInArrow(keeping_nothing(run), "chunk_id binary, chunk binary")
     return chunks.distinct().groupBy("chunk_id").count().filter("count > 1")
 
 

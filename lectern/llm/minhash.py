@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .common import groups, whole_row, worker_held
-from .components import components
+from .common import groups, keeping_nothing, whole_row
+from .components import components, stars
 from .shingles import SLOTS, bands, shingle_sets, sketch, super_minhash
 
 #: Signatures estimate a similarity with a standard deviation of about 0.03 at 0.75; pairs estimated below are left out:
@@ -32,7 +32,6 @@ def sketches(docs: DataFrame) -> DataFrame:
     """Per row: number of distinct shingles, a key of the set (``node``; null without words), band hashes, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_held("minhash", dict)  # nothing is kept here, so what a former operator kept can go
         for batch in batches:
             at = 0
             for sets in shingle_sets(batch.column(1)):
@@ -49,21 +48,20 @@ def sketches(docs: DataFrame) -> DataFrame:
                     [c.split()[0] for c in _SKETCHES.split(", ")])
                 at += len(sets)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SKETCHES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(keeping_nothing(run), _SKETCHES)
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
     """``node`` and its whole sorted shingle set, for the rows that have words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_held("minhash", dict)  # nothing is kept here, so what a former operator kept can go
         for batch in batches:
             for sets in shingle_sets(batch.column(0)):
                 sets = [s for s in sets if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array(_keys(sets), pa.binary()),
                                                   pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "members"])
 
-    return docs.select("text").mapInArrow(run, "node binary, members binary").dropDuplicates(["node"])
+    return docs.select("text").mapInArrow(keeping_nothing(run), "node binary, members binary").dropDuplicates(["node"])
 
 
 class Union:
@@ -96,7 +94,7 @@ def _partners(table: pa.Table) -> Iterator[tuple[int, int]]:
 
 
 def candidate_edges(members: DataFrame) -> DataFrame:
-    """A maximum spanning forest of the pairs of each band bucket estimated at ``ESTIMATE`` or more, as (a, b).
+    """What connects the pairs of each band bucket estimated at ``ESTIMATE`` or more, as stars (a, b) of each task.
 
     ``members(band, node, n_shingles, sketch)``. A bucket beyond ``BLOCK_ROWS`` is cut in blocks and every two blocks
     meet in one group, so that no pair is lost; a group yields fewer edges than it has members.
@@ -109,7 +107,6 @@ def candidate_edges(members: DataFrame) -> DataFrame:
              .select("band", "_pair.i", "_pair.j", "_own", "node", "n_shingles", "sketch"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_held("minhash", dict)  # nothing is kept here, so what a former operator kept can go
         for table in groups(batches, 3):
             node = table.column("node").to_pylist()
             size = table.column("n_shingles").to_numpy()
@@ -144,8 +141,9 @@ def candidate_edges(members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()),
                                               pa.array([x for _, x in out], pa.binary())], ["a", "b"])
 
+    # the forests of a task's buckets become stars in the same worker
     return (split.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "_own", "node")
-            .mapInArrow(run, "a binary, b binary"))
+            .mapInArrow(keeping_nothing(lambda batches: stars(run(batches))), "a binary, b binary"))
 
 
 def verified_links(members: DataFrame, which: str) -> DataFrame:
@@ -159,7 +157,6 @@ def verified_links(members: DataFrame, which: str) -> DataFrame:
              .select("blob", "_pair.i", "_pair.j", "_own", "label", "node", "sketch", "members").filter(chosen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_held("minhash", dict)  # nothing is kept here, so what a former operator kept can go
         for table in groups(batches, 3):
             node = table.column("node").to_pylist()
             union = Union(table.column("label").to_pylist())
@@ -192,7 +189,7 @@ def verified_links(members: DataFrame, which: str) -> DataFrame:
                                                   pa.array([x for _, x in out], pa.binary())], ["a", "b"])
 
     return (split.repartition("blob", "i", "j").sortWithinPartitions("blob", "i", "j", "_own", "node")
-            .mapInArrow(run, "a binary, b binary"))
+            .mapInArrow(keeping_nothing(run), "a binary, b binary"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -217,7 +214,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     counts = banded.groupBy("band").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("band").alias("_band"), F.xxhash64("band").alias("_hash"))
     shared = banded.join(counts, (F.col("band") == F.col("_band")) & (F.xxhash64("band") == F.col("_hash"))).select("node", "band")
     members = shared.join(nodes.select("node", "n_shingles", "sketch"), "node").select("band", "node", "n_shingles", "sketch")
-    blobs = components(candidate_edges(members.checkpoint())).withColumnRenamed("label", "blob")
+    blobs = components(candidate_edges(members.checkpoint()), starred=True).withColumnRenamed("label", "blob")
     wanted = blobs.join(nodes, "node").select("node", "blob", "least", "sketch").checkpoint()
     texts = docs.join(wanted.select(F.col("least").alias("_least")).distinct(),
                       F.col("doc_id").eqNullSafe(F.col("_least")), "left_semi")

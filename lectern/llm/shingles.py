@@ -11,7 +11,7 @@ from .common import LOWER, SPACE, bytes_of, mix64, random64, slices
 
 #: Words of a shingle, slots of a signature, slots hashed together in one band.
 WORDS, SLOTS, ROWS = 5, 128, 4
-_STEP = 1 << 20
+_STEP = 1 << 18  # bytes of text at once; signatures take some hundred times as much
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = random64(256, 11) | np.uint64(1)
 _PLACES = random64(WORDS + 1, 12) | np.uint64(1)

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -17,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lectern.llm import chat, components, deobfuscation, exact, html, minhash, mixing, packing, pii, shingles, tokens, toxicity, vectors
+from lectern.llm import chat, common, components, deobfuscation, exact, html, minhash, mixing, packing, pii, shingles, tokens, toxicity, vectors
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _size string, component_id string, key string"
@@ -185,6 +186,30 @@ def test_words_of_long_texts_are_cut_at_white_space(monkeypatch):
     assert [s.tolist() for run in shingles.shingle_sets(text) for s in run] == want
 
 
+def test_signatures_take_little_memory_and_workers_give_it_back(monkeypatch):
+    words = pa.array([" ".join(f"w{i * 300 + k}" for k in range(300)) for i in range(1500)])  # 3 MB
+    shingles._power_tables(1)  # these stay
+    tracemalloc.start()
+    n = sum(len(shingles.super_minhash(sets)) for sets in shingles.shingle_sets(words))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 1500 and peak < 24 << 20
+    given_back = []
+    monkeypatch.setattr(common, "give_back", lambda: given_back.append(True))
+    task = common.keeping_nothing(lambda batches: (b for b in batches))(iter([1, 2]))
+    given_back.clear()
+    assert list(task) == [1, 2] and given_back
+
+
+def test_candidates_and_their_stars_share_a_worker(spark):
+    members = spark.createDataFrame([(1, b"a", 3, bytes(128)), (1, b"b", 3, bytes(128)), (1, b"c", 3, bytes(128)), (2, b"d", 3, bytes(128))],
+                                    "band long, node binary, n_shingles long, sketch binary")
+    edges = minhash.candidate_edges(members)
+    assert edges._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = components.components(edges, starred=True).collect()
+    assert {bytes(r["node"]) for r in got} == {b"a", b"b", b"c"} and len({bytes(r["label"]) for r in got}) == 1
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=14))
 def test_components(spark, links):
