@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..session import ensure_checkpoint_dir
-from .chunking import token_groups
+from .chunking import group_ids
 
 FAN_IN = 8
 MAX_TAG_CHARS = 40
@@ -137,10 +137,12 @@ def summarise(chunks: DataFrame, summariser: Summariser | None = None, budget: i
     """
     spark = chunks.sparkSession
     ensure_checkpoint_dir(spark)
-    groups = token_groups(chunks, budget)
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda c: c["text"]), "\n\n")
-    parts = (chunks.join(groups, ["doc_id", "ord"]).groupBy("doc_id", F.col("group_no").alias("part"))
-             .agg(body.alias("text")))
+    # chunks are made and moved once: numbered in a row per document, bounded by its own text, and grouped where they are
+    held = chunks.filter("doc_id IS NOT NULL AND ord IS NOT NULL").groupBy("doc_id").agg(
+        F.sort_array(F.collect_list(F.struct("ord", "n_tokens", "text"))).alias("chunk"))
+    numbered = held.withColumn("part", group_ids(F.transform("chunk", lambda c: c["n_tokens"]), budget))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list("chunk")), lambda c: c["text"]), "\n\n")
+    parts = numbered.select("doc_id", F.inline(F.arrays_zip("chunk", "part"))).groupBy("doc_id", "part").agg(body.alias("text"))
     parts = _summarise_column(parts, summariser).withColumn("calls", F.lit(1)).checkpoint()
     most = parts.agg(F.max("part")).first()[0] or 0
     while most > 0:

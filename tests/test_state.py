@@ -119,6 +119,21 @@ def test_map_reduce_calls(spark):
     assert seen.summary == "ONLY ONE. SHORT ONE."
 
 
+def test_chunks_to_summarise_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    chunks = spark.createDataFrame([(d, i, f"Part {i} of {d}.", 900) for d in range(4) for i in range(7)] + [(None, 0, "No document.", 1)],
+                                   "doc_id int, ord int, text string, n_tokens int")
+    got = {r.doc_id: r for r in E.summarise(chunks.mapInPandas(counted, chunks.schema), lambda ts: ts).collect()}
+    assert made.value == 29 and set(got) == {0, 1, 2, 3}
+    assert got[3].calls == 5 and got[3].summary == "\n\n".join(f"Part {i} of 3." for i in range(7))
+
+
 def greedy(tags, new, threshold):
     """The sequential rule, course by course."""
     out = {}
