@@ -193,6 +193,6 @@ def a11c(t):
     lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag")
     old = lines.withColumn("version", F.lit("old"))
     finished = t.orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    new = lines.filter("l_returnflag <> 'R'").join(finished, "l_orderkey", "left_semi").withColumn(
+    new = lines.filter("l_returnflag <> 'R'").join(finished.hint("shuffle_hash"), "l_orderkey", "left_semi").withColumn(
         "version", F.lit("new"))
     return N.replace_children(old, new, finished, "l_orderkey").drop("l_returnflag")

@@ -27,8 +27,12 @@ def upsert_documents(current: DataFrame, incoming: DataFrame, key: str = "path",
 
 
 def replace_children(children: DataFrame, new: DataFrame, parents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """All children of the given parents are replaced by the new ones; the other parents keep theirs."""
-    kept = children.join(parents.select(key).distinct(), key, "left_anti")
+    """All children of the given parents are replaced by the new ones; the other parents keep theirs.
+
+    A task holds its share of the parents' keys, each once, and children stream past them; sorting them would hold a task's
+    share of all their columns.
+    """
+    kept = children.join(parents.select(key).hint("shuffle_hash"), key, "left_anti")
     return kept.select(*children.columns).unionByName(new.select(*children.columns))
 
 
