@@ -107,6 +107,16 @@ def chunk_pages(pages: DataFrame, max_tokens: int = 500, overlap: int = 80,
     return rows.select(*keys, "ord", joined.alias("text")).withColumn("n_tokens", count(F.col("text")))
 
 
+def chunk_lists(pages: DataFrame, max_tokens: int = 500, overlap: int = 80, keys: tuple[str, ...] = ("doc_id", "page"),
+                text: str = "text", count: Callable[[Column], Column] = X.n_tokens) -> DataFrame:
+    """The chunks of :func:`chunk_pages` as one row per page: keys, ``chunks`` (ord, text, n_tokens), in order, without any
+    shuffle; empty for a page without text."""
+    with_units = pages.select(*keys, unit_array(F.col(text), max_tokens, count).alias("_units"))
+    counted = with_units.withColumn("_ranges", pack_ranges(F.transform("_units", lambda u: count(u)), max_tokens, overlap))
+    joined = F.transform("_ranges", lambda r: F.array_join(F.slice("_units", r["first"] + 1, r["last"] - r["first"] + 1), "\n"))
+    return counted.select(*keys, F.transform(joined, lambda t, i: F.struct(i.alias("ord"), t.alias("text"), count(t).alias("n_tokens"))).alias("chunks"))
+
+
 def chunk_meta(chunks: DataFrame, pages: DataFrame, docs: DataFrame) -> DataFrame:
     """Add ``source, course, mtime`` of the document, and ``label, ocr`` of the page, to every chunk."""
     d = docs.select("doc_id", F.col("path").alias("source"), "course", "mtime")

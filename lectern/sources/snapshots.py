@@ -94,6 +94,7 @@ class KeyedTable:
     dynamic partition overwrite, so a retried batch replaces what it wrote before and nothing else. ``main`` holds, per
     bucket, the newest row of each key up to the last compaction, deletions included; compacting rewrites only buckets
     with newer changes. Reading takes the newest row per key of both. A key's rows share a bucket, hence a task group.
+    Few buckets do not mean few tasks: Spark rebalances what is written, so that a large bucket is several files.
     """
 
     def __init__(self, spark: SparkSession, base: str, schema: str | T.StructType, key: str, buckets: int = 64):
@@ -129,7 +130,7 @@ class KeyedTable:
             changes = changes.unionByName(gone.select(self.key, *nothing, F.lit(True).alias("_deleted")))
         bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
         (changes.withColumns({"_upto": F.lit(None).cast("bigint"), "_bucket": bucket, "_batch": F.lit(number).cast("bigint")})
-         .repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .hint("rebalance", "_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("_bucket", "_batch").parquet(f"{self.base}/log"))
 
     def read(self) -> DataFrame:
@@ -142,5 +143,5 @@ class KeyedTable:
         due = rows.groupBy("_bucket").agg(F.max("_batch").alias("_last"), F.max(F.coalesce("_upto", F.lit(-1))).alias("_merged"))
         due = due.filter("_last > _merged").select("_bucket", "_last")  # at most one row a bucket
         merged = self._newest(rows.join(F.broadcast(due), "_bucket", "left_semi")).join(F.broadcast(due), "_bucket")
-        (merged.withColumn("_upto", F.col("_last")).select(self.schema.names).repartition("_bucket").write.mode("overwrite")
+        (merged.withColumn("_upto", F.col("_last")).select(self.schema.names).hint("rebalance", "_bucket").write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(f"{self.base}/main"))

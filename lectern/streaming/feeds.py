@@ -220,10 +220,11 @@ def sync_listing(listing: DataFrame, library: Library, number: int, contents: Ca
         F.current_timestamp().alias("ingested_at"))
     kept = listed.join(excluded.select("path").distinct(), "path", "left_anti").select("path")
     gone = known.select("path").join(kept, "path", "left_anti").checkpoint()
-    pieces = chunking.chunk_pages(due, max_tokens, overlap, keys=("path", "page"))
-    # one row per document; its chunks are bounded by its own text
-    by_path = due.select("path").join(pieces.groupBy("path").agg(F.sort_array(F.collect_list(F.struct(
-        "page", "ord", "text", F.col("n_tokens").cast("bigint").alias("n_tokens")))).alias("chunks")), "path", "left")
+    pieces = chunking.chunk_lists(due, max_tokens, overlap, keys=("path", "page"))
+    # one row per document, without a shuffle; its chunks are bounded by its own text
+    listed_chunks = F.transform("chunks", lambda c: F.struct(F.col("page").alias("page"), c["ord"].alias("ord"), c["text"].alias("text"),
+                                                             c["n_tokens"].cast("bigint").alias("n_tokens")))
+    by_path = pieces.select("path", F.when(F.size("chunks") > 0, listed_chunks).alias("chunks"))
     # chunks first: a crash in between leaves documents unmarked, so the retry does the same work again
     library.by_path.write(number, by_path, gone)
     library.documents.write(number, rows, gone)
