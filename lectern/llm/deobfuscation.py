@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +40,9 @@ _DOUBLE, _AGAIN = re.compile(r"(.)\1"), re.compile(r"(.)\1+")
 _PRICE = re.compile(r"[$£€¥+|(<{]?[\W\d]?[\d.,:]+[%$£€¥+|]?")
 _HEAD, _TAIL = re.compile(r"^[^\w@$|+(<{£€¥!]+|^([^\w])\1{2,}"), re.compile(r"[^\w@$|+]+$|([^\w])\1{2,}[^\w]*$")
 _RUN = re.compile(r"(?<!\S)\S(?:\s++\S(?!\S)){2,}")
-#: Units so short that the space between two of them may be a sign put into a word.
-_SHORT = re.compile(r"(?<!\S)\S{1,3}(?:\s++\S{1,3}(?!\S))+")
+#: Units so short that the space between two of them may be a sign put into a word; searched behind a space, which is
+#: faster than looking back from every sign.
+_SHORT = re.compile(r"\s(\S{1,3}(?:\s++\S{1,3}(?!\S))+)")
 _NEXT = re.compile(r"\s+|\S+")
 
 
@@ -84,6 +85,18 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
+def bare(unit: str) -> str:
+    """A unit in lower case without signs at its ends."""
+    word = unit.lower()
+    return word if word.isalpha() else _TAIL.sub("", _HEAD.sub("", word))
+
+
+def stays(start: str) -> bool:
+    """Whether every word read from a lower-case text that starts like this starts like it too: a letter can only go where
+    it is repeated, and only other signs stand for something else."""
+    return start.isalpha() and not _DOUBLE.search(start)
+
+
 class _Codes(dict):
     """Codes of characters, :data:`OTHER` for those without one."""
 
@@ -120,8 +133,11 @@ class Restorer:
 
         A word of signs alone is read as letters if it has three look-alikes of two kinds and isn't a number or price.
         """
-        word = _TAIL.sub("", _HEAD.sub("", unit.lower()))
-        if _CLEAN.fullmatch(word):
+        return self.read(bare(unit))
+
+    def read(self, word: str) -> str:
+        """The word that a bare unit stands for."""
+        if word.isalpha() or _CLEAN.fullmatch(word):
             return self.collapsed(word) if _DOUBLE.search(word) else word
         if not any(map(str.isalpha, word)):
             alike = [c for c in word if c in LOOKS_LIKE]
@@ -234,15 +250,13 @@ class Runs(Learnt):
         self.restorer = restorer
         self.joined = Learnt(lambda key: restorer.joins(*key), 6 << 20)
 
-    def _joins(self, before: str, after: str) -> bool:
-        return self.joined[before[-2:], after[:2]]
-
     def _words(self, run: str) -> list[str]:
         units = run.lower().split()
-        if all(len(u) > 1 and u.isalpha() and not _DOUBLE.search(u) for u in units):  # each gap stands for itself
-            words = [units[0]]
+        plain = " ".join(units)
+        if min(map(len, units)) > 1 and "".join(units).isalpha() and not _DOUBLE.search(plain):  # each gap stands for itself
+            words, joined = [units[0]], self.joined
             for before, after in zip(units, units[1:]):
-                if self._joins(before, after):
+                if joined[before[-2:], after[:2]]:
                     words[-1] += after
                 else:
                     words.append(after)
@@ -265,12 +279,60 @@ def spaced_words(text: str) -> list[str]:
     return ["".join(m.group().split()) for m in _RUN.finditer(text)]
 
 
+def short_runs(text: str) -> list[str]:
+    """Runs of two or more short units between white space, as they stand."""
+    return _SHORT.findall(" " + text)
+
+
 def restored_words(text: str, restore, runs: Runs) -> list[str]:
     """All words of a text as ``restore`` gives them; behind them, those of runs of short units, joined and decoded."""
     words = [*map(restore, text.split())]
-    short = _SHORT.findall(text)
+    short = short_runs(text)
     for run in short:  # single signs between white space are short units, so the text need not be read for them again
         words += map(restore, spaced_words(run))
     for run in short:
         words += map(restore, runs[run])
     return words
+
+
+class Known(Learnt):
+    """What a function of units gives for each unit of a text, and for the words of its runs of short units.
+
+    ``starts`` may hold the first ``START`` letters of all words of interest (shorter words whole). What can't be read as
+    one of them is left out unread.
+    """
+
+    START = 3
+
+    def __init__(self, restorer: Restorer, of: Callable[[str], str], starts: set[str] | None = None):
+        super().__init__(of)
+        self.short = Runs(restorer)
+        self.runs = Learnt(self._of_run, 12 << 20)
+        self.may = None if starts is None else Learnt(lambda start: start in starts or not stays(start), 4 << 20)
+
+    def _of_run(self, run: str) -> tuple[str, ...]:
+        return tuple({self[w] for w in (*spaced_words(run), *self.short.differing(run))})
+
+    def _may_hold(self, run: str) -> bool:
+        """Whether a word may start at one of a run's units; words of runs have three letters or more."""
+        units = run.lower().split()
+        joined, at, may = "".join(units), 0, self.may
+        for unit in units:
+            if may[joined[at:at + self.START]]:
+                return True
+            at += len(unit)
+        return False
+
+    def different(self, text: str) -> set[str]:
+        """The set of :func:`restored_words`, but for what is left out. Units are told apart without case and the stops
+        behind them, which the restorer takes off too, so that fewer of them are new."""
+        plain = text.lower()
+        alone = len(plain) == len(text) and "Σ" not in text  # lower case of each letter by itself
+        units, short = set(plain.split()), short_runs(plain if alone else text)
+        if self.may is not None:
+            may, n = self.may, self.START
+            units, short = [u for u in units if may[u[:n]]], filter(self._may_hold, short)
+        found = set(map(self.__getitem__, {u.rstrip(".,") for u in units}))
+        for run in set(short):
+            found.update(self.runs[run])
+        return found

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Learnt, mix64, texts_of, worker_held
-from .deobfuscation import Restorer, Runs, language_model, restored_words
+from .deobfuscation import Known, Restorer, language_model
 from .shingles import shingle_sets
 
 #: Labelled rows that the lexicon is fitted on, at most (a documented bound; all other counts are over all rows).
@@ -38,6 +38,14 @@ def features(word: str) -> list[str]:
     return [f"{word}$", *(f"^{word[:k]}" for k in PREFIXES if len(word) >= k)]
 
 
+def all_features(words: set[str]) -> set[str]:
+    """The different :func:`features` of some words."""
+    found = {w + "$" for w in words}
+    for k in PREFIXES:
+        found.update(["^" + start for start in {w[:k] for w in words if len(w) >= k}])
+    return found
+
+
 @dataclass
 class Model:
     letters: np.ndarray
@@ -45,22 +53,21 @@ class Model:
     base: float
 
 
-class _Restored(Learnt):
-    """Restored words by unit, and the runs of short units."""
+class _Restored(Known):
+    """Restored words by unit."""
 
     def __init__(self, letters: np.ndarray):
-        self.restorer = Restorer(letters)
-        self.runs = Runs(self.restorer)
-        super().__init__(self.restorer.unit)
+        restorer = Restorer(letters)
+        super().__init__(restorer, restorer.unit)
 
 
-class _Hits(Learnt):
+class _Hits(Known):
     """The strongest lexicon feature of each unit, restored first."""
 
     def __init__(self, model: Model):
         self.restorer, self.lexicon = Restorer(model.letters), model.lexicon
-        self.runs = Runs(self.restorer)
-        super().__init__(self.strongest)
+        words = [f[:-1] for f in model.lexicon if f.endswith("$")] + [f[1:] for f in model.lexicon if f.startswith("^")]
+        super().__init__(self.restorer, self.strongest, {w[:self.START] for w in words})
 
     def strongest(self, unit: str) -> str:
         word, known = self.restorer.unit(unit), self.lexicon
@@ -90,21 +97,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     sample = _training(docs, labels, rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restored, seen = worker_held(f"restored {version}", lambda: _Restored(shared.value)), {}
+        restored, seen = worker_held(f"restored {version}", lambda: _Restored(shared.value)), (Counter(), Counter())
 
         def counts() -> pa.RecordBatch:
-            keys = list(seen)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([seen[k][1] for k in keys], pa.int64()),
-                                               pa.array([seen[k][0] for k in keys], pa.int64())], ["feature", "toxic", "clean"])
+            keys = list(seen[0].keys() | seen[1].keys())
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([seen[1][k] for k in keys], pa.int64()),
+                                               pa.array([seen[0][k] for k in keys], pa.int64())], ["feature", "toxic", "clean"])
 
         for batch in batches:
             for text, toxic in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
-                found = {f for w in set(restored_words(text, restored.__getitem__, restored.runs)) for f in features(w)}
-                for f in [*found, ""]:  # the empty one counts the documents themselves
-                    seen.setdefault(f, [0, 0])[toxic] += 1
-            if len(seen) > SEEN:
+                seen[toxic].update(all_features(restored.different(text)) | {""})  # the empty one counts the documents themselves
+            if sum(map(len, seen)) > SEEN:
                 yield counts()
-                seen.clear()
+                for n in seen:
+                    n.clear()
         yield counts()
 
     counts = sample.mapInArrow(count, "feature string, toxic long, clean long").groupBy("feature").agg(
@@ -117,8 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restored = worker_held(f"restored {version}", lambda: _Restored(shared.value))
         for batch in batches:
-            found = [sorted({f for w in set(restored_words(t, restored.__getitem__, restored.runs)) for f in features(w)} & wanted.value)
-                     for t in texts_of(batch.column(0))]
+            found = [sorted(all_features(restored.different(t)) & wanted.value) for t in texts_of(batch.column(0))]
             least = [_least_shingles(s) for sets in shingle_sets(batch.column(0)) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())),
                                               pa.array(least, pa.list_(pa.int64()))], ["found", "least"])
@@ -163,7 +168,7 @@ def cover(texts: list[set[str]], clean: dict[str, int], weights: list[float]) ->
 
 
 def _score(text: str, hits: _Hits, model: Model) -> float:
-    found = set(restored_words(text, hits.__getitem__, hits.runs))
+    found = hits.different(text)
     found.discard("")
     return 1 - math.prod(1 - model.lexicon[f] for f in found) if found else model.base
 

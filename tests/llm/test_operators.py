@@ -549,6 +549,41 @@ def test_runs_of_short_units():
     assert n > 10_000
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_words_left_unread_have_no_feature(seed):
+    """A scorer reads few units, and what it leaves out holds no feature of the lexicon; a fit reads all words."""
+    rng = random.Random(seed)
+    plain = babble(rng, 400).split()
+    counts = np.ones((deobfuscation.SIZE,) * 3) * 0.01
+    c = np.concatenate([[0, 0], deobfuscation._codes(" ".join(["worthless", "idiot", "of", "you"] * 50 + plain)), [0, 0]])
+    np.add.at(counts, (c[:-2], c[1:-1], c[2:]), 1)
+    letters = np.log(counts / counts.sum(2, keepdims=True)).astype(np.float32)
+    signs = ["idiotabc", "IDIOTABC", "10!@*.,-'$", "Σİςß²½ⅧÉ语\u0301\u200b", ".,!"]
+
+    def disguised(word: str) -> str:
+        word = "".join(rng.choice([x, x, x, x * 2, x * 3, rng.choice(rng.choice(signs))]) for x in word)
+        return rng.choice([" ", "  ", ".", "\t"]).join(word) if rng.random() < 0.3 else word + rng.choice(["", "", ",", "...", "!!!", ".,"])
+
+    texts = [" ".join(disguised(w) if rng.random() < 0.4 else w for w in rng.choices(["idiot", "worthless", "a", "of", *plain], k=12))
+             for _ in range(150)] + ["a b Σ", "I İ a t", ",", ""]
+    restorer = deobfuscation.Restorer(letters)
+    every = [set(deobfuscation.restored_words(t, restorer.unit, deobfuscation.Runs(restorer))) for t in texts]
+    known = toxicity._Restored(letters)
+    assert [known.different(t) for t in texts] == every
+    assert all(toxicity.all_features(ws) == {f for w in ws for f in toxicity.features(w)} for ws in every)
+    held = sorted({f for ws in every for f in toxicity.all_features(ws)})
+    for n in (5, 300):
+        lexicon = {f: rng.random() for f in [*rng.sample(held, n), "idiot$", "a$"]}
+        strongest = lambda w: max((f for f in toxicity.features(w) if f in lexicon), key=lexicon.get, default="")
+        hits = toxicity._Hits(toxicity.Model(letters, lexicon, 0.1))
+        want = [{strongest(w) for w in deobfuscation.restored_words(t, restorer.unit, deobfuscation.Runs(restorer))} - {""} for t in texts]
+        assert [hits.different(t) - {""} for t in texts] == want
+    calls, read = [], toxicity._Hits(toxicity.Model(letters, {"idiot$": 0.9}, 0.1))
+    read.restorer.read = lambda word: calls.append(word) or word
+    read.different("You worthless person, Plain WORDS of this text. An idiot, it is said to be so")
+    assert calls == ["idiot"]
+
+
 def test_toxicity(spark, labelled):
     texts, labels = labelled
     docs = frame(spark, texts)
