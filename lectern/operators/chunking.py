@@ -52,10 +52,17 @@ def unit_array(col: Column, budget: int, count: Callable[[Column], Column] = X.n
 
 
 def units(pages: DataFrame, budget: int = 500, keys: tuple[str, ...] = ("doc_id", "page"), text: str = "text",
-          count: Callable[[Column], Column] = X.n_tokens, windows: bool = True) -> DataFrame:
-    """One row per unit: keys, ``ord`` from 0, ``text``, ``n_tokens``. Without ``windows`` whole paragraphs and sentences only."""
+          count: Callable[[Column], Column] = X.n_tokens, windows: bool = True, outer: bool = False) -> DataFrame:
+    """One row per unit: keys, ``ord`` from 0, ``text``, ``n_tokens``. Without ``windows`` whole paragraphs and sentences only.
+    With ``outer`` a page without units is one row whose other columns are NULL."""
     # outer + filter: a plain explode makes Spark test the array's size first, which computes the array twice
     rows = pages.select(*keys, F.posexplode_outer(unit_array(F.col(text), budget, count, windows)).alias("ord", "text"))
+    return _counted(rows, count, outer)
+
+
+def _counted(rows: DataFrame, count: Callable[[Column], Column], outer: bool) -> DataFrame:
+    if outer:
+        return rows.withColumn("n_tokens", F.when(F.col("ord").isNotNull(), count(F.col("text"))))
     return rows.filter("ord IS NOT NULL").withColumn("n_tokens", count(F.col("text")))
 
 

@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 from hashlib import md5
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +68,19 @@ def test_windows_that_equal_a_paragraph_are_no_units(spark, tmp_path):
     assert [(r.doc_id, r.times, r.n_tokens) for r in rows] == [(1, 1, 499)]
 
 
+def agree_on_odd_texts(spark, folder, name):
+    texts = ["", " \n\t ", None, "\n\n\n\n", "a b.  c\n\nd", " ".join(f"w{i}" for i in range(1200))]
+    got = query(spark, name, folder, documents=(list(enumerate(texts)), "doc_id bigint, text string"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT doc_id, words_md5, within_budget FROM ({catalogue.ORACLES[name]}) ORDER BY doc_id").fetchall()
+    assert sorted((r.doc_id, r.words_md5, r.within_budget) for r in got) == want and len(want) == len(texts)
+
+
+def test_texts_without_words_keep_their_row_among_windows(spark, tmp_path):
+    agree_on_odd_texts(spark, tmp_path, "b8_word_windows")
+
+
 def test_lists_end_where_their_sql_does(spark):
     small = {n: catalogue.QUERIES[n](spark, "/root/testdata/sf0.1").count() for n in (
         "i2_list_items", "i2_list_items_undated", "i2_list_all_items", "i2_list_all_undated")}
