@@ -102,16 +102,17 @@ def pack_ranges(counts: Column, max_tokens: int, overlap: int) -> Column:
 
 def chunk_pages(pages: DataFrame, max_tokens: int = 500, overlap: int = 80,
                 keys: tuple[str, ...] = ("doc_id", "page"), text: str = "text",
-                count: Callable[[Column], Column] = X.n_tokens) -> DataFrame:
+                count: Callable[[Column], Column] = X.n_tokens, outer: bool = False) -> DataFrame:
     """Page-aware chunks with overlap: keys, ``ord`` within the page, ``text``, ``n_tokens``.
 
-    Row-local from end to end (no shuffle): a page is one row, so it can never leak into another one.
+    Row-local from end to end (no shuffle): a page is one row, so it can never leak into another one. With ``outer`` a page
+    without chunks is one row whose other columns are NULL.
     """
     with_units = pages.select(*keys, unit_array(F.col(text), max_tokens, count).alias("_units"))
     counted = with_units.withColumn("_ranges", pack_ranges(F.transform("_units", lambda u: count(u)), max_tokens, overlap))
-    rows = counted.select(*keys, "_units", F.posexplode_outer("_ranges").alias("ord", "_r")).filter("ord IS NOT NULL")
+    rows = counted.select(*keys, "_units", F.posexplode_outer("_ranges").alias("ord", "_r"))
     joined = F.array_join(F.slice("_units", F.col("_r.first") + 1, F.col("_r.last") - F.col("_r.first") + 1), "\n")
-    return rows.select(*keys, "ord", joined.alias("text")).withColumn("n_tokens", count(F.col("text")))
+    return _counted(rows.select(*keys, "ord", joined.alias("text")), count, outer)
 
 
 def chunk_lists(pages: DataFrame, max_tokens: int = 500, overlap: int = 80, keys: tuple[str, ...] = ("doc_id", "page"),

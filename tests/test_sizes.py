@@ -81,6 +81,10 @@ def test_texts_without_words_keep_their_row_among_windows(spark, tmp_path):
     agree_on_odd_texts(spark, tmp_path, "b8_word_windows")
 
 
+def test_texts_without_words_keep_their_row_among_chunks(spark, tmp_path):
+    agree_on_odd_texts(spark, tmp_path, "b9_chunk_invariants")
+
+
 def test_lists_end_where_their_sql_does(spark):
     small = {n: catalogue.QUERIES[n](spark, "/root/testdata/sf0.1").count() for n in (
         "i2_list_items", "i2_list_items_undated", "i2_list_all_items", "i2_list_all_undated")}
