@@ -157,6 +157,25 @@ def test_questions_and_blocks_make_no_table(spark, monkeypatch):
     assert max(rows) <= 3 * 2 * 160
 
 
+def test_shards_forward_only_what_is_better(spark, monkeypatch):
+    """Chunks of equal score in many shards are not sent on by each of them."""
+    search, forwarded = lexical._search, []
+
+    def counted(*args):
+        out = search(*args).checkpoint()
+        forwarded.append(out.count())
+        return out
+
+    monkeypatch.setattr(lexical, "_search", counted)
+    monkeypatch.setattr(lexical, "SHARD", 30)
+    ensure_checkpoint_dir(spark)
+    chunks = spark.range(300).selectExpr("id AS chunk_id", "concat('a b c', repeat(' d', int(6 - id % 7))) AS text")
+    q = spark.createDataFrame([(i, ["a", f"e{i}"]) for i in range(40)], "question_id bigint, terms array<string>")
+    hits = lexical.lexical_topk(q, lexical.block_postings(chunks, block=4), 2).collect()
+    assert sorted((r.question_id, r.rank, r.chunk_id, r.lex_score) for r in hits) == [(i, r, r - 1, 1) for i in range(40) for r in (1, 2)]
+    assert sum(forwarded) <= 40 * 2 * 8
+
+
 def test_postings_are_read_once_for_reranking(spark):
     read = spark.sparkContext.accumulator(0)
 
