@@ -95,22 +95,53 @@ def block_join(questions: DataFrame, chunks: DataFrame, kernel, schema: T.Struct
     return q.cogroup(c).applyInArrow(run, schema)
 
 
+def _reduced(*sides: np.ndarray) -> tuple[list[np.ndarray], float]:
+    """The matrices in single precision, and by how much a product of two of their rows can differ; as they are where numbers are
+    too large for that."""
+    norms = [float(np.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0.0))) for x in sides]
+    most = norms[0] * norms[1]
+    if not max(*norms, most) < 1e15:
+        return list(sides), 1e-12 * most if most < np.inf else 0.0
+    return [x.astype(np.float32) for x in sides], (sides[0].shape[1] + 8) * 2.0 ** -23 * most
+
+
 def _topk_kernel(k: int, digits: int, exclude_self: bool):
-    """Best k of a block pair; the matrix product goes by slices of questions, so its memory stays that of a block."""
+    """Best k of a block pair. Products in single precision, by slices of questions and tiles of chunks, find the few pairs that
+    can reach a question's k-th score so far (from ``_kth`` on, if the questions have one); their scores are double."""
 
     def kernel(q: pa.Table, c: pa.Table) -> pa.Table:
         c = c.sort_by("id")
-        cid, vectors = c["id"].to_numpy(), _matrix(c["vec"]).T
-        return pa.concat_tables([part(q.slice(at, SLICE), cid, vectors) for at in range(0, q.num_rows, SLICE)])
-
-    def part(q: pa.Table, cid: np.ndarray, vectors: np.ndarray) -> pa.Table:
-        scores = _matrix(q["vec"]) @ vectors
-        np.round(scores, digits, out=scores)
-        qid = q["id"].to_numpy()
-        if exclude_self:
-            scores[qid[:, None] == cid[None, :]] = -np.inf
-        rows, cols = _best(scores, k)
-        return pa.table({"question_id": qid[rows], "chunk_id": cid[cols], "score": scores[rows, cols]})
+        cid, exact = c["id"].to_numpy(), _matrix(c["vec"])
+        qid, asked = q["id"].to_numpy(), _matrix(q["vec"])
+        (single, reduced), error = _reduced(asked, exact)
+        error += 10.0 ** -digits
+        bound = q["_kth"].to_numpy() if "_kth" in q.column_names else np.full(len(qid), -2.0)
+        bound = np.where(bound > -2.0, bound, -np.inf)
+        tiles = [(at, np.ascontiguousarray(reduced[at:at + TILE].T)) for at in range(0, len(cid), TILE)]
+        out = []
+        for at in range(0, len(qid), SLICE):
+            mine = slice(at, min(at + SLICE, len(qid)))
+            least, rows, cols, scores = bound[mine], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            for first, tile in tiles:
+                near = single[mine] @ tile
+                if near.shape[1] > k:  # a tile has a k-th score of its own
+                    unknown = np.flatnonzero(np.isneginf(least))
+                    cut = near.shape[1] - k - exclude_self
+                    least[unknown] = np.partition(near[unknown], cut, axis=1)[:, cut] - error
+                r, col = np.divmod(np.flatnonzero(near >= (least - error)[:, None]), near.shape[1])
+                col += first
+                if exclude_self:
+                    other = qid[mine][r] != cid[col]
+                    r, col = r[other], col[other]
+                score = np.round(np.einsum("ij,ij->i", asked[mine][r], exact[col]), digits)
+                rows, cols, scores = np.concatenate([rows, r]), np.concatenate([cols, col]), np.concatenate([scores, score])
+                best = _first_of(rows, scores, cols, k)
+                rows, cols, scores = rows[best], cols[best], scores[best]
+                last = np.searchsorted(rows, np.arange(len(least)), side="right")
+                full = np.flatnonzero(last - np.searchsorted(rows, np.arange(len(least))) == k)
+                least[full] = np.maximum(least[full], scores[last[full] - 1])
+            out.append(pa.table({"question_id": qid[mine][rows], "chunk_id": cid[cols], "score": scores}))
+        return pa.concat_tables(out)
 
     return kernel
 
@@ -220,7 +251,7 @@ class CellTree:
         return level, inside.drop("_cos")
 
     def visits(self, questions: DataFrame, need: int | None, slack: float = 0.0) -> DataFrame:
-        """One row per (question, bin to open): id, vec, part (the bin). ``questions``: id, vec, part (a root), ``_kth``.
+        """One row per (question, bin to open): id, vec, part (the bin), _kth. ``questions``: id, vec, part (a root), ``_kth``.
 
         With ``need``, at each level the nearest cells that together hold so many chunks; without it, every cell whose
         best possible cosine reaches ``_kth``.
@@ -267,9 +298,9 @@ class CellTree:
             rest = opened.filter(~F.col("leaf")).drop("leaf")
         if not self.levels:
             out.append(rest)
-        found = out[0].select("id", "vec", "part")
+        found = out[0].select("id", "vec", "part", "_kth")
         for more in out[1:]:
-            found = found.unionByName(more.select("id", "vec", "part"))
+            found = found.unionByName(more.select("id", "vec", "part", "_kth"))
         return found
 
 
@@ -345,14 +376,22 @@ class ResidualCodes:
 
 
 def _candidates(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column indexes of each row's best ``k``, ties to the lower column. A stretch of columns gives a bound that few
-    others reach, so whole rows are only compared with it."""
-    if scores.shape[1] <= k:
+    """Row and column indexes of each row's best ``k``, ties to the lower column. A sample of the columns gives a bound that few
+    of the others reach, so whole rows are only compared with it."""
+    n = scores.shape[1]
+    if n <= k:
         rows, cols = np.indices(scores.shape)
         return rows.ravel(), cols.ravel()
-    head = min(scores.shape[1], max(16 * k, 1024))
-    bound = np.partition(scores[:, :head], head - k, axis=1)[:, head - k]
-    rows, cols = np.nonzero(scores >= bound[:, None])
+    step = max(1, n // 1024)
+    sample = scores[:, ::step]
+    rank = min(sample.shape[1], 5 * k // (4 * step) + 6)
+    bound = np.partition(sample, sample.shape[1] - rank, axis=1)[:, sample.shape[1] - rank]
+    reach = scores >= bound[:, None]
+    few = np.flatnonzero(np.count_nonzero(reach, axis=1) < k)
+    if len(few):
+        whole = np.nan_to_num(scores[few], nan=-np.inf)
+        reach[few] = whole >= np.partition(whole, n - k, axis=1)[:, n - k][:, None]
+    rows, cols = np.divmod(np.flatnonzero(reach), n)
     best = _first_of(rows, scores[rows, cols], cols, k)
     return rows[best], cols[best]
 
@@ -417,6 +456,7 @@ def ann_topk(questions: DataFrame, chunks: DataFrame, k: int, n_probe: int = 8,
         for i, cells in enumerate(q["cells"].to_pylist()):
             probed[i, np.frombuffer(cells, np.uint16)] = True
         rows, cols, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        kth = np.full(len(qid), -np.inf)  # the k-th score of a stretch of chunks, which others must reach
         ends = np.searchsorted(cell, np.arange(len(shared.value.centres) + 1))
         for n in np.unique(cell).tolist():
             visitors = np.flatnonzero(probed[:, n])
@@ -425,16 +465,16 @@ def ann_topk(questions: DataFrame, chunks: DataFrame, k: int, n_probe: int = 8,
                 decoded = shared.value.decode(n, code[a:b]).T
                 for at in range(0, len(visitors), SLICE):
                     own = visitors[at:at + SLICE]
-                    r, at_chunk = _candidates(single[own] @ decoded, wanted + exclude_self)
-                    r, at_chunk = own[r], at_chunk + a
+                    at_chunk = _candidates(single[own] @ decoded, wanted + exclude_self)[1].reshape(len(own), -1) + a  # as many for each
+                    score = np.round(np.matmul(exact[at_chunk], asked[own][:, :, None])[:, :, 0], digits)
                     if exclude_self:
-                        other = qid[r] != cid[at_chunk]
-                        r, at_chunk = r[other], at_chunk[other]
-                    score = np.round(np.einsum("ij,ij->i", asked[r], exact[at_chunk]), digits)
-                    best = _first_of(r, score, cid[at_chunk], k)
-                    rows.append(r[best])
-                    cols.append(at_chunk[best])
-                    found.append(score[best])
+                        score[qid[own][:, None] == cid[at_chunk]] = -np.inf
+                    if score.shape[1] >= k:
+                        kth[own] = np.maximum(kth[own], np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k])
+                    r, c_at = np.nonzero((score >= kth[own][:, None]) & (score > -np.inf))
+                    rows.append(own[r])
+                    cols.append(at_chunk[r, c_at])
+                    found.append(score[r, c_at])
         rows, cols, found = np.concatenate(rows), np.concatenate(cols), np.concatenate(found)
         best = _first_of(rows, found, cid[cols], k)
         return pa.table({"question_id": qid[rows[best]], "chunk_id": cid[cols[best]], "score": found[best]})

@@ -5,6 +5,7 @@ from hashlib import md5
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +133,32 @@ def test_a_code_of_many_chunks_costs_no_neighbours(spark):
     assert sum(len(got[i] & want[i]) for i in want) / 2000 >= 0.9
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e20])
+def test_blocks_give_only_what_reaches_the_kth_score(scale):
+    """Scores are double, near ties go by them, and a block forwards nothing below the k-th score of the first pass."""
+    rng = np.random.default_rng(3)
+    c = rng.normal(size=(9000, 8))
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    c[4000:4400] = c[0] + rng.normal(size=(400, 8)) * 3e-6
+    q = np.concatenate([c[:2], rng.normal(size=(300, 8)) / 3])
+    q, c = q * scale, c / scale ** 2
+    digits = 6 if scale == 1 else 26
+    scores = np.round(q @ c.T, digits)
+    order = np.lexsort((np.broadcast_to(np.arange(9000), scores.shape), -scores), axis=1)[:, :5]
+    want = [(i, j, scores[i, j]) for i in range(len(q)) for j in order[i].tolist()]
+    chunks = pa.table({"id": np.arange(9000), "vec": list(c)})
+    asked = pa.table({"id": np.arange(len(q)), "vec": list(q)})
+
+    def rows(table):
+        return [(x["question_id"], x["chunk_id"], pytest.approx(x["score"], rel=1e-9, abs=10.0 ** -digits)) for x in table.to_pylist()]
+
+    kernel = nearest._topk_kernel(5, digits, False)
+    assert rows(kernel(asked, chunks)) == want
+    if scale == 1:
+        third = np.array([scores[i, order[i, 2]] for i in range(len(q))])
+        assert rows(kernel(asked.append_column("_kth", pa.array(third)), chunks)) == [x for x in want if x[2] >= third[x[0]]]
+
+
 def kept_rows(spark, monkeypatch):
     """Rows of each frame that is checkpointed from now on."""
     kind, rows = type(spark.range(1)), []
