@@ -44,19 +44,6 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(arr), -1)
 
 
-def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column indexes of each row's best ``k``, ties to the lower column. -inf never counts."""
-    k = min(k, scores.shape[1])
-    cut = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-    rows, cols = [], []
-    for i in range(scores.shape[0]):
-        c = np.flatnonzero((scores[i] >= cut[i]) & (scores[i] > -np.inf))
-        c = c[np.lexsort((c, -scores[i, c]))][:k]
-        rows.append(np.full(len(c), i))
-        cols.append(c)
-    return np.concatenate(rows), np.concatenate(cols)
-
-
 def block_join(questions: DataFrame, chunks: DataFrame, kernel, schema: T.StructType, block: int = BLOCK,
                question_blocks: int = 1, least: int = 1) -> DataFrame:
     """Run ``kernel(question table, chunk table)`` on every pair of blocks that share a ``part``.
